@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontam, packing, quality, secret_scan, sharding, token_files
+from sightline.llm import decontam, minhash, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup, token_files, toxicity
 
 #: Production parameters.
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +17,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(_docs(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(_docs(spark, sf_dir))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.fails("base").alias("base_failed"), (~quality.fails("v1")).alias("kept"), "failures")
@@ -26,10 +30,27 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_docs(spark, sf_dir), public_tokenizers.path(TOKENIZER), end_id=1)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    rows = toxicity.scored(docs, model)
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_docs(spark, sf_dir), SHARD_BYTES)
 
 
+def _removed() -> tuple:
+    n = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return n.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+
+
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, digest = _removed()
+    return suffix_dedup.dedup(_docs(spark, sf_dir)).select("doc_id", "n_bytes", n, F.size("removed").cast("long").alias("n_spans"), digest)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontam.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -49,6 +70,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_token_files, op5_sharding, op7_decontamination, op8_secret_scan, op9_packing)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_docs(spark, sf_dir)).select("doc_id", "n_words", *_removed())
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_token_files, op4_toxicity, op5_sharding, op6_suffix_array_dedup, op7_decontamination, op8_secret_scan, op9_packing, op10_substring_dedup)}
 
 ORACLE: dict[str, str] = {}
