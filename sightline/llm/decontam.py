@@ -27,10 +27,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sightline.llm._common import as_bytes, table
+from sightline.llm._common import as_bytes
 
 WINDOW, BLOCK_BYTES = 10, 8 << 20
 
@@ -128,21 +129,19 @@ def _frequencies(windows: Broadcast):
 _HITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _matched(windows: Broadcast, first: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("hits", _HITS), ("items", pa.list_(pa.int64()))])
-
+def _matched(windows: Broadcast, names: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = windows.value
         for batch in batches:
             n_words, hits, items = [], [], []
-            before = [([], [])] * batch.num_rows if first else zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            for text, (had, had_items) in zip(as_bytes(batch.column("text")), before, strict=True):
-                ids = w.ids(text)
+            for body, had, had_items in zip(as_bytes(batch.column(text)), batch.column("_hits").to_pylist(), batch.column("_items").to_pylist(), strict=True):
+                ids = w.ids(body)
                 starts, ends, found = w.find(ids)
                 n_words.append(len(ids))
                 items.append(sorted({*had_items, *found}))
                 hits.append(_joined([*zip(starts.tolist(), ends.tolist(), strict=True), *((h["start"], h["end"]) for h in had)]))
-            yield table(schema, doc_id=batch.column("doc_id"), text=batch.column("text").cast(pa.string()), n_words=n_words, hits=hits, items=items)
+            more = {"_n_words": pa.array(n_words, pa.int64()), "_hits": pa.array(hits, _HITS), "_items": pa.array(items, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays([more[c] if c in more else batch.column(c) for c in names], names)
 
     return run
 
@@ -158,24 +157,28 @@ def _joined(spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, hits (spans of words, end exclusive) and items (ids of items with a window that occurs) of each document."""
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+    """doc_id, n_words, hits (spans of words, end exclusive) and items (ids of items with a window that occurs) of each document.
+
+    With carry, all columns of docs, and the results as _n_words, _hits, _items.
+    """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    rows = texts
+    span = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
+    rows = texts.withColumns({"_n_words": F.lit(0).cast("long"), "_hits": F.array().cast(span), "_items": F.array().cast("array<bigint>")})
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         w = Windows([(r.item_id, r.text.encode()) for r in block], width)
-        counts = texts.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(w)), "word long, n long").groupBy("word").agg(F.sum("n")).collect()
+        counts = docs.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(w)), "word long, n long").groupBy("word").agg(F.sum("n")).collect()
         frequency = np.zeros(len(w.vocabulary) + 1, np.int64)
         for word, n in counts:
             frequency[word] = n
         w.order(frequency)
-        rows = rows.mapInArrow(_matched(spark.sparkContext.broadcast(w), k == 0), "doc_id long, text string, n_words long, hits array<struct<start: long, end: long>>, items array<long>")
-    return rows.drop("text")
+        rows = rows.mapInArrow(_matched(spark.sparkContext.broadcast(w), rows.columns, "text"), rows.schema)
+    return rows if carry else rows.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_hits").alias("hits"), F.col("_items").alias("items"))
 
 
-def n_hit(hits: str = "hits"):
+def n_hit(hits: str = "hits") -> Column:
     return F.aggregate(hits, F.lit(0).cast("long"), lambda acc, h: acc + h["end"] - h["start"])

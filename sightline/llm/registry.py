@@ -1,4 +1,7 @@
 """What __spark_entry__.py adds: the operators' queries and SQL, and the pipeline's."""
 
-from sightline.llm.queries import ORACLE as ORACLE_SQL
-from sightline.llm.queries import QUERIES
+import corpus_pipeline
+from sightline.llm.queries import ORACLE, QUERIES as OPERATORS
+
+QUERIES = {**OPERATORS, "pipeline": corpus_pipeline.run}
+ORACLE_SQL = {**ORACLE, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}

@@ -349,7 +349,7 @@ def scored(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     """docs with a score (0 to 1) and the spans of its offending words (code points, end exclusive)."""
     docs = docs.drop("score", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType(docs.schema.fields).add("score", "double")
+    schema = T.StructType([*docs.schema.fields]).add("score", "double")
     if spans:
         schema = schema.add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long")))
     return docs.mapInArrow(_scored(shared, docs.columns, spans), schema)
