@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontam, minhash, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup, token_files, toxicity
+from sightline.llm import decontam, minhash, oracles, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup, token_files, toxicity
 
 #: Production parameters.
 TOKENIZER = "word_bpe_49k.json"
@@ -76,4 +76,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_token_files, op4_toxicity, op5_sharding, op6_suffix_array_dedup, op7_decontamination, op8_secret_scan, op9_packing, op10_substring_dedup)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_quality_rules": oracles.quality(),
+    "op5_sharding": oracles.sharding(SHARD_BYTES),
+    "op7_decontamination": oracles.decontamination(),
+    "op10_substring_dedup": oracles.substring_dedup(),
+}

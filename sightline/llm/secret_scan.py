@@ -3,7 +3,7 @@
 Base kinds are patterns: assign (a name such as password, then a value), access
 (access key ids) and hex (long hexadecimal runs). Beside them, a battery of
 randomness tests looks at every other long token: for the encoding inferred
-from its characters (hexadecimal, base 32, base 64), chi-squared uniformity over
+from its characters (decimal, hexadecimal, base 32, base 64), chi-squared uniformity over
 the alphabet, a runs test and a lag-1 serial correlation. A token that any test
 rejects as random is text. For the rest, the chi-squared statistic gives the
 chance that text, whose letters are uneven, looks so even at this length; a
@@ -34,9 +34,9 @@ HEX = "[0-9a-f]{16,}"
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "random"]
 
-#: Tests reject at so many standard deviations; share of false discoveries; unevenness (expected chi-squared a character) of text by alphabet size.
-REJECT, FALSE_SHARE, UNEVEN = 3.0, 0.01, {16: 0.6, 32: 1.6, 64: 3.0}
-_ALPHABETS = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+#: Tests reject at so many standard deviations; share of false discoveries; unevenness (expected chi-squared a character) of what is no secret, by alphabet size. Digits alone are often even, so they never count as evidence.
+REJECT, FALSE_SHARE, UNEVEN = 3.0, 0.01, {10: 0.0, 16: 2.0, 32: 2.5, 64: 3.0}
+_ALPHABETS = {10: "0123456789", 16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
 
 def _spans(text: Column, pattern: str, gate: Column) -> Column:
@@ -62,15 +62,15 @@ def _normal_tail(z: Column) -> Column:
 def _tests(token: Column) -> Column:
     """size, chi, runs, serial and evidence (tenths of -log10 of the chance of so even a text) of a token."""
     body = F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", "")
-    size = F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(body.rlike("^[A-Z2-7]+$"), 32).otherwise(64)
-    alphabet = F.when(size == 16, _ALPHABETS[16]).when(size == 32, _ALPHABETS[32]).otherwise(_ALPHABETS[64])
+    size = F.when(body.rlike("^[0-9]+$"), 10).when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(body.rlike("^[A-Z2-7]+$"), 32).otherwise(64)
+    alphabet = F.when(size == 10, _ALPHABETS[10]).when(size == 16, _ALPHABETS[16]).when(size == 32, _ALPHABETS[32]).otherwise(_ALPHABETS[64])
     chars = F.split(F.when(size == 16, F.lower(body)).otherwise(body), "")
     start = F.struct(size.alias("size"), F.transform(chars, lambda c: F.instr(alphabet, c) - 1).alias("x"))
     return F.transform(F.array(start), lambda s: _measured(s["size"], s["x"]))[0]
 
 
 def _measured(size: Column, x: Column) -> Column:
-    n, k = F.size(x).cast("double"), size.cast("double")
+    n, k = F.greatest(F.size(x), F.lit(1)).cast("double"), size.cast("double")
     total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b.cast("double"))
     chi = total(F.transform(F.array_distinct(x), lambda v: F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2.0)))) * k / n - n
     high = total(F.transform(x, lambda v: F.when(v * 2 >= size, 1).otherwise(0)))
@@ -85,8 +85,8 @@ def _measured(size: Column, x: Column) -> Column:
     variance = total(F.transform(around, lambda v: v * v))
     lagged = total(F.zip_with(F.slice(around, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), F.slice(around, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), lambda a, b: a * b))
     serial = F.when(variance > 0, lagged / F.greatest(variance, F.lit(1e-9)) * F.sqrt(n)).otherwise(99.0)
-    chi_z = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    uneven = F.when(size == 16, UNEVEN[16]).when(size == 32, UNEVEN[32]).otherwise(UNEVEN[64])
+    chi_z = (chi - (k - 1)) / F.sqrt(F.greatest(2 * (k - 1) * (n - 1) / n, F.lit(1e-9)))
+    uneven = F.when(size == 10, UNEVEN[10]).when(size == 16, UNEVEN[16]).when(size == 32, UNEVEN[32]).otherwise(UNEVEN[64])
     z = (k - 1 + n * uneven - chi) / F.sqrt(2 * (k - 1) + 4 * n * uneven)
     evidence = F.when(z > 0, F.floor(-10 * F.log10(F.greatest(_normal_tail(z), F.lit(1e-30))))).otherwise(0)
     return F.struct(
@@ -96,7 +96,7 @@ def _measured(size: Column, x: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    """start, end, band, evidence of each long token that has letters and digits or is all of one case mixed with others; words alone are tested too."""
+    """start, end and tests (band, evidence) of each long token."""
     found = _spans(text, TOKEN, text.rlike(TOKEN))
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _tests(s["token"]).alias("t")))
 
