@@ -28,15 +28,22 @@ from pyspark.sql import functions as F
 from sightline.llm import repeats
 from sightline.llm._common import as_bytes, table
 
-LENGTH, GRAM = 100, 16
+LENGTH, GRAM = 100, 32
+#: Bytes that are sorted together: more runs do not meet, unless one minimiser has more; small enough for a processor's cache.
+CHUNK = 1 << 18
 
 
-def _names(*keys: np.ndarray) -> np.ndarray:
-    """Numbers from 1 in the order of the keys (most significant first), equal for equal keys."""
-    key = np.unique(keys[0], return_inverse=True)[1].astype(np.int64)
-    for k in keys[1:]:
-        key = np.unique(key * (int(k.max()) + 1) + k, return_inverse=True)[1].astype(np.int64)
-    return key + 1
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Numbers from 1 in the order of the keys, equal for equal keys."""
+    order = np.argsort(keys, kind="stable")
+    sorted_ = keys[order]
+    new = np.empty(len(keys), np.int64)
+    new[:1] = 1
+    np.cumsum(sorted_[1:] != sorted_[:-1], out=new[1:])
+    new[1:] += 1
+    out = np.empty(len(keys), np.int64)
+    out[order] = new
+    return out
 
 
 def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
@@ -46,50 +53,35 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
         rank = np.empty(n, np.int64)
         rank[sorted(range(n), key=lambda i: s[i:].tolist())] = np.arange(1, n + 1)
         return rank
-    s = np.concatenate([s, np.zeros(3, s.dtype)])
+    s = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
+    top = int(s.max()) + 1
+    pair = s[:-1] * top + s[1:]
+    if top**2 * max(top, n + 2) >= 1 << 63:
+        pair[:n] = _ranks(pair[:n])
     one, two, zero = np.arange(1, n, 3), np.arange(2, n, 3), np.arange(0, n, 3)
     cover = np.concatenate([one, two])
-    names = _names(s[cover], s[cover + 1], s[cover + 2])
+    names = _ranks(pair[cover] * top + s[cover + 2])
     if depth > 3 and int(names.max()) < len(names):
-        # a 0 between the halves keeps suffixes of the first from running on into the second
-        deeper = suffix_order(np.concatenate([names[: len(one)], [0], names[len(one) :]]) + 1, -(-depth // 3))
+        # a 1 between the halves, below all names, keeps suffixes of the first from running on into the second
+        deeper = suffix_order(np.concatenate([names[: len(one)] + 1, [1], names[len(one) :] + 1]), -(-depth // 3))
         names = np.concatenate([deeper[: len(one)], deeper[len(one) + 1 :]])
     r = np.zeros(n + 3, np.int64)
-    r[cover] = np.unique(names, return_inverse=True)[1] + 1
-    base = int(r.max()) + 1
-    top = int(s.max()) + 1
-    zero_key = _pair(s[zero], r[zero + 1], base)
-    zero_by = np.argsort(zero_key, kind="stable")
-    # how many of each residue come before each suffix of residue 0, and the other way round
-    one_key = np.sort(_pair(s[one], r[one + 1], base))
-    zero_two, two_keys = _common(_names_of_two(s, zero, top), r[zero + 2], _names_of_two(s, two, top), r[two + 2], base)
-    less_one = np.searchsorted(one_key, zero_key, side="left")
-    less_two = np.searchsorted(np.sort(two_keys), zero_two, side="left")
-    place = np.empty(len(zero), np.int64)
-    place[zero_by] = np.arange(len(zero))
+    r[cover] = names
+    base = int(names.max()) + 1
+    # merge: a suffix of residue 0 meets those of residue 1 by (symbol, rank), those of residue 2 by (two symbols, rank)
+    zero_by = np.argsort(s[zero] * base + r[zero + 1], kind="stable")
+    at = zero[zero_by]
+    zero_one, zero_two = s[at] * base + r[at + 1], pair[at] * base + r[at + 2]
+    cover_by = np.argsort(names, kind="stable")
+    first = cover_by < len(one)
+    in_one, in_two = cover[cover_by[first]], cover[cover_by[~first]]
+    one_zero, two_zero = s[in_one] * base + r[in_one + 1], pair[in_two] * base + r[in_two + 2]
     rank = np.empty(n, np.int64)
-    rank[zero] = place + less_one + less_two
-    order = np.argsort(r[cover], kind="stable")
-    before = np.empty(len(cover), np.int64)
-    before[order] = np.arange(len(cover))
-    zero_sorted, two_sorted = zero_key[zero_by], np.sort(zero_two)
-    rank[one] = before[: len(one)] + np.searchsorted(zero_sorted, _pair(s[one], r[one + 1], base), side="right")
-    rank[two] = before[len(one) :] + np.searchsorted(two_sorted, two_keys, side="right")
-    return np.unique(rank, return_inverse=True)[1] + 1
-
-
-def _pair(a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
-    return a.astype(np.int64) * base + b
-
-
-def _names_of_two(s: np.ndarray, at: np.ndarray, top: int) -> np.ndarray:
-    return s[at].astype(np.int64) * top + s[at + 1]
-
-
-def _common(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in one order for pairs (a, ra) and (b, rb)."""
-    both = np.unique(np.concatenate([a, b]), return_inverse=True)[1].astype(np.int64)
-    return both[: len(a)] * base + ra, both[len(a) :] * base + rb
+    rank[at] = np.arange(len(at)) + np.searchsorted(one_zero, zero_one, side="left") + np.searchsorted(two_zero, zero_two, side="left")
+    before = np.arange(len(cover_by))
+    rank[in_one] = before[first] + np.searchsorted(zero_one, one_zero, side="right")
+    rank[in_two] = before[~first] + np.searchsorted(zero_two, two_zero, side="right")
+    return rank + 1
 
 
 def equal_windows(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,14 +116,14 @@ def equal_windows(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray
 
 
 def earliest_stay(runs: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Run and place of every window that an earlier one equals. Runs meet only within their minimiser, a few million bytes at a time."""
+    """Run and place of every window that an earlier one equals. Runs meet only within their minimiser, CHUNK bytes at a time."""
     which, places = [], []
     cuts = [0, *(np.flatnonzero(np.diff(runs["h"])) + 1).tolist(), len(runs)]
     lengths = np.cumsum([0, *map(len, texts)])
     start = 0
     while start < len(cuts) - 1:
         end = start + 1
-        while end < len(cuts) - 1 and lengths[cuts[end + 1]] - lengths[cuts[start]] <= 2 << 20:
+        while end < len(cuts) - 1 and lengths[cuts[end + 1]] - lengths[cuts[start]] <= CHUNK:
             end += 1
         a, b = cuts[start], cuts[end]
         group, own, place = equal_windows(texts[a:b], LENGTH)
