@@ -50,14 +50,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_words = _Memory(xxhash.xxh3_64_intdigest, 400_000)
+def word_hashes() -> _Memory:
+    """Hashes of words met before, for one task."""
+    return _Memory(xxhash.xxh3_64_intdigest, 300_000)
 
 
-def shingles(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(texts: list[bytes], memory: _Memory, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document number, hash and count of each distinct shingle, by document and hash."""
     words = [words_of(t) for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((h for w in words for h in map(_words.__getitem__, w)), np.uint64, int(sizes.sum()))
+    flat = np.fromiter((h for w in words for h in map(memory.__getitem__, w)), np.uint64, int(sizes.sum()))
     doc = np.repeat(np.arange(len(texts)), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))  # words from here to the text's end
     first = np.arange(len(flat)) == np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -100,10 +102,10 @@ def _signed(bands: int, rows: int):
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
+        salt, memory = mix(np.arange(1, bands + 1, dtype=np.uint64)), word_hashes()
         for batch in slices(batches, "text", 4 << 20):
             texts = as_bytes(batch.column("text"))
-            doc, h, count = shingles(texts)
+            doc, h, count = shingles(texts, memory)
             n = np.bincount(doc, minlength=len(texts))
             some = np.flatnonzero(n)
             number = np.cumsum(n > 0) - 1
@@ -124,10 +126,10 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    schema, memory = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))]), word_hashes()
     for batch in slices(batches, "text", 4 << 20):
         texts = as_bytes(batch.column("text"))
-        doc, h, _ = shingles(texts)
+        doc, h, _ = shingles(texts, memory)
         ends = np.append(0, np.cumsum(np.bincount(doc, minlength=len(texts)))).astype(np.int32)
         yield table(schema, id=batch.column("doc_id"), shingles=pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64))))
 

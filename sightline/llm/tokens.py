@@ -17,7 +17,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Memory for chunks and for letter runs; when full they start anew.
-CHUNKS, PIECES = 400_000, 700_000
+CHUNKS, PIECES = 300_000, 500_000
 
 
 def byte_letters() -> list[str]:

@@ -81,22 +81,10 @@ class Model:
     bias: float
     link: tuple[float, ...]
 
-    def __post_init__(self):
-        self._scores: dict | None = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "_scores": None}
-
-    def emissions(self, words: list[bytes]) -> np.ndarray:
-        """What the features of each word add to the bias."""
-        if self._scores is None:
-            get = self.weights.get
-
-            def total(word: bytes) -> float:
-                return sum([get(f, 0.0) for f in features(word)])
-
-            self._scores = _Memory(total, 500_000)
-        return np.fromiter(map(self._scores.__getitem__, words), np.float64, len(words))
+    def memory(self) -> _Memory:
+        """What the features of each word add to the bias, kept for words met before; for one task, which drops it."""
+        get = self.weights.get
+        return _Memory(lambda word: sum([get(f, 0.0) for f in features(word)]), 300_000)
 
     def score(self, extra: np.ndarray) -> tuple[float, np.ndarray]:
         """The document's score and the places of its offending words."""
@@ -105,6 +93,10 @@ class Model:
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, z)))), at[p > 0.5]
 
 
+def emissions(memory: _Memory, words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(memory.__getitem__, words), np.float64, len(words))
+
+
 def evidence(p: np.ndarray, n_words: int) -> tuple[float, ...]:
     """What a document's score is made of: a constant, the marginals' sum, the largest, and their share of all words."""
     if not len(p):
@@ -231,7 +223,8 @@ def fit(texts: list[bytes], labels: list[int], toxic_share: float | None = None)
     if not seed_word.any():
         return none
     model = _fit_field(ids, each, seed_word, y, list(known))
-    x = np.array([evidence(gap_marginals(model.emissions(ws), model.bias, model.moves)[1], len(ws)) for ws in words])
+    memory = model.memory()
+    x = np.array([evidence(gap_marginals(emissions(memory, ws), model.bias, model.moves)[1], len(ws)) for ws in words])
     w, ridge = np.zeros(x.shape[1]), np.array([1e-3] + [0.05] * (x.shape[1] - 1))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -320,10 +313,11 @@ def _scored(model: Broadcast, names: list[str], spans: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
+        memory = m.memory()
         for batch in batches:
             scores, offending = [], []
             for text in as_bytes(batch.column("text")):
-                score, places = m.score(m.emissions(words_of(text)))
+                score, places = m.score(emissions(memory, words_of(text)))
                 scores.append(score)
                 if spans:
                     offending.append(_offsets(text, places.tolist()))
