@@ -62,7 +62,8 @@ def marginal(p: Column, axis: int, sizes: list[int]) -> Column:
         inner *= s
     k = sizes[axis]
     indexed = F.transform(p, lambda x, i: F.struct(x.alias("x"), F.pmod(F.floor(i / inner).cast("int"), F.lit(k)).alias("k")))
-    return F.array(*[F.aggregate(indexed, F.lit(0.0), lambda a, e, j=j: a + F.when(e["k"] == j, e["x"]).otherwise(0.0)) for j in range(k)])
+    share = lambda j: F.aggregate(indexed, F.lit(0.0), lambda a, e: a + F.when(e["k"] == j, e["x"]).otherwise(0.0))
+    return F.array(*map(share, range(k)))
 
 
 def fiqa_quality(logits: Column, sizes: list[int] = FIQA_AXES, steps: list[float] = FIQA_STEPS) -> Column:

@@ -41,7 +41,8 @@ def access_units(packets: DataFrame) -> DataFrame:
 def sample_durations(units: DataFrame, default: int = 3003) -> DataFrame:
     """units with duration: ticks to the next unit, 1 at least; the last has the mean of the others, or a default if it is alone."""
     w = Window.partitionBy("stream_id").orderBy("au_no")
-    step = F.greatest(F.lit(1), F.lead("ts64").over(w) - F.col("ts64"))
+    ahead = F.lead("ts64").over(w) - F.col("ts64")
+    step = F.when(ahead.isNotNull(), F.greatest(F.lit(1), ahead))
     return units.withColumn("_d", step).withColumn("duration", F.coalesce("_d", F.floor(F.avg("_d").over(Window.partitionBy("stream_id"))), F.lit(default)).cast("long")).drop("_d")
 
 

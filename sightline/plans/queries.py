@@ -768,3 +768,91 @@ def fps_from_name(spark, d):
     n = F.concat(F.lit("clip"), u.cast("string"), F.lit("_"), (u % 61).cast("string"), F.when(u % 3 == 0, "fps").otherwise(""), suffix)
     names = spark.read.parquet(f"{d}/events.parquet").select(n.alias("name")).distinct()
     return names.select("name", name_codec(F.col("name")).alias("codec"), q6(name_fps(F.col("name"))).alias("fps"))
+
+
+# trackers, audio features, streams
+
+
+@query()
+def utrack_tracks(spark, d):
+    """Deterministic, stateful; tested on hand-made scenes"""
+    from sightline.operators.trackers import CascadeTracker, frames_of, track
+
+    rows = track(frames_of(det(spark, d).withColumn("t", F.col("frame_no") * 0.5)), CascadeTracker)
+    return rows.select("stream_id", "frame_no", "track_id", "state", "det_id", "observations", "missed")
+
+
+@query()
+def bytetrack_tracks(spark, d):
+    """R13, J5, J12, J19, F23"""
+    from sightline.operators.trackers import AssociationTracker, frames_of, track
+
+    rows = track(frames_of(det(spark, d).withColumn("t", F.col("frame_no") * 0.5)), AssociationTracker)
+    return rows.select("stream_id", "frame_no", "track_id", "state", "det_id", "observations")
+
+
+@query()
+def track_pipeline(spark, d):
+    """D4, P10, P11, R12, R15, R16 in one pass a stream"""
+    from sightline.operators.pipeline import track_streams
+    from sightline.operators.trackers import frames_of
+
+    frames = frames_of(det(spark, d).withColumn("t", F.col("frame_no") * 0.5)).withColumn("area", F.pmod(F.col("frame_no") * 31, F.lit(100)) / 500.0)
+    return track_streams(frames, 0.2).select("stream_id", "frame_no", "result_type", F.coalesce(F.size("tracks"), F.lit(0)).alias("n_tracks"))
+
+
+@query("""WITH e AS (SELECT k, 700 * (pow(10, (k * (2595 * log10(1 + 16000 / 700.0)) / 41) / 2595) - 1) AS hz FROM range(0, 42) r(k)), t AS (SELECT a.k AS band, a.hz AS lo, b.hz AS mid, c.hz AS hi FROM e a JOIN e b ON b.k = a.k + 1 JOIN e c ON c.k = a.k + 2)
+SELECT CAST(band AS INT) AS band, CAST(b AS INT) AS bin, CAST(floor(greatest(0, least((b * 62.5 - lo) / (mid - lo), (hi - b * 62.5) / (hi - mid))) * 2 / (hi - lo) * 1e9 + 0.5) AS BIGINT) AS weight FROM t, range(0, 257) q(b)""")
+def mel_filterbank(spark, d):
+    """40 bands, 512 points, 32 kHz; a table of the model, made on the driver"""
+    from sightline.sources.audio import mel_filterbank
+
+    bank = mel_filterbank(40, 512, 32_000)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(bank)]
+    return spark.createDataFrame(rows, "band int, w array<double>").select("band", F.posexplode("w").alias("bin", "w")).select("band", "bin", F.floor(F.col("w") * 1e9 + 0.5).cast("long").alias("weight"))
+
+
+@query("SELECT event_type, CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling(spark, d):
+    """Windowed counts of a stream (complete mode)"""
+    from sightline.streaming import drivers
+
+    table = drivers.drained(drivers.tumbling(drivers.events(spark, d), "1 hour", "10 minutes", "event_type"), "sightline_tumbling", "complete")
+    return table.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new_ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new_) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_session(spark, d):
+    """Sessions of a stream (complete mode)"""
+    from sightline.streaming import drivers
+
+    table = drivers.drained(drivers.sessions(drivers.events(spark, d), "30 minutes", "10 minutes", "user_id"), "sightline_sessions", "complete")
+    return table.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark, d):
+    """R2's analogue: first row of each key of a stream"""
+    from sightline.streaming import drivers
+
+    return drivers.drained(drivers.events(spark, d).withWatermark("ts", "3650 days").dropDuplicates(["user_id", "event_type"]), "sightline_dedup").select("user_id", "event_type")
+
+
+@query(ORACLE["skip_hysteresis"])
+def stream_skip_hysteresis(spark, d):
+    """P11 by the state store: the same step as the batch form"""
+    from sightline.streaming import drivers
+
+    rows = spark.sql(fx.clock("spark", "{events}"), events=drivers.events(spark, d))
+    out = drivers.stateful(rows.select("stream_id", "frame_no", "area"), ["stream_id"], ["frame_no"], steps.MotionSkip, "stream_id long, frame_no long, skipped boolean")
+    return drivers.drained(out, "sightline_skip")
+
+
+# star-schema conveniences: Spark built-ins, not operators of the reference
+
+
+@query("""SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS sum_qty, CAST(floor(sum(l_extendedprice * (1 - l_discount)) + 0.5) AS BIGINT) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+def rollup_lineitem(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_shipdate <= date'1998-09-02'")
+    return rows.rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("sum_qty"), F.floor(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) + 0.5).cast("long").alias("revenue"), F.count(F.lit(1)).alias("n"))
