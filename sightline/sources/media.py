@@ -346,7 +346,7 @@ def parse_packets(packets: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kind = packets.drop("data").schema
-    for name, t in (("seq16", "long"), ("ts32", "long"), ("ssrc", "long"), ("pt", "int"), ("marker", "boolean"), ("payload", "binary")):
+    for name, t in (("seq16", "long"), ("ts32", "long"), ("ssrc", "long"), ("pt", "integer"), ("marker", "boolean"), ("payload", "binary")):
         kind = kind.add(name, t)
     schema = to_arrow_schema(kind)
 

@@ -11,8 +11,9 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import _parse_datatype_string
@@ -20,6 +21,15 @@ from pyspark.sql.types import _parse_datatype_string
 from sightline.operators.fold import Step
 
 
+def _plain(x):
+    """Nested values as batch steps get them: lists and dicts."""
+    if isinstance(x, np.ndarray | list):
+        return [_plain(v) for v in x]
+    if isinstance(x, Row):
+        x = x.asDict()
+    return {k: _plain(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+
 def stateful(stream: DataFrame, keys: list[str], order: list[str], make: Callable[[], Step], schema: str, idle_ms: int = 0) -> DataFrame:
     """What the steps return; a key idle for idle_ms is ended and forgotten (0: never)."""
     names = _parse_datatype_string(schema).names
@@ -32,7 +42,7 @@ def stateful(stream: DataFrame, keys: list[str], order: list[str], make: Callabl
             state.remove()
         else:
             rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-            out = [r for row in rows.astype(object).where(rows.notna(), None).to_dict("records") for r in step.push(row)]
+            out = [r for row in rows.astype(object).where(rows.notna(), None).to_dict("records") for r in step.push(_plain(row))]
             state.update((pickle.dumps(step),))
             if idle_ms:
                 state.setTimeoutDuration(idle_ms)

@@ -205,22 +205,12 @@ def test_batch_and_streaming_tracks_agree(spark, tmp_path):
         frames.where(f"frame_no div 2 = {k}").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     batch = trackers.track(frames).select("frame_no", "track_id", "state", "observations").collect()
 
-    class Unpacked(trackers.CascadeTracker):
-        pass
-
-    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*").select("stream_id", "frame_no", "t", F.to_json("dets").alias("d"))
-    out = drivers.stateful(stream, ["stream_id"], ["t"], JsonTracker, "stream_id long, frame_no long, track_id long, state string, observations int")
+    stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = drivers.stateful(stream, ["stream_id"], ["t"], trackers.CascadeTracker, trackers.TRACK_COLUMNS)
     got = drivers.drained(out, "tracks_test").select("frame_no", "track_id", "state", "observations").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, batch))
 
 
-class JsonTracker(trackers.CascadeTracker):
-    def push(self, row):
-        import json
-
-        return [{k: o[k] for k in ("frame_no", "track_id", "state", "observations")} for o in super().push({**row, "dets": json.loads(row["d"])})]
-
-
 def test_labels_and_tracksets(spark, tmp_path):
     face, pose = " ".join(["0.5 0.5 0.9"] * 5), " ".join(["0.1 0.2 0.3"] * 17)
     (tmp_path / "a.txt").write_text(f"0 0.5 0.5 0.2 0.4\n1 0.5 0.5 0.2 0.4 {face}\n0 0.5 0.5 0.2 0.4 {pose}\n0 .5 .5 .2 .4 {face} {pose}\nbad\n1 2\n")
