@@ -56,7 +56,7 @@ def to_box(m: np.ndarray) -> np.ndarray:
 
 
 class BoxFilter:
-    """A box's filter on the clock of the stream. predict() moves the state but not the time of the last update, so a later update moves it again; that is how the reference values come about."""
+    """A box's filter on the clock of the stream. predict() moves the state but not the time of the last update, so a later update moves it again (kept for equal results)."""
 
     RATE = 7.5
 

@@ -774,7 +774,7 @@ def fps_from_name(spark, d):
 
 
 @query()
-def utrack_tracks(spark, d):
+def cascade_tracks(spark, d):
     """Deterministic, stateful; tested on hand-made scenes"""
     from sightline.operators.trackers import CascadeTracker, frames_of, track
 
@@ -783,7 +783,7 @@ def utrack_tracks(spark, d):
 
 
 @query()
-def bytetrack_tracks(spark, d):
+def association_tracks(spark, d):
     """R13, J5, J12, J19, F23"""
     from sightline.operators.trackers import AssociationTracker, frames_of, track
 
@@ -849,7 +849,7 @@ def stream_skip_hysteresis(spark, d):
     return drivers.drained(out, "sightline_skip")
 
 
-# star-schema conveniences: Spark built-ins, not operators of the reference
+# star-schema conveniences: Spark built-ins, beside the inventory
 
 
 @query("""SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS sum_qty, CAST(floor(sum(l_extendedprice * (1 - l_discount)) + 0.5) AS BIGINT) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ROLLUP (l_returnflag, l_linestatus)""")

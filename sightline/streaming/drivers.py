@@ -3,7 +3,7 @@
 stateful() keeps a pickled Step for each key in the state store and pushes each
 micro-batch's rows to it in order; it gives what ordered_scan gives for the same
 rows, if rows arrive in order across batches. Rate limits at the source
-(maxFilesPerTrigger) take the place of the reference's pausing queues.
+(maxFilesPerTrigger) take the place of queues that pause.
 """
 
 from __future__ import annotations
