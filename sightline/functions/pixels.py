@@ -184,3 +184,24 @@ def on_images(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], col
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
 
     return frames.mapInArrow(run, frames.schema)
+
+
+#: Cost of the direct conversions between layouts.
+CONVERSIONS = {("yuv420", "nv12"): 1, ("nv12", "yuv420"): 1, ("yuv420", "rgb24"): 3, ("rgb24", "yuv420"): 3, ("rgb24", "planar"): 2, ("planar", "rgb24"): 2, ("yuv420", "mono"): 1}
+
+
+def conversion_path(source: str, target: str) -> list[str]:
+    """The cheapest chain of conversions; just the layout if it is the target already."""
+    best = {source: (0, [source])}
+    while True:
+        more = {b: (best[a][0] + c, [*best[a][1], b]) for (a, b), c in CONVERSIONS.items() if a in best and (b not in best or best[a][0] + c < best[b][0])}
+        if not more:
+            break
+        best |= more
+    if target not in best:
+        raise ValueError(f"no way from {source} to {target}")
+    return best[target][1]
+
+
+def equal_images(a: list[np.ndarray], b: list[np.ndarray], within: int = 0) -> bool:
+    return len(a) == len(b) and all(x.shape == y.shape and abs(x.astype(int) - y.astype(int)).max(initial=0) <= within for x, y in zip(a, b, strict=True))

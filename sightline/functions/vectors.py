@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,3 +118,12 @@ def remixed(samples: Column, n_in: int, n_out: int) -> Column:
     frames = F.sequence(F.lit(0), F.floor(F.size(samples) / n_in).cast("int") - 1)
     mix = lambda f: F.array(*[sum((samples[(f * n_in + i).cast("int")].cast("double") for i in g[1:]), samples[(f * n_in + g[0]).cast("int")].cast("double")) / len(g) for g in groups])
     return F.when(F.size(samples) < n_in, F.array().cast("array<double>")).otherwise(F.flatten(F.transform(frames, mix)))
+
+
+def through_half(column: str) -> Column:
+    """A vector of 32-bit floats rounded to 16 bits and back, by Arrow batches."""
+    @F.pandas_udf("array<float>")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda a: None if a is None else np.asarray(a, np.float32).astype(np.float16).astype(np.float32))
+
+    return run(column)

@@ -619,7 +619,7 @@ def sample_durations(spark, d):
 
 
 @query(f"""WITH w AS (SELECT *, max(seq_no) OVER (PARTITION BY stream_id ORDER BY arrival_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM {PKT} p)
-SELECT stream_id, count(*) AS received, max(seq_no) - min(seq_no) + 1 AS expected, max(seq_no) - min(seq_no) + 1 - count(DISTINCT seq_no) AS missing, count_if(coalesce(seq_no < seen, FALSE)) AS out_of_order, CAST(sum(CASE WHEN marker THEN 1 ELSE 0 END) AS BIGINT) AS markers FROM w GROUP BY 1""")
+SELECT stream_id, count(*) AS received, max(seq_no) - min(seq_no) + 1 AS expected, max(seq_no) - min(seq_no) + 1 - count(DISTINCT seq_no) AS missing, CAST(count_if(coalesce(seq_no < seen, FALSE)) AS BIGINT) AS out_of_order, CAST(sum(CASE WHEN marker THEN 1 ELSE 0 END) AS BIGINT) AS markers FROM w GROUP BY 1""")
 def rtp_loss_stats(spark, d):
     """A17, R2, D11"""
     return s.loss_stats(pkt(spark, d))
@@ -770,6 +770,47 @@ def fps_from_name(spark, d):
     return names.select("name", name_codec(F.col("name")).alias("codec"), q6(name_fps(F.col("name"))).alias("fps"))
 
 
+@query(f"""WITH w AS (SELECT *, (((ts32 - 4294960000) % 4294967296) + 4294967296) % 4294967296 / 90000.0::DOUBLE AS t FROM {PKT} p)
+SELECT stream_id, arrival_no, {q('t - first_value(t) OVER (PARTITION BY stream_id ORDER BY arrival_no)', 'since')} FROM w""")
+def replay_clock(spark, d):
+    """Time since a stream's first packet"""
+    from pyspark.sql import Window
+
+    t = F.pmod(F.col("ts32") - 4294960000, F.lit(4294967296)) / 90000.0
+    own = Window.partitionBy("stream_id").orderBy("arrival_no")
+    rows = pkt(spark, d).withColumn("t", t)
+    return rows.select("stream_id", F.col("arrival_no").cast("long").alias("arrival_no"), q6(F.col("t") - F.first("t").over(own)).alias("since"))
+
+
+@query(f"SELECT stream_id, seq_no, CAST(seq16 AS BIGINT) AS seq16, CAST(ts32 AS BIGINT) AS ts32, marker, CAST(7 AS BIGINT) AS ssrc, CAST(96 AS INT) AS pt FROM {PKT} p")
+def rtp_parse(spark, d):
+    """Packets written as bytes and read again"""
+    from sightline.sources.media import parse_packets
+
+    wide = lambda c, n: F.lpad(F.hex(c), n, "0")
+    data = F.unhex(F.concat(F.lit("80"), wide(F.when(F.col("marker"), 224).otherwise(96), 2), wide(F.col("seq16"), 4), wide(F.col("ts32"), 8), F.lit("00000007"), F.lit("AABB")))
+    return parse_packets(pkt(spark, d).select("stream_id", "seq_no", data.alias("data"))).drop("payload")
+
+
+@query("""SELECT event_id, b, CASE WHEN event_id % 2 = 0 THEN CASE WHEN b & 31 = 5 THEN 'key' WHEN b & 31 = 7 THEN 'sps' WHEN b & 31 = 8 THEN 'pps' WHEN b & 31 = 6 THEN 'sei' WHEN b & 31 BETWEEN 1 AND 4 THEN 'video' ELSE 'other' END
+ELSE CASE WHEN (b >> 1) & 63 = 32 THEN 'vps' WHEN (b >> 1) & 63 = 33 THEN 'sps' WHEN (b >> 1) & 63 = 34 THEN 'pps' WHEN (b >> 1) & 63 IN (39, 40) THEN 'sei' WHEN (b >> 1) & 63 BETWEEN 16 AND 21 THEN 'key' WHEN (b >> 1) & 63 <= 9 THEN 'video' ELSE 'other' END END AS kind
+FROM (SELECT event_id, CAST(event_id * 37 % 256 AS INT) AS b FROM events) t""")
+def nal_classes(spark, d):
+    """F15"""
+    from sightline.sources.media import H264, H265, nal_class_column
+
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("event_id") * 37 % 256).cast("int").alias("b"))
+    return e.withColumn("kind", nal_class_column(F.when(F.col("event_id") % 2 == 0, H264).otherwise(H265), F.col("b")))
+
+
+@query(f"SELECT vec_id, {q('floor(embedding[1]::DOUBLE * 1024 + 0.5) / 1024', 'x')} FROM embeddings WHERE abs(embedding[1]) >= 1 AND abs(embedding[1]) < 2 AND (embedding[1]::DOUBLE * 1024) % 1 NOT IN (0.5, -0.5)")
+def half_floats(spark, d):
+    """through 16 bits; between 1 and 2 the step is 1/1024"""
+    e = embeddings(spark, d).withColumn("embedding", v.through_half("embedding"))
+    whole = embeddings(spark, d).where("abs(embedding[0]) >= 1 AND abs(embedding[0]) < 2 AND (double(embedding[0]) * 1024) % 1 NOT IN (0.5D, -0.5D)").select("vec_id")
+    return e.join(whole, "vec_id", "left_semi").select("vec_id", q6(F.col("embedding")[0].cast("double")).alias("x"))
+
+
 # trackers, audio features, streams
 
 

@@ -106,3 +106,27 @@ def mp4_fragments(units: DataFrame) -> DataFrame:
     return timed.groupBy("stream_id", "fragment_no").applyInArrow(run, "stream_id long, fragment_no long, decode_time long, data binary")
 
 
+
+
+def mp4_init(codec: str, sets: list[bytes], timescale: int = 90_000) -> bytes:
+    """The start of a fragmented file: ftyp and moov with one video track, sized by its parameter sets (vps, sps, pps in order)."""
+    from sightline.sources.media import H264, sps_size
+
+    sps = sets[0] if codec == H264 else sets[1]
+    w, h = sps_size(codec, sps)
+    number = lambda x: struct.pack(">H", len(x)) + x
+    if codec == H264:
+        name, settings = b"avc1", _box(b"avcC", b"\1" + sps[1:4] + b"\xff\xe1" + number(sps) + b"\1" + number(sets[1]))
+    else:
+        arrays = b"".join(bytes([0x80 | kind]) + b"\0\1" + number(x) for kind, x in zip((32, 33, 34), sets, strict=True))
+        name, settings = b"hvc1", _box(b"hvcC", b"\1" + sps[3:15].ljust(12, b"\0") + b"\xf0\0\xfc\xfd\xf8\xf8\0\0\x0f\3" + arrays)
+    unit = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
+    entry = _box(name, bytes(6), b"\0\1", bytes(16), struct.pack(">HHIIIH", w, h, 0x480000, 0x480000, 0, 1), bytes(32), b"\0\x18\xff\xff", settings)
+    empty = lambda kind, n=8: _box(kind, bytes(n))
+    table = _box(b"stbl", _box(b"stsd", struct.pack(">II", 0, 1), entry), empty(b"stts"), empty(b"stsc"), empty(b"stsz", 12), empty(b"stco"))
+    media = _box(b"minf", _box(b"vmhd", struct.pack(">I", 1), bytes(8)), _box(b"dinf", _box(b"dref", struct.pack(">II", 0, 1), _box(b"url ", struct.pack(">I", 1)))), table)
+    mdia = _box(b"mdia", _box(b"mdhd", struct.pack(">IIIIIHH", 0, 0, 0, timescale, 0, 0x55C4, 0)), _box(b"hdlr", bytes(8), b"vide", bytes(12), b"video\0"), media)
+    track = _box(b"trak", _box(b"tkhd", struct.pack(">IIIIII", 7, 0, 0, 1, 0, 0), bytes(16), unit, struct.pack(">II", w << 16, h << 16)), mdia)
+    head = _box(b"mvhd", struct.pack(">IIIII", 0, 0, 0, timescale, 0), struct.pack(">IH", 0x10000, 0x100), bytes(10), unit, bytes(24), struct.pack(">I", 2))
+    extends = _box(b"mvex", _box(b"trex", struct.pack(">IIIIII", 0, 1, 1, 0, 0, 0)))
+    return _box(b"ftyp", b"iso5", struct.pack(">I", 512), b"iso5iso6mp41") + _box(b"moov", head, track, extends)

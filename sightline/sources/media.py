@@ -102,12 +102,12 @@ def split_lengths(data: bytes) -> list[bytes]:
     return out
 
 
-def units_of(codec: str, nals: list[bytes], fps: float = 30.0) -> list[dict]:
-    """Access units on a synthetic 90 kHz clock: a picture's first slice ends the unit before it; the last unit is flushed."""
+def units_of(codec: str, nals: list[bytes], fps: float = 30.0, every_slice: bool = False) -> list[dict]:
+    """Access units on a synthetic 90 kHz clock: a picture's first slice (or every slice) ends the unit before it; the last unit is flushed."""
     out, now, has_video = [], [], False
     for nal in nals:
         video = nal_class(codec, nal_type(codec, nal)) in ("video", "key")
-        if video and has_video and first_slice(codec, nal):
+        if video and has_video and (every_slice or first_slice(codec, nal)):
             out.append(now)
             now, has_video = [], False
         now.append(nal)
@@ -329,6 +329,28 @@ def read_annexb(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path, "au_no long, ts90k long, key boolean, n_nals int, data binary", parse)
 
 
+def read_media(spark: SparkSession, path: str) -> DataFrame:
+    """Access units of a file by its suffix: a capture's packets by media time, any other file as Annex-B."""
+    if not path.endswith(".pcap"):
+        return read_annexb(spark, path)
+
+    def parse(name: str, data: bytes):
+        from sightline.api import PcapDecoder
+
+        units, out = PcapDecoder(data), []
+        while unit := units.get_frame():
+            out.append({"au_no": len(out), "ts90k": unit["ts90k"], "key": None, "n_nals": len(unit["nals"]), "data": b"".join(b"\0\0\0\1" + x for x in unit["nals"])})
+        return out
+
+    return _files(spark, path, "au_no long, ts90k long, key boolean, n_nals int, data binary", parse)
+
+
+def read_pictures(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Encoded picture files as they are (path, content), the first `most` by name; decoding is up to the user."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jp*g").load(path).select("path", "content")
+    return files if most is None else files.orderBy("path").limit(most)
+
+
 def read_length_prefixed(spark: SparkSession, path: str, codec: str = H264, fps: float = 30.0) -> DataFrame:
     return _files(spark, path, "au_no long, ts90k long, key boolean, n_nals int, data binary", lambda _, data: units_of(codec, split_lengths(data), fps))
 

@@ -252,6 +252,40 @@ def test_picture_size():
     assert media.sps_size("h264", sps) == (1920, 1080)
 
 
+def sps():
+    ue = lambda x: bin(x + 1)[2:].rjust(2 * len(bin(x + 1)) - 5, "0")
+    body = format(66, "08b") + "0" * 8 + format(30, "08b") + ue(0) + ue(0) + ue(0) + ue(0) + ue(1) + "0" + ue(39) + ue(29) + "1" + "1" + "0" + "0" + "1"
+    return b"\x67" + int(body.ljust(-(-len(body) // 8) * 8, "0"), 2).to_bytes(-(-len(body) // 8), "big")
+
+
+def test_mp4_start():
+    data = labels.mp4_init("h264", [sps(), b"\x68\xce"])
+    assert data[4:8] == b"ftyp" and b"avcC\1" + sps()[1:4] in data and struct.pack(">HH", 640, 480) in data
+    at, seen = 0, []
+    while at < len(data):
+        seen.append(data[at + 4 : at + 8])
+        at += int.from_bytes(data[at : at + 4], "big")
+    assert at == len(data) and seen == [b"ftyp", b"moov"]
+
+
+def test_media_dispatch_and_pictures(spark, tmp_path):
+    from tests_support import pcap_of_units
+
+    (tmp_path / "x.pcap").write_bytes(pcap_of_units([[b"\x67a", b"\x65b"], [b"\x41c"]]))
+    (tmp_path / "p.jpg").write_bytes(b"JPEG")
+    assert [r.n_nals for r in media.read_media(spark, str(tmp_path / "x.pcap")).orderBy("au_no").collect()] == [2, 1]
+    assert media.read_pictures(spark, str(tmp_path), 5).count() == 1
+    assert len(media.units_of("h264", [b"\x65\x88", b"\x65\x08"], every_slice=True)) == 2
+
+
+def test_conversion_paths():
+    assert pixels.conversion_path("nv12", "planar") == ["nv12", "yuv420", "rgb24", "planar"] and pixels.conversion_path("rgb24", "rgb24") == ["rgb24"]
+    with pytest.raises(ValueError):
+        pixels.conversion_path("mono", "rgb24")
+    a = [np.zeros((2, 2), np.uint8)]
+    assert pixels.equal_images(a, a) and not pixels.equal_images(a, [a[0] + 3]) and pixels.equal_images(a, [a[0] + 3], 3)
+
+
 def test_rtp_and_depacketization(spark):
     head = struct.pack(">BBHIII", 0x90 | 1, 0x80 | 96, 7, 1000, 42, 9) + struct.pack(">HHI", 1, 1, 5)
     h = media.rtp_header(head + b"xyz")
