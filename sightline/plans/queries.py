@@ -803,11 +803,11 @@ def nal_classes(spark, d):
     return e.withColumn("kind", nal_class_column(F.when(F.col("event_id") % 2 == 0, H264).otherwise(H265), F.col("b")))
 
 
-@query(f"SELECT vec_id, {q('floor(embedding[1]::DOUBLE * 1024 + 0.5) / 1024', 'x')} FROM embeddings WHERE abs(embedding[1]) >= 1 AND abs(embedding[1]) < 2 AND (embedding[1]::DOUBLE * 1024) % 1 NOT IN (0.5, -0.5)")
+@query(f"SELECT vec_id, {q('floor(embedding[1]::DOUBLE * 8192 + 0.5) / 8192', 'x')} FROM embeddings WHERE abs(embedding[1]) >= 0.125 AND abs(embedding[1]) < 0.25 AND (embedding[1]::DOUBLE * 8192) % 1 NOT IN (0.5, -0.5)")
 def half_floats(spark, d):
-    """through 16 bits; between 1 and 2 the step is 1/1024"""
+    """through 16 bits; between 1/8 and 1/4 the step is 1/8192"""
     e = embeddings(spark, d).withColumn("embedding", v.through_half("embedding"))
-    whole = embeddings(spark, d).where("abs(embedding[0]) >= 1 AND abs(embedding[0]) < 2 AND (double(embedding[0]) * 1024) % 1 NOT IN (0.5D, -0.5D)").select("vec_id")
+    whole = embeddings(spark, d).where("abs(embedding[0]) >= 0.125 AND abs(embedding[0]) < 0.25 AND (double(embedding[0]) * 8192) % 1 NOT IN (0.5D, -0.5D)").select("vec_id")
     return e.join(whole, "vec_id", "left_semi").select("vec_id", q6(F.col("embedding")[0].cast("double")).alias("x"))
 
 
