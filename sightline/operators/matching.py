@@ -86,15 +86,23 @@ def mota_objects(hyp: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFrame
 
 
 def mota_summary(hyp: DataFrame, gt: DataFrame, least: float = 0.5, by: list[str] = ["stream_id"]) -> DataFrame:
-    """The final metrics of each stream (or of all: by=[])."""
-    f = mota_frames(hyp, gt, least).groupBy(*by).agg(F.count(F.lit(1)).alias("frames"), *[F.sum(c).alias(c) for c in ("n_gt", "n_hyp", "matches", "fp", "misses", "switches", "fragmentations", "total_iou")])
-    o = mota_objects(hyp, gt, least).groupBy(*by).agg(F.count(F.lit(1)).alias("objects"), *[F.count_if(F.col("quality") == q).alias(n) for q, n in (("MT", "mostly_tracked"), ("PT", "partly_tracked"), ("ML", "mostly_lost"))], F.count_if(F.col("matched") == 0).alias("missed"))
-    used = mota_matches(hyp, gt, least).select("stream_id", F.col("a_id").alias("track_id")).distinct()
-    lost = hyp.select("stream_id", "track_id").distinct().join(used, ["stream_id", "track_id"], "left_anti").groupBy(*by).agg(F.count(F.lit(1)).alias("fp_tracks"))
-    rows = f.join(o, by, "left").join(lost, by, "left") if by else f.crossJoin(o).crossJoin(lost)
-    ratio = lambda a, b: F.try_divide(a, b)
+    """The final metrics of each stream (or of all: by=[]). Matches are summed by true object once; all counts start from those sums."""
+    keys = by or ["_all"]
+    told = lambda df: df if by else df.withColumn("_all", F.lit(1))
+    own = mota_matches(hyp, gt, least).groupBy("stream_id", "b_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("iou").alias("total_iou"), F.count_if("switched").alias("switches"), F.count_if("fragmented").alias("fragmentations"), F.collect_set("a_id").alias("tracks"))
+    each = gt.groupBy("stream_id", F.col("gt_id").alias("b_id")).agg(F.count(F.lit(1)).alias("n")).join(own, ["stream_id", "b_id"], "left").na.fill(0)
+    share = F.col("matched") / F.col("n")
+    objects = told(each).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("objects"), F.sum("n").alias("n_gt"), F.sum("matched").alias("matches"), F.sum("total_iou").alias("total_iou"), F.sum("switches").alias("switches"), F.sum("fragmentations").alias("fragmentations"),
+        F.count_if(share >= 0.8).alias("mostly_tracked"), F.count_if((share >= 0.2) & (share < 0.8)).alias("partly_tracked"), F.count_if(share < 0.2).alias("mostly_lost"), F.count_if(F.col("matched") == 0).alias("missed"),
+    )
+    frames = told(hyp.select(*FRAME).unionByName(gt.select(*FRAME)).distinct()).groupBy(*keys).agg(F.count(F.lit(1)).alias("frames"))
+    used = own.select("stream_id", F.explode("tracks").alias("track_id"), F.lit(True).alias("used")).distinct()
+    tracks = hyp.groupBy("stream_id", "track_id").agg(F.count(F.lit(1)).alias("n")).join(used, ["stream_id", "track_id"], "left")
+    found = told(tracks).groupBy(*keys).agg(F.sum("n").alias("n_hyp"), F.count_if(F.col("used").isNull()).alias("fp_tracks"))
+    rows = frames.join(objects, keys, "left").join(found, keys, "left").na.fill(0).withColumn("fp", F.col("n_hyp") - F.col("matches")).withColumn("misses", F.col("n_gt") - F.col("matches"))
     m, fp, miss = F.col("matches"), F.col("fp"), F.col("misses")
-    return rows.na.fill(0).select(
+    return rows.select(
         *by, "frames", "objects", "n_gt", "matches", "fp", "misses", "switches", "fragmentations", "mostly_tracked", "partly_tracked", "mostly_lost", "missed", "fp_tracks",
-        ratio(m, m + miss).alias("recall"), ratio(m, m + fp).alias("precision"), (1 - ratio(miss + fp + F.col("switches"), F.col("n_gt"))).alias("mota"), ratio(F.col("total_iou"), m).alias("motp"), ratio(2 * m, 2 * m + fp + miss).alias("idf1"),
+        F.try_divide(m, m + miss).alias("recall"), F.try_divide(m, m + fp).alias("precision"), (1 - F.try_divide(miss + fp + F.col("switches"), F.col("n_gt"))).alias("mota"), F.try_divide(F.col("total_iou"), m).alias("motp"), F.try_divide(2 * m, 2 * m + fp + miss).alias("idf1"),
     )
