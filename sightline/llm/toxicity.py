@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -182,29 +182,30 @@ def _dense(emit: np.ndarray, mask: np.ndarray, moves: np.ndarray):
     return marginal, moved, np.log(scale).sum()
 
 
-def _few_copies(texts: list[list[bytes]]) -> np.ndarray:
-    """The first of each group of texts that share either of two least hashes of word triples."""
-    seen, keep = set(), np.ones(len(texts), bool)
-    for i, words in enumerate(texts):
-        parts = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
-        marks = {(s, min(zlib.crc32(p, s) for p in parts)) for s in (1, 2)}
-        keep[i] = not marks & seen
-        seen |= marks
-    return keep
+def _is_copy(words: list[bytes], seen: set[tuple[int, int]]) -> bool:
+    """Whether a text shares either of two least hashes of word triples with one in `seen`, to which it is added."""
+    parts = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+    marks = {(s, min(zlib.crc32(p, s) for p in parts)) for s in (1, 2)}
+    found = not marks.isdisjoint(seen)
+    seen |= marks
+    return found
 
 
-def fit(texts: list[bytes], labels: list[int], toxic_share: float | None = None) -> Model:
-    """The model of labelled documents; toxic_share is that of all labels, if these are chosen unevenly."""
+def fit(texts: Iterable[bytes], labels: list[int], toxic_share: float | None = None) -> Model:
+    """The model of labelled documents; toxic_share is that of all labels, if these are chosen unevenly. A text is read once and kept as word numbers."""
     y = np.array(labels, np.int64)
     share = float(np.clip(toxic_share if toxic_share is not None else (y.mean() if len(y) else 0.0), 0.0, 1.0))
     none = Model({}, np.zeros((2, 2)), -5.0, (float(np.log((share + 1e-6) / (1 - share + 1e-6))), 0.0, 0.0, 0.0))
     if not 0 < y.sum() < len(y):
         return none
-    words = [words_of(t) for t in texts]
     known: dict[bytes, int] = {}
-    ids = [np.array([known.setdefault(w, len(known)) for w in ws], np.int64) for ws in words]
-    each = np.array([_hashed(features(w)) for w in known], np.int64).reshape(-1, _FEATURES)
-    keep = _few_copies(words)
+    ids, keep, seen = [], np.ones(len(y), bool), set()
+    for i, text in enumerate(texts):
+        words = words_of(text)
+        ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+        keep[i] = not _is_copy(words, seen)
+    del seen
+    each = np.fromiter((h for w in known for h in _hashed(features(w))), np.int32, len(known) * _FEATURES).reshape(-1, _FEATURES)
     size = 1 << FEATURE_BITS
     counts = np.zeros((2, size), np.int32)
     for i in np.flatnonzero(keep):
@@ -222,9 +223,9 @@ def fit(texts: list[bytes], labels: list[int], toxic_share: float | None = None)
     seed_word = is_seed[each].any(axis=1)
     if not seed_word.any():
         return none
-    model = _fit_field(ids, each, seed_word, y, list(known))
-    memory = model.memory()
-    x = np.array([evidence(gap_marginals(emissions(memory, ws), model.bias, model.moves)[1], len(ws)) for ws in words])
+    del counts, is_seed
+    model, extra = _fit_field(ids, each, seed_word, y, list(known))
+    x = np.array([evidence(gap_marginals(extra[ws], model.bias, model.moves)[1], len(ws)) for ws in ids])
     w, ridge = np.zeros(x.shape[1]), np.array([1e-3] + [0.05] * (x.shape[1] - 1))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -239,8 +240,8 @@ def fit(texts: list[bytes], labels: list[int], toxic_share: float | None = None)
     return model
 
 
-def _fit_field(ids: list[np.ndarray], each: np.ndarray, seed_word: np.ndarray, y: np.ndarray, known: list[bytes]) -> Model:
-    """Weights, moves and bias of the field on segments of the documents: all that hold a seed word, and others up to MOST_SEGMENTS."""
+def _fit_field(ids: list[np.ndarray], each: np.ndarray, seed_word: np.ndarray, y: np.ndarray, known: list[bytes]) -> tuple[Model, np.ndarray]:
+    """Weights, moves and bias of the field on segments of the documents: all that hold a seed word, and others up to MOST_SEGMENTS. Also what each known word adds to the bias."""
     held, rest = [], []
     for i, ws in enumerate(ids):
         for k in range(0, len(ws), SEGMENT):
@@ -286,7 +287,9 @@ def _fit_field(ids: list[np.ndarray], each: np.ndarray, seed_word: np.ndarray, y
     heavy = dict(zip(named[some := np.flatnonzero(abs(weight) > 1e-3)].tolist(), weight[some].tolist(), strict=True))
     rows = np.flatnonzero(np.isin(each, list(heavy)).any(axis=1))
     weights = {name: heavy[h] for r in rows for name, h in zip(features(known[r]), each[r].tolist(), strict=True) if h in heavy}
-    return Model(weights, moves, float(bias), (0.0,) * 4)
+    extra = np.zeros(len(known))
+    extra[rows] = [sum([weights.get(f, 0.0) for f in features(known[r])]) for r in rows]
+    return Model(weights, moves, float(bias), (0.0,) * 4), extra
 
 
 def held_out(doc_id: Column) -> Column:
@@ -302,7 +305,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(TRAIN_TOXIC).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(TRAIN_CLEAN))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text or ""))
-    return fit([(r.text or "").encode() for r in rows], [r.toxic for r in rows], share)
+    labels_, rows = [r.toxic for r in rows], rows[::-1]
+    # each text is let go once it is read
+    return fit(((rows.pop().text or "").encode() for _ in labels_), labels_, share)
 
 
 _WORD = regex.compile(rb"[0-9A-Za-z\x80-\xff]+")
