@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from dataclasses import dataclass, field
 
 from sightline.operators.fold import Step
@@ -241,17 +240,3 @@ class Reorder(Step):
                 return
             self.last = nxt
             yield {"event": "missing", "seq16": nxt}
-
-
-@dataclass
-class Window(Step):
-    """The last n rows; the base of smoothing steps of one's own."""
-
-    n: int
-    rows: deque = field(default_factory=deque)
-
-    def push(self, row):
-        self.rows.append(row)
-        if len(self.rows) > self.n:
-            self.rows.popleft()
-        return ()
