@@ -12,7 +12,9 @@ Exact copies are one node from the start. A bucket of a band links its members
 with its first and last one (stars, so a bucket of a third of all rows gives
 about two candidates a row and is no group in any task); after verification,
 buckets whose members are still in several classes are tried again with one
-member of each class, until a round finds no new link. BANDS x ROWS finds a pair
+member of each class, until a round finds no new link. Members of the buckets
+that then still hold several classes are joined exactly (`crossing`): no pair of
+two classes in a bucket is left untested. BANDS x ROWS finds a pair
 at 0.8 with 99.8 %, at 0.9 with all but 1 in 10**7.
 
 Defined cases: null and wordless texts are never linked; a text of fewer than
@@ -134,19 +136,55 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table(schema, id=batch.column("doc_id"), shingles=pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64))))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets have a Jaccard similarity of at least `similar`."""
-    ids = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "candidates")
+def sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and the distinct shingles of the documents in `ids` (distinct doc_id)."""
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     # rows that repeat a doc_id make equal sets, or sets of which one links
-    sets = staged(texts.mapInArrow(_sets, "id long, shingles array<long>"), "shingle-sets")
+    return staged(texts.mapInArrow(_sets, "id long, shingles array<long>"), "shingle-sets")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `similar`."""
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     both = one.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= similar * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
+def verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) whose texts' shingle sets have a Jaccard similarity of at least `similar`."""
+    ids = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "candidates")
+    return linked(pairs, sets_of(ids, docs), similar)
+
+
+def crossing(rest: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
+    """All pairs (a, b) of documents of different classes (rest: rep, root) with a Jaccard similarity of at least `similar`.
+
+    A prefix-filtered join: shingles of one class only cannot be shared, so they
+    come first in a text's order, then the others, rare ones first. A pair must
+    share a shingle within the first of both texts, few enough that the rest can
+    still reach the overlap it needs (fewer in the shorter text, the indexed
+    side). Classes meet by shingle before their members do, so that members of
+    one class are never paired.
+    """
+    sets = sets_of(staged(rest.select(F.col("rep").alias("doc_id")).distinct(), "rest-ids"), docs)
+    at_least = lambda share, n: F.ceil(share * n - 1e-9)
+    half = similar / (1 + similar)
+    each = sets.join(rest.select(F.col("rep").alias("id"), "root").distinct(), "id").select("id", "root", F.xxhash64("shingles").alias("text"), F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    met = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h", "df")
+    own = each.join(met, "h").groupBy("id", "text", "n", "root").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
+    own = own.withColumn("m", F.size("common")).withColumn("probed", F.col("m") - at_least(similar, F.col("n")) + 1).where("probed > 0")
+    first = own.select("id", "root", "n", "m", F.posexplode(F.slice("common", F.lit(1), F.col("probed").cast("int"))).alias("k", "e"))
+    first = staged(first.select("id", "root", "n", F.col("e.h").alias("h"), (F.col("n") - F.col("m") + F.col("k")).alias("at"), (F.col("k") <= F.col("m") - at_least(2 * half, F.col("n"))).alias("indexed")), "prefixes")
+    x = first.where("indexed").select("h", F.col("root").alias("r"), F.col("id").alias("a"), F.col("n").alias("p"), F.col("at").alias("i"))
+    y = first.select("h", F.col("root").alias("s"), F.col("id").alias("b"), F.col("n").alias("q"), F.col("at").alias("j"))
+    meet = x.select("h", "r").distinct().join(y.select("h", "s").distinct(), "h").where("r <> s")
+    both = meet.join(x, ["h", "r"]).join(y, ["h", "s"]).where("p <= q").where(F.least(F.col("p") - F.col("i"), F.col("q") - F.col("j")) >= at_least(half, F.col("p") + F.col("q")))
+    pairs = staged(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crossing")
+    return linked(pairs, sets, similar)
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (the least doc_id of the class), n_links (verified links of its text to others), kept (the one of the class) of each document."""
     sig = staged(signed(docs, bands, rows), "signatures")
@@ -175,6 +213,15 @@ def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows:
             break
         tried, links = tried.unionByName(more), links.unionByName(found)
         roots = staged(components(links), "roots")
+    # what is left: every two members of different classes in a bucket are compared or ruled out
+    named = members.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rest = staged(named.join(several, "key").select("rep", "root").distinct(), "rest")
+    if not rest.isEmpty():
+        found = staged(crossing(rest, docs, similar), "rest-links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = staged(components(links), "roots")
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     named = roots.withColumnRenamed("node", "rep").join(ends, "rep", "left")
     own = sig.select("doc_id", "digest").join(sig.groupBy("digest").agg(F.min("doc_id").alias("rep")), "digest").select("doc_id", "rep").join(named, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"), "n_links")

@@ -321,6 +321,21 @@ def test_minhash_links_a_large_group(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_minhash_links_pairs_inside_a_family_below_the_limit(spark):
+    # one template, 24 words changed in each text; the two of a pair change 15 at the same places, so only they are above 0.8
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        places = rng.sample(range(5, 1795, 5), 33)
+        for one, own in ((2 * i, places[:24]), (2 * i + 1, places[:15] + places[24:])):
+            rows.append((one, " ".join(f"new{one}" if k in own else f"w{k}" for k in range(1800))))
+    rng.shuffle(rows)
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(1796)} for i, t in rows}
+    assert {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])} == {(2 * i, 2 * i + 1) for i in range(60)}
+    got = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in sets}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
