@@ -5,8 +5,11 @@ Each shingle is a Poisson process with its weight as rate; every arrival goes to
 a random component of the signature, which keeps the earliest. A shingle stops
 as soon as its next arrival is later than all components' (early termination).
 Two signatures agree in a component with the chance of the texts' probability
-Jaccard similarity. Documents that agree in a whole band are candidates, which
-are verified on their shingle sets: Jaccard similarity of at least SIMILAR.
+Jaccard similarity. A text that repeats shingles is also signed with all weights
+1, which agrees with the chance of the sets' Jaccard similarity (where nothing
+repeats, both signatures are one). Documents that agree in a whole band of either
+are candidates, which are verified on their shingle sets: Jaccard similarity of
+at least SIMILAR.
 
 Exact copies are one node from the start. A bucket of a band links its members
 with its first and last one (stars, so a bucket of a third of all rows gives
@@ -103,27 +106,43 @@ def prob_minhash(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int
 def _signed(bands: int, rows: int):
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
+    salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
+
+    def banded(signatures: np.ndarray) -> np.ndarray:
+        sig = signatures.reshape(len(signatures), bands, rows)
+        key = np.broadcast_to(salt, (len(sig), bands))
+        for k in range(rows):
+            key = mix(key * _GOLDEN + sig[:, :, k])
+        return key
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt, memory = mix(np.arange(1, bands + 1, dtype=np.uint64)), word_hashes()
+        memory = word_hashes()
         for batch in slices(batches, "text", 4 << 20):
             texts = as_bytes(batch.column("text"))
             doc, h, count = shingles(texts, memory)
             n = np.bincount(doc, minlength=len(texts))
             some = np.flatnonzero(n)
             number = np.cumsum(n > 0) - 1
-            sig = prob_minhash(number[doc], h, 1 + np.log2(count), len(some), bands * rows).reshape(len(some), bands, rows)
-            key = np.broadcast_to(salt, (len(some), bands))
-            for k in range(rows):
-                key = mix(key * _GOLDEN + sig[:, :, k])
+            own = number[doc]
+            repeats = np.unique(own[count > 1])
+            among = np.flatnonzero(np.isin(own, repeats))
+            weighted = prob_minhash(own, h, 1 + np.log2(count), len(some), bands * rows)
+            plain = prob_minhash(np.searchsorted(repeats, own[among]), h[among], np.ones(len(among)), len(repeats), bands * rows)
+            sizes = np.full(len(some), bands)
+            sizes[repeats] *= 2
+            ends = np.append(0, np.cumsum(sizes))
+            keys, places = np.empty(ends[-1], np.uint64), np.arange(bands)
+            keys[ends[:-1, None] + places] = banded(weighted)
+            keys[ends[repeats, None] + bands + places] = banded(plain)
             ids = batch.column("doc_id").take(pa.array(some))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(key.astype(np.int64).ravel()))
+            flat = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))
             yield table(schema, doc_id=ids, digest=[xxhash.xxh3_128_digest(texts[i]) for i in some.tolist()], n=n[some].astype(np.int32), bands=flat)
 
     return run
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, digest (of the text), n (distinct shingles), bands (a key each) of each document that has words."""
+    """doc_id, digest (of the text), n (distinct shingles), bands (a key each; those of the plain signature too where a shingle repeats) of each document that has words."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(_signed(bands, rows), "doc_id long, digest binary, n int, bands array<long>")
 
 
@@ -189,7 +208,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows:
     """doc_id, class_id (the least doc_id of the class), n_links (verified links of its text to others), kept (the one of the class) of each document."""
     sig = staged(signed(docs, bands, rows), "signatures")
     texts = sig.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    keyed = staged(texts.select("rep", "n", F.explode("bands").alias("key")), "keys")
+    keyed = staged(texts.select("rep", "n", F.explode(F.array_distinct("bands")).alias("key")), "keys")
     shared = keyed.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     members = staged(keyed.join(shared, "key"), "buckets")
     fits = lambda x, y: F.least(x, y) >= similar * F.greatest(x, y)

@@ -336,6 +336,17 @@ def test_minhash_links_pairs_inside_a_family_below_the_limit(spark):
     assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in sets}
 
 
+def test_minhash_finds_copies_that_repeat_a_line(spark):
+    rows = []
+    for i in range(20):
+        w = [f"d{i}w{k}" for k in range(60)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:30] + w[20:30] * 199 + w[30:]))]
+    sets = {i: {tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in rows}
+    assert all(len(sets[2 * i] & sets[2 * i + 1]) > 0.9 * len(sets[2 * i] | sets[2 * i + 1]) for i in range(20))
+    got = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in sets}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)]
