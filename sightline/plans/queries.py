@@ -811,6 +811,13 @@ def half_floats(spark, d):
     return e.join(whole, "vec_id", "left_semi").select("vec_id", q6(F.col("embedding")[0].cast("double")).alias("x"))
 
 
+@query()
+def half_floats_all(spark, d):
+    """F7 on all rows and elements: ties, subnormals and overflow are beyond SQL; tested against numpy"""
+    e = embeddings(spark, d).withColumn("half", v.through_half("embedding"))
+    return e.select("vec_id", "half")
+
+
 # trackers, audio features, streams
 
 

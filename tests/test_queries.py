@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from sightline.plans import fixtures as fx
@@ -41,6 +42,19 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, TINY).count() > 0
 
 
+def test_half_floats_of_all_rows_and_elements(spark, tmp_path):
+    edge = np.array([0.0, -0.0, 1e-8, 2.0**-25, 6e-8, 5e-5, 2.0**-14, 0.1, 1 + 2.0**-11, 1 + 3 * 2.0**-11, 65504, 65519, 65520, 1e6, -1e6, 3e38, np.inf, -np.inf], np.float32)
+    vectors = {0: np.resize(edge, 64), 1: (np.arange(64, dtype=np.float32) + np.float32(0.5)) / np.float32(8192), 2: np.linspace(-3, 3, 64, dtype=np.float32)}
+    spark.createDataFrame([(k, x.tolist(), 0) for k, x in vectors.items()], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    with np.errstate(over="ignore"):
+        want = {k: x.astype(np.float16).astype(np.float32).tobytes() for k, x in vectors.items()}
+    got = QUERIES["half_floats_all"](spark, str(tmp_path)).collect()
+    assert {r.vec_id: np.array(r.half, np.float32).tobytes() for r in got} == want
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet(f"{TINY}/embeddings.parquet").collect()}
+    got = QUERIES["half_floats_all"](spark, TINY).collect()
+    assert len(got) == len(rows) and all(r.half == np.array(rows[r.vec_id], np.float32).astype(np.float16).tolist() for r in got)
+
+
 def test_fixture_checksums(spark):
     total = lambda df, e: df.selectExpr(e).first()[0]
     assert total(det(spark, SMALL), "sum(det_id * frame_no)") == 23974139546
