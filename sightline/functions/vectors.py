@@ -97,6 +97,42 @@ def nearest(queries: DataFrame, prompts: DataFrame, k: int, query: str = "vec_id
     return ranked.select(query, (F.col("rank") + 1).alias("rank"), F.col("e.p").alias(prompt), (-F.col("e.c")).alias("cosine"))
 
 
+def searched(queries: DataFrame, rows: DataFrame, k: int, query: str = "query_id", row: str = "vec_id", block: int = 4096) -> DataFrame:
+    """The k rows of the largest cosine for each query, the lower id of equals. Queries are broadcast a block at a time; each task keeps its k best."""
+    spark, schema = rows.sparkSession, "q long, c double, r long"
+    units = rows.where("embedding IS NOT NULL").select(F.col(row).cast("long").alias("r"), l2_normalized(F.col("embedding")).alias("u"))
+    asked = queries.where("embedding IS NOT NULL").select(F.col(query).cast("long").alias("q"), l2_normalized(F.col("embedding")).alias("u"))
+    blocks = -(-asked.count() // block) or 1
+
+    def best_of(part: list):
+        held = spark.sparkContext.broadcast((np.array([x.q for x in part], np.int64), np.array([x.u for x in part], np.float64)))
+
+        def run(batches):
+            ids, q = held.value
+            c, r = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+            for frame in batches:
+                for at in range(0, len(frame), 1024):
+                    some = frame.iloc[at : at + 1024]
+                    u = np.stack(some["u"].to_numpy()).astype(np.float64)
+                    product = np.zeros((len(ids), len(u)))
+                    for i in range(u.shape[1]):  # in the order of the elements, so that equal vectors have equal products
+                        product += q[:, i, None] * u[None, :, i]
+                    c, r = np.hstack([c, product]), np.hstack([r, np.broadcast_to(some["r"].to_numpy(), product.shape)])
+                    order = np.lexsort((r, -c), axis=1)[:, :k]
+                    c, r = np.take_along_axis(c, order, 1), np.take_along_axis(r, order, 1)
+            yield pd.DataFrame({"q": np.repeat(ids, c.shape[1]), "c": c.ravel(), "r": r.ravel()})
+
+        return units.mapInPandas(run, schema)
+
+    found = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()
+        found = found.unionByName(best_of(part)) if part else found
+    best = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "r"))), 1, k).alias("best"))
+    ranked = best.select("q", F.posexplode("best").alias("rank", "e"))
+    return ranked.select(F.col("q").alias(query), (F.col("rank") + 1).alias("rank"), F.col("e.r").alias(row), (-F.col("e.c")).alias("cosine"))
+
+
 def audio_levels(samples: Column) -> dict[str, Column]:
     """peak, energy, rms and lufs (unweighted, ungated) of a chunk's samples."""
     energy = dot(samples, samples)

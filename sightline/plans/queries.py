@@ -500,6 +500,15 @@ def cosine_topk(spark, d):
     return v.nearest(e, prompts, 3).select("vec_id", "rank", "prompt_id", q6(F.col("cosine")).alias("cosine"))
 
 
+@query(f"""WITH u AS (SELECT vec_id, {_UNIT('embedding')} AS u FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, {_DOT('a.u', 'b.u')} AS c FROM u a, u b WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(r AS INT) AS rank, vec_id, {q('c', 'cosine')} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS r FROM s) t WHERE r <= 3""")
+def cosine_search(spark, d):
+    """Every vector whose id is divisible by 50 against all vectors"""
+    e = embeddings(spark, d)
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return v.searched(queries, e, 3).select("query_id", "rank", "vec_id", q6(F.col("cosine")).alias("cosine"))
+
+
 @query(f"""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(1, 65)) AS i FROM embeddings), mean AS (SELECT label, i, sum(x) / (count(*) + 1e-7) AS mu FROM e GROUP BY 1, 2),
 c AS (SELECT vec_id, list(x - mu ORDER BY i) AS c FROM e JOIN mean USING (label, i) GROUP BY vec_id), u AS (SELECT vec_id, {_UNIT('c')} AS u FROM c) SELECT vec_id, {q('u[1]', 'first')}, {q('u[64]', 'last')} FROM u""")
 def reid_centered(spark, d):

@@ -55,6 +55,22 @@ def test_half_floats_of_all_rows_and_elements(spark, tmp_path):
     assert len(got) == len(rows) and all(r.half == np.array(rows[r.vec_id], np.float32).astype(np.float16).tolist() for r in got)
 
 
+def test_cosine_search_meets_all_rows(spark):
+    from sightline.functions import vectors as v
+
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{TINY}/embeddings.parquet").collect())
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {int(i): ids[np.argsort(-(u @ u[k]), kind="stable")[:3]].tolist() for k, i in enumerate(ids) if i % 50 == 0}
+    got = {}
+    for r in sorted(QUERIES["cosine_search"](spark, TINY).collect(), key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == want and any(i >= 20 for found in want.values() for i in found[1:])
+    e = spark.read.parquet(f"{TINY}/embeddings.parquet")
+    asked = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    assert {(r.query_id, r.rank, r.vec_id) for r in v.searched(asked, e.repartition(3), 3, block=4).collect()} == {(i, k + 1, f) for i, found in want.items() for k, f in enumerate(found)}
+
+
 def test_fixture_checksums(spark):
     total = lambda df, e: df.selectExpr(e).first()[0]
     assert total(det(spark, SMALL), "sum(det_id * frame_no)") == 23974139546
