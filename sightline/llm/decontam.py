@@ -36,11 +36,12 @@ from sightline.llm._common import as_bytes
 WINDOW, BLOCK_BYTES = 10, 8 << 20
 
 _WORD = frozenset([*range(48, 58), *range(97, 123), *range(128, 256)])
-_TO_WORDS = bytes(c if (c := b + 32 if 65 <= b <= 90 else b) in _WORD else 32 for b in range(256))
+#: For each byte what counts for it in a word, or a space.
+TO_WORDS = bytes(c if (c := b + 32 if 65 <= b <= 90 else b) in _WORD else 32 for b in range(256))
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_TO_WORDS).split()
+    return text.translate(TO_WORDS).split()
 
 
 class Windows:
