@@ -47,10 +47,13 @@ lv AS (SELECT d.*, k AS depth, h >> ({BITS} - k) AS prefix FROM d, range(0, {BIT
 b AS (SELECT depth, prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs, min(h) AS lo, max(h) AS hi FROM lv GROUP BY depth, prefix),
 ok AS (SELECT lv.doc_id, lv.n_bytes, CAST(lv.depth AS INT) AS depth, lv.prefix, b.shard_bytes, b.shard_docs,
   row_number() OVER (PARTITION BY lv.doc_id ORDER BY lv.depth) AS r
-  FROM lv JOIN b USING (depth, prefix) WHERE b.shard_bytes <= {limit} OR b.lo = b.hi)
-SELECT doc_id, n_bytes, depth, prefix, CAST(0 AS BIGINT) AS page,
-  (CASE WHEN depth = 0 THEN '-' ELSE lpad(bin(prefix), depth, '0') END) || '.0' AS shard, shard_bytes, shard_docs
-FROM ok WHERE r = 1"""
+  FROM lv JOIN b USING (depth, prefix) WHERE b.shard_bytes <= {limit} OR b.lo = b.hi),
+leaf AS (SELECT * FROM ok WHERE r = 1),
+paged AS (SELECT *, CASE WHEN shard_bytes <= {limit} THEN 0 ELSE CAST(coalesce(sum(n_bytes) OVER (PARTITION BY depth, prefix ORDER BY doc_id, n_bytes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {limit} END AS page FROM leaf)
+SELECT doc_id, n_bytes, depth, prefix, CAST(page AS BIGINT) AS page,
+  (CASE WHEN depth = 0 THEN '-' ELSE lpad(bin(prefix), depth, '0') END) || '.' || page AS shard,
+  CAST(sum(n_bytes) OVER (PARTITION BY depth, prefix, page) AS BIGINT) AS shard_bytes, count(*) OVER (PARTITION BY depth, prefix, page) AS shard_docs
+FROM paged"""
 
 
 def decontamination() -> str:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from sightline.llm import decontam, minhash, oracles, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup, token_files, toxicity
 
-#: Production parameters.
-TOKENIZER = "word_bpe_49k.json"
-SEQUENCE, SHARD_BYTES = 2048, 64 << 20
+TOKENIZER, SEQUENCE = "word_bpe_49k.json", 2048
+#: Bytes of text a shard, small enough that the directory grows by several levels on the test tables too; shards for training are set larger.
+SHARD_BYTES = 256 << 10
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
