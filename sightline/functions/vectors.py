@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Sizes of the axes of the face-quality output, and the weight of each step of its last axis.
 FIQA_AXES = [3, 2, 3, 2, 2, 5]
@@ -39,11 +41,29 @@ def l2_normalized(v: Column) -> Column:
 
 
 def centered(rows: DataFrame, vector: str, keys: list[str]) -> DataFrame:
-    """rows with `centered`: the vector less its group's mean, L2-normalised. Means are per dimension, over (count + 1e-7), and pre-aggregated."""
-    each = rows.select(*keys, F.posexplode(vector).alias("_i", "_x"))
-    mean = each.groupBy(*keys, "_i").agg((F.sum(F.col("_x").cast("double")) / (F.count(F.lit(1)) + F.lit(1e-7))).alias("_m"))
-    means = mean.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda p: p["_m"]).alias("_mean"))
-    both = rows.join(means, keys) if keys else rows.crossJoin(means)
+    """rows with `centered`: the vector less its group's mean, L2-normalised. Means are per dimension, over (count + 1e-7); every task sums its own rows first, a row a group."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    narrow = rows.select(*keys, vector)
+    kind = narrow.select(*keys).schema.add("_sum", T.ArrayType(T.DoubleType())).add("_n", "long")
+    schema = to_arrow_schema(kind)
+
+    def sums(batches):
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            names = [batch.column(k).to_pylist() for k in keys]
+            for i, x in enumerate(batch.column(vector).to_pylist()):
+                if x is not None:
+                    one = held.setdefault(tuple(c[i] for c in names), [np.zeros(len(x)), 0])
+                    one[0] += np.asarray(x, np.float64)
+                    one[1] += 1
+        yield pa.RecordBatch.from_pylist([{**dict(zip(keys, k, strict=True)), "_sum": x.tolist(), "_n": n} for k, (x, n) in held.items()], schema)
+
+    partial = narrow.mapInArrow(sums, kind)
+    total_of = F.aggregate(F.collect_list("_sum"), F.expr("CAST(array() AS array<double>)"), lambda acc, x: F.when(F.size(acc) == 0, x).otherwise(F.zip_with(acc, x, lambda a, b: a + b)))
+    means = partial.groupBy(*keys).agg(total_of.alias("_sum"), F.sum("_n").alias("_n"))
+    means = means.select(*keys, F.transform("_sum", lambda x: x / (F.col("_n") + F.lit(1e-7))).alias("_mean"))
+    both = rows.join(means, keys) if keys else rows.withColumn("_one", F.lit(1)).join(F.broadcast(means.withColumn("_one", F.lit(1))), "_one").drop("_one")
     return both.withColumn("centered", l2_normalized(F.zip_with(vector, "_mean", lambda x, m: x.cast("double") - m))).drop("_mean")
 
 
@@ -54,7 +74,9 @@ def sigmoid(x: Column) -> Column:
 def softmax(v: Column) -> Column:
     top = F.array_max(v).cast("double")
     e = F.transform(v, lambda x: F.exp(x.cast("double") - top))
-    return F.transform(F.array(e), lambda w: F.transform(w, lambda x: x / total(w)))[0]
+    # the sum is taken once, not for each element
+    summed = F.transform(F.array(e), lambda w: F.struct(w.alias("w"), total(w).alias("t")))
+    return F.transform(summed, lambda s: F.transform(s["w"], lambda x: x / s["t"]))[0]
 
 
 def marginal(p: Column, axis: int, sizes: list[int]) -> Column:
@@ -64,8 +86,8 @@ def marginal(p: Column, axis: int, sizes: list[int]) -> Column:
         inner *= s
     k = sizes[axis]
     indexed = F.transform(p, lambda x, i: F.struct(x.alias("x"), F.pmod(F.floor(i / inner).cast("int"), F.lit(k)).alias("k")))
-    share = lambda j: F.aggregate(indexed, F.lit(0.0), lambda a, e: a + F.when(e["k"] == j, e["x"]).otherwise(0.0))
-    return F.array(*map(share, range(k)))
+    share = lambda w, j: F.aggregate(w, F.lit(0.0), lambda a, e: a + F.when(e["k"] == j, e["x"]).otherwise(0.0))
+    return F.transform(F.array(indexed), lambda w: F.array(*[share(w, j) for j in range(k)]))[0]
 
 
 def fiqa_quality(logits: Column, sizes: list[int] = FIQA_AXES, steps: list[float] = FIQA_STEPS) -> Column:
@@ -85,16 +107,45 @@ def top_k(rows: DataFrame, keys: list[str], vector: str, k: int) -> DataFrame:
     return ranked.select(*keys, (F.col("rank") + 1).alias("rank"), F.col("e.class").alias("class"), (-F.col("e.p")).alias("prob"))
 
 
-def nearest(queries: DataFrame, prompts: DataFrame, k: int, query: str = "vec_id", prompt: str = "prompt_id", most: int = 100_000) -> DataFrame:
-    """The k prompts of the largest cosine for each query. Prompts are a table of model classes; more than `most` is an error, since each query meets all."""
-    n = prompts.count()
-    if n > most:
-        raise ValueError(f"{n} prompts; at most {most} are compared with every query")
-    unit = F.broadcast(prompts.select(prompt, l2_normalized(F.col("embedding")).alias("_p")))
-    scored = queries.select(query, l2_normalized(F.col("embedding")).alias("_q")).crossJoin(unit).select(query, prompt, dot(F.col("_q"), F.col("_p")).alias("cosine"))
-    best = scored.groupBy(query).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col(prompt).alias("p")))), 1, k).alias("best"))
-    ranked = best.select(query, F.posexplode("best").alias("rank", "e"))
-    return ranked.select(query, (F.col("rank") + 1).alias("rank"), F.col("e.p").alias(prompt), (-F.col("e.c")).alias("cosine"))
+def nearest(queries: DataFrame, prompts: DataFrame, k: int, query: str = "vec_id", prompt: str = "prompt_id", block: int = 4096) -> DataFrame:
+    """The k prompts of the largest cosine for each query, the lower id of equals.
+
+    Prompts are collected and broadcast `block` at a time, by hash; within a
+    block, a query row finds its best by itself, without a shuffle. The best of
+    blocks are merged inside the row.
+    """
+    spark = queries.sparkSession
+    units = prompts.where("embedding IS NOT NULL").select(F.col(prompt).cast("long").alias("p"), l2_normalized(F.col("embedding")).alias("u"))
+    blocks = -(-units.count() // block) or 1
+    asked = queries.select(query, l2_normalized(F.col("embedding")).alias("_q"))
+    out = asked.withColumn("_best", F.expr("CAST(array() AS array<struct<c: double, p: bigint>>)"))
+    for b in range(blocks):
+        part = units.where(F.pmod(F.xxhash64("p"), F.lit(blocks)) == b).collect()
+        if part:
+            out = out.mapInArrow(_nearer(spark.sparkContext.broadcast((np.array([x.p for x in part], np.int64), np.array([x.u for x in part], np.float64))), k), out.schema)
+    ranked = out.select(query, F.posexplode("_best").alias("rank", "e"))
+    return ranked.select(query, (F.col("rank") + 1).alias("rank"), F.col("e.p").alias(prompt), F.col("e.c").alias("cosine"))
+
+
+def _nearer(held, k: int):
+    """Merges each row's best so far with its best among the held vectors."""
+
+    def run(batches):
+        ids, u = held.value
+        for batch in batches:
+            rows = batch.column("_q").to_pylist()
+            q = np.array([x if x is not None else np.zeros(u.shape[1]) for x in rows], np.float64).reshape(len(rows), -1)
+            c = np.zeros((len(q), len(ids)))
+            for i in range(u.shape[1] if len(q) else 0):  # in the order of the elements, so that equal vectors have equal products
+                c += q[:, i, None] * u[None, :, i]
+            order = np.lexsort((np.broadcast_to(ids, c.shape), -c), axis=1)[:, :k]
+            best = []
+            for had, row, at, some in zip(batch.column("_best").to_pylist(), c, order, rows, strict=True):
+                new = [{"c": float(row[j]), "p": int(ids[j])} for j in at] if some is not None else []
+                best.append(sorted([*had, *new], key=lambda e: (-e["c"], e["p"]))[:k])
+            yield pa.RecordBatch.from_arrays([pa.array(best, batch.schema.field("_best").type) if n == "_best" else batch.column(n) for n in batch.schema.names], schema=batch.schema)
+
+    return run
 
 
 def searched(queries: DataFrame, rows: DataFrame, k: int, query: str = "query_id", row: str = "vec_id", block: int = 4096) -> DataFrame:

@@ -17,40 +17,63 @@ DECODED = f"stream_id long, frame_no long, det_id long, cl int, conf double, x0
 
 
 def decode(tensor: np.ndarray, md: ModelDescription, det_thr: float, width: float, height: float) -> list[dict]:
-    """Detections of an attribute-major tensor: box (centre, size, pixels), class scores, attributes, key points, appearance vector; those over the threshold, each with its best class."""
+    """Detections of an attribute-major tensor: box (centre, size, pixels), class scores, attributes, key points, appearance vector.
+
+    A column gives a detection for each class whose score is over the threshold.
+    Faces get face points; persons get pose points, attributes and appearance.
+    """
     n_cl, n_at = len(md.classes), len(md.attributes)
-    scores = tensor[4 : 4 + n_cl]
-    cl, conf = scores.argmax(0), scores.max(0)
-    out = []
-    for i in np.flatnonzero(conf > det_thr).tolist():
+    person, face = md.index("person"), md.index("face")
+    points_at, out = 4 + n_cl + n_at, []
+    for cl, i in np.argwhere(tensor[4 : 4 + n_cl] > det_thr).tolist():
         t = tensor[:, i].astype(float)
         cx, cy, w, h = t[0] / width, t[1] / height, t[2] / width, t[3] / height
-        row = {"det_id": i, "cl": int(cl[i]), "conf": float(conf[i]), "x0": cx - w / 2, "y0": cy - h / 2, "x1": cx + w / 2, "y1": cy + h / 2, "attrs": t[4 + n_cl : 4 + n_cl + n_at].tolist() or None}
-        at = 4 + n_cl + n_at
-        kp = t[at : at + 3 * md.key_points].reshape(-1, 3) / (width, height, 1) if md.key_points else np.empty((0, 3))
-        named = [{"x": x, "y": y, "conf": c} for x, y, c in kp.tolist()]
-        if md.key_points == 22:
-            row |= {"face_points": named[:5], "pose_points": named[5:]}
-        elif md.key_points == 19:
-            # pose points only; eyes, nose and two mouth corners stand among them, and a face box grows around four of them
-            face = [named[k] for k in (2, 1, 0, 18, 17)]
-            row |= {"face_points": face, "pose_points": named[:17], "subbox": _grown([named[k] for k in (0, 1, 2, 17)])}
-        at += 3 * md.key_points
-        row["reid"] = t[at : at + md.reid].tolist() if md.reid else None
+        row = {"det_id": i, "cl": cl, "conf": float(t[4 + cl]), "x0": cx - w / 2, "y0": cy - h / 2, "x1": cx + w / 2, "y1": cy + h / 2}
+        at = points_at + 3 * md.key_points
+        points = [{"x": x / width, "y": y / height, "conf": c} for x, y, c in t[points_at:at].reshape(-1, 3).tolist()]
+        if cl == face and md.key_points == 22:
+            row["face_points"] = points[:5]
+        if cl == person:
+            row["attrs"] = t[4 + n_cl : points_at].tolist() or None
+            row["reid"] = t[at : at + md.reid].tolist() if md.reid else None
+            if md.key_points >= 17:
+                row["pose_points"] = points[-17:] if md.key_points == 22 else points[:17]
+            if md.key_points == 19:
+                # eyes, nose and mouth corners stand among the pose's points and after them
+                row["face_points"] = [points[k] for k in (2, 1, 0, 18, 17)]
+                row["subbox"] = _grown(row["face_points"])
         out.append(row)
     return out
 
 
 def _grown(points: list[dict]) -> dict:
-    """A box around points that is widened again after each of them."""
+    """A box around points that is widened again after each of them; its confidence is their sum."""
     x0 = x1 = points[0]["x"]
     y0 = y1 = points[0]["y"]
-    conf = 0.0
-    for p in points:
-        x0, x1, y0, y1, conf = min(x0, p["x"]), max(x1, p["x"]), min(y0, p["y"]), max(y1, p["y"]), max(conf, p["conf"])
+    for p in points[1:]:
+        x0, x1, y0, y1 = min(x0, p["x"]), max(x1, p["x"]), min(y0, p["y"]), max(y1, p["y"])
         w, h = x1 - x0, y1 - y0
         x0, x1, y0, y1 = x0 - 0.15 * w, x1 + 0.15 * w, y0 - 0.2 * h, y1 + 0.2 * h
-    return {"x0": x0, "y0": y0, "x1": x1, "y1": y1, "conf": conf}
+    return {"x0": x0, "y0": y0, "x1": x1, "y1": y1, "conf": sum(p["conf"] for p in points)}
+
+
+def decoded(tensors: DataFrame, md: ModelDescription, det_thr: float, width: float, height: float) -> DataFrame:
+    """Detections (DECODED) of stored model output: stream_id, frame_no, tensor (rows of an attribute-major tensor)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = _parse_datatype_string(DECODED)
+    schema = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for s, f, tensor in zip(batch.column("stream_id").to_pylist(), batch.column("frame_no").to_pylist(), batch.column("tensor").to_pylist(), strict=True):
+                rows += [{"stream_id": s, "frame_no": f, **d} for d in decode(np.array(tensor, np.float64), md, det_thr, width, height)]
+            if rows:
+                yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema)
+
+    return tensors.select("stream_id", "frame_no", "tensor").mapInArrow(run, kind)
 
 
 def batch_size(sizes: list[tuple[int, int]], cfg: InferConfig, step: int = 32) -> tuple[int, int]:
@@ -59,6 +82,31 @@ def batch_size(sizes: list[tuple[int, int]], cfg: InferConfig, step: int = 32) -
     return up(max(w for w, _ in sizes), cfg.limit_min_width, cfg.limit_max_width), up(max(h for _, h in sizes), cfg.limit_min_height, cfg.limit_max_height)
 
 
+def batches(frames: DataFrame, cfg: InferConfig, model_batch: int = 16, step: int = 32) -> DataFrame:
+    """frames (stream_id, frame_no, width, height) with their batch of a stream's consecutive frames: batch_no, batch_frames and the common padded size (as batch_size)."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    most = min(model_batch, cfg.limit_max_batch or model_batch)
+    numbered = frames.withColumn("batch_no", F.floor((F.row_number().over(Window.partitionBy("stream_id").orderBy("frame_no")) - 1) / most))
+    up = lambda c, lo, hi: F.least(F.greatest(F.ceil(c / step) * step, F.lit(lo or step)), F.lit(hi or 1 << 30)).cast("int")
+    each = numbered.groupBy("stream_id", "batch_no").agg(
+        F.count(F.lit(1)).alias("batch_frames"),
+        up(F.max("width"), cfg.limit_min_width, cfg.limit_max_width).alias("batch_width"),
+        up(F.max("height"), cfg.limit_min_height, cfg.limit_max_height).alias("batch_height"),
+    )
+    return numbered.join(each, ["stream_id", "batch_no"])
+
+
+def batch_stats(batched: DataFrame) -> DataFrame:
+    """Batches and frames of each batch size, and the mean area of their frames' regions (of rows that batches() gave, with area)."""
+    from pyspark.sql import functions as F
+
+    each = batched.groupBy("stream_id", "batch_no").agg(F.first("batch_frames").alias("batch_size"), F.sum("area").alias("area"))
+    out = each.groupBy("batch_size").agg(F.count(F.lit(1)).alias("batches"), F.sum("batch_size").alias("frames"), F.sum("area").alias("area"))
+    return out.select("batch_size", "batches", "frames", (F.col("area") / F.col("frames")).alias("mean_area"))
+
+
 def infer(frames: DataFrame, load: Callable[[], Callable[[pd.DataFrame], list[np.ndarray]]], md: ModelDescription, cfg: InferConfig, width: float, height: float) -> DataFrame:
     """Detections of frames by a user's model.
 

@@ -55,7 +55,28 @@ def fuse(det: DataFrame, least: float = 0.3, person: int = 0, face: int = 1, dro
     found = one_to_one(pairs, [F.col("a_id"), -F.col("score"), F.col("b_id")], ["a_id", "b_id", "b_conf", *[f"b_{s}" for s in g.SIDES]])
     sub = found.select(*FRAME, F.col("a_id").alias("det_id"), F.col("b_id").alias("face_id"), F.col("b_conf").alias("sub_conf"), *[F.col(f"b_{s}").alias(f"sub_{s}") for s in g.SIDES])
     rows = det.where(F.col("cl") != face) if drop_faces else det
-    return rows.join(sub, [*FRAME, "det_id"], "left")
+    if "face_points" not in det.columns:
+        return rows.join(sub, [*FRAME, "det_id"], "left")
+    # a matched person takes the face's points
+    sub = sub.join(faces.select(*FRAME, F.col("det_id").alias("face_id"), F.col("face_points").alias("_points")), [*FRAME, "face_id"], "left")
+    both = rows.join(sub, [*FRAME, "det_id"], "left")
+    return both.withColumn("face_points", F.when(F.col("face_id").isNotNull() & (F.col("cl") == person), F.col("_points")).otherwise(F.col("face_points"))).drop("_points")
+
+
+def duplicate_tracks(tracks: DataFrame, over: float = 0.7) -> DataFrame:
+    """stream_id, frame_no, track_id of the tracks (with their age in frames) that a longer-lived one stands on; of equals the first goes."""
+    pairs = sides(tracks, tracks, "track_id", "track_id", ["age"]).where(F.col("a_id") < F.col("b_id")).where(g.iou(g.box("a_"), g.box("b_")) > over)
+    return pairs.select(*FRAME, F.when(F.col("a_age") > F.col("b_age"), F.col("b_id")).otherwise(F.col("a_id")).alias("track_id")).distinct()
+
+
+def tracks_joined(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The tracks of a, then those of b whose id (of a stream) a has not."""
+    return a.unionByName(b.join(a.select("stream_id", "track_id"), ["stream_id", "track_id"], "left_anti"))
+
+
+def tracks_without(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The tracks of a whose id (of a stream) b has not."""
+    return a.join(b.select("stream_id", "track_id"), ["stream_id", "track_id"], "left_anti")
 
 
 def mota_matches(hyp: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFrame:

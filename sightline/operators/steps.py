@@ -240,3 +240,122 @@ class Reorder(Step):
                 return
             self.last = nxt
             yield {"event": "missing", "seq16": nxt}
+
+
+#: What a receiver gives for each access unit.
+RECEIVED = "au_no long, ts64 long, key boolean, n_nals int, n_packets int, errors int, complete boolean, data binary"
+
+
+@dataclass
+class RtpReceiver(Step):
+    """The way of a stream's packets (ssrc, seq16, ts32, marker, payload; in arrival order) to access units.
+
+    Packets of another source are held off (SourceSwitch), the rest put in order
+    (Reorder). A new timestamp closes the unit before it, and a marker closes a
+    unit that has video. reset() forgets all but what was counted.
+    """
+
+    codec: str = "h264"
+    units: int = 0
+    packets: list = field(default_factory=list)
+    broken: bool = False
+
+    def __post_init__(self):
+        self.reset()
+
+    def reset(self):
+        self.source, self.buffer, self.packets, self.broken = SourceSwitch(), Reorder(), [], False
+
+    def push(self, row):
+        if next(iter(self.source.push(row)))["accepted"]:
+            yield from self._ordered(self.buffer.push(row))
+
+    def _ordered(self, rows):
+        for r in rows:
+            if r["event"] == "missing":
+                self.broken = True
+            if r["event"] != "out":
+                continue
+            if self.packets and self.packets[-1]["ts64"] != r["ts64"]:
+                yield from self._closed()
+            self.packets.append(r)
+            if r["marker"] and self._has_video():
+                yield from self._closed()
+
+    def _has_video(self) -> bool:
+        from sightline.sources import media
+
+        nals, _ = media.depacketized(self.codec, [p["payload"] for p in self.packets])
+        return any(media.nal_class(self.codec, media.nal_type(self.codec, x)) in ("video", "key") for x in nals)
+
+    def _closed(self):
+        from sightline.sources import media
+
+        nals, errors = media.depacketized(self.codec, [p["payload"] for p in self.packets])
+        self.units += 1
+        kinds = {media.nal_class(self.codec, media.nal_type(self.codec, x)) for x in nals}
+        yield {
+            "au_no": self.units, "ts64": self.packets[0]["ts64"], "key": "key" in kinds, "n_nals": len(nals), "n_packets": len(self.packets), "errors": errors,
+            "complete": not self.broken and not errors, "data": b"".join(b"\0\0\0\1" + x for x in nals),
+        }
+        self.packets, self.broken = [], False
+
+    def end(self):
+        if self.packets:
+            yield from self._closed()
+
+
+@dataclass
+class UnitChunker(Step):
+    """Access units of an Annex-B stream from its chunks (data): a start code or a unit may cross chunks."""
+
+    codec: str
+    fps: float = 30.0
+    rest: bytes = b""
+    nals: list = field(default_factory=list)
+    has_video: bool = False
+    units: int = 0
+
+    def push(self, row):
+        self.rest += row["data"]
+        while (first := self.rest.find(b"\0\0\1")) >= 0 and (after := self.rest.find(b"\0\0\1", first + 3)) >= 0:
+            nal, self.rest = self.rest[first + 3 : after].rstrip(b"\0"), self.rest[after:]
+            yield from self._taken(nal)
+
+    def _taken(self, nal: bytes):
+        from sightline.sources import media
+
+        if not nal:
+            return
+        video = media.nal_class(self.codec, media.nal_type(self.codec, nal)) in ("video", "key")
+        if video and self.has_video and media.first_slice(self.codec, nal):
+            yield self._unit()
+        self.nals.append(nal)
+        self.has_video |= video
+
+    def _unit(self) -> dict:
+        from sightline.sources import media
+
+        (out,) = media.units_of(self.codec, self.nals, self.fps)
+        out |= {"au_no": self.units, "ts90k": round(90_000 / (self.fps or 30.0) * self.units)}
+        self.units, self.nals, self.has_video = self.units + 1, [], False
+        return out
+
+    def end(self):
+        if (first := self.rest.find(b"\0\0\1")) >= 0:
+            yield from self._taken(self.rest[first + 3 :])
+        if self.nals:
+            yield self._unit()
+
+
+@dataclass
+class FrameHash(Step):
+    """Hashes of a stream's frames (h) folded in order, modulo 2**64; the total leaves as text, since it has 64 bits without a sign."""
+
+    total: int = 0
+
+    def push(self, row):
+        from sightline.functions.pixels import frame_hash
+
+        self.total = frame_hash(self.total, row["h"])
+        yield {**row, "total": str(self.total)}

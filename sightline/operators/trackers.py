@@ -80,6 +80,16 @@ def iou(a, b) -> float:
     return float(w * h / union) if union > 0 else 0.0
 
 
+def cells(b) -> int:
+    """The cells of an 8 x 8 grid over the unit square that a box touches, as bits."""
+    if not (b[2] > b[0] and b[3] > b[1] and b[0] < 1 and b[1] < 1 and b[2] > 0 and b[3] > 0):
+        return 0
+    first = lambda v: min(int(max(float(v), 0.0) * 8), 7)
+    last = lambda v: max(int(np.ceil(min(float(v), 1.0) * 8)) - 1, 0)
+    row = sum(1 << c for c in range(first(b[0]), last(b[2]) + 1))
+    return sum(row << 8 * r for r in range(first(b[1]), last(b[3]) + 1))
+
+
 def greedy(n_a: int, n_b: int, score: Callable[[int, int], float]) -> list[tuple[int, int]]:
     """Each a in order takes the free b of the best score (the first of equals)."""
     free, out = set(range(n_b)), []
@@ -148,6 +158,9 @@ class _Object:
     flow: np.ndarray | None = None
     reach: np.ndarray | None = None
     unit: np.ndarray | None = None
+    points: list[np.ndarray] = field(default_factory=list)  # pose points that are sure enough
+    fiqa: float = 0.0
+    cells: int = 0
 
 
 @dataclass
@@ -178,6 +191,7 @@ class CascadeTracker(Step):
     p: CascadeParams = field(default_factory=CascadeParams)
     single: bool = False
     move: Callable[[np.ndarray], np.ndarray] | None = None  # a box by optical flow
+    move_point: Callable[[np.ndarray], np.ndarray] | None = None  # a point by optical flow
     tracks: list[_Object] = field(default_factory=list)
     next_id: int = 0
 
@@ -192,9 +206,12 @@ class CascadeTracker(Step):
         for k in self.tracks:
             k.predicted = k.filter.predict(t)
             k.flow = self.move(k.box) if self.move else k.box
+            for q in map(self.move_point, k.points) if self.move_point else k.points:
+                k.flow = np.concatenate([np.minimum(k.flow[:2], q), np.maximum(k.flow[2:], q)])
             lo, hi = np.minimum.reduce([k.box, k.flow, k.predicted])[:2], np.maximum.reduce([k.box, k.flow, k.predicted])[2:]
             grow = (hi - lo) * self.p.reach / 2
             k.reach = np.concatenate([lo - grow, hi + grow])
+            k.cells = cells(k.reach)
         self._centre(dets)
         out, used, old = [], set(), list(self.tracks)
         for n in range(0 if self.single else 3):
@@ -229,11 +246,11 @@ class CascadeTracker(Step):
     def _object(self, d: dict) -> _Object:
         box = np.array([d["x0"], d["y0"], d["x1"], d["y1"]], np.float64)
         points = d.get("pose_points") or ()
-        for q in points:
-            if q["conf"] > 0.05:
-                box = np.array([min(box[0], q["x"]), min(box[1], q["y"]), max(box[2], q["x"]), max(box[3], q["y"])])
+        sure = [np.array([q["x"], q["y"]]) for q in points if q["conf"] > 0.05]
+        for q in sure:
+            box = np.concatenate([np.minimum(box[:2], q), np.maximum(box[2:], q)])
         reid = np.array(d["reid"], np.float64) if d.get("reid") else np.zeros(1)
-        return _Object(box, d["conf"], d["conf"] + self.p.pose_weight * sum(q["conf"] for q in points), d["det_id"], reid)
+        return _Object(box, d["conf"], d["conf"] + self.p.pose_weight * sum(q["conf"] for q in points), d["det_id"], reid, points=sure, fiqa=d.get("fiqa") or 0.0, cells=cells(box))
 
     def _centre(self, dets: list[_Object]) -> None:
         all_ = [*dets, *self.tracks]
@@ -246,6 +263,8 @@ class CascadeTracker(Step):
             k.unit = v / n if n > 0 else v
 
     def _score(self, d: _Object, k: _Object, least: float) -> float:
+        if not d.cells & k.cells:  # only what shares a cell is a candidate
+            return 0.0
         w, h = min(d.box[2], k.reach[2]) - max(d.box[0], k.reach[0]), min(d.box[3], k.reach[3]) - max(d.box[1], k.reach[1])
         if w * h <= 0:
             return 0.0
@@ -256,7 +275,7 @@ class CascadeTracker(Step):
     def _take(self, d: _Object, k: _Object, t: float, n: int) -> None:
         d.id, d.filter, d.observations, d.seen = k.id, k.filter, k.observations + 1, t
         d.filter.update(d.box, t)
-        d.reid = (d.reid + k.reid) / 2
+        d.reid, d.fiqa = (d.reid + k.reid) / 2, (d.fiqa + k.fiqa) / 2
         d.state = TRACKED if n < 2 or k.state == LOST else k.state
 
 
@@ -358,6 +377,7 @@ class AssociationTracker(Step):
         self.tracked = self._joined([s for s in self.tracked if s.state == TRACKED], fresh)
         now = {s.id for s in self.tracked}
         self.lost = sorted([s for s in [*self.lost, *newly_lost] if s.id not in now and s.id not in self.removed], key=lambda s: s.id)
+        self.removed &= {s.id for s in [*self.tracked, *self.lost]}
         near = np.argwhere(_near(self.tracked, self.lost) < self.p.duplicate).tolist()
         drop_a, drop_b = set(), set()
         for a, b in near:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_HOUR = {"spark": "CAST(datediff(to_date(ts), DATE'2024-01-01') * 24 + hour(ts) AS BIGINT)", "duckdb": "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + hour(ts)"}
+#: Frames are blocks of events, so that a frame has about as many detections whatever the scale.
+_FRAME = {"spark": "CAST(event_id div 64 AS BIGINT)", "duckdb": "event_id // 64"}
 _K = {"spark": "1000.0D", "duckdb": "1000.0::DOUBLE"}
 ENGINES = ("spark", "duckdb")
 
 
 def det(engine: str, events: str = "events") -> str:
     k = _K[engine]
-    return f"""SELECT user_id % 4 AS stream_id, {_HOUR[engine]} AS frame_no, event_id AS det_id, user_id,
+    return f"""SELECT user_id % 16 AS stream_id, {_FRAME[engine]} AS frame_no, event_id AS det_id, user_id,
   CASE WHEN event_type = 'signup' THEN 1 WHEN event_type = 'error' THEN 2 ELSE 0 END AS cl,
   (50 + (event_id * 7919) % 950) / {k} AS conf,
   ((user_id * 37) % 800 + (event_id % 5) * 4) / {k} AS x0,
@@ -23,7 +24,7 @@ FROM {events}"""
 
 def gt(engine: str, events: str = "events") -> str:
     k = _K[engine]
-    return f"""SELECT DISTINCT user_id % 4 AS stream_id, {_HOUR[engine]} AS frame_no, user_id AS gt_id,
+    return f"""SELECT DISTINCT user_id % 16 AS stream_id, {_FRAME[engine]} AS frame_no, user_id AS gt_id,
   ((user_id * 37) % 800 + 8) / {k} AS x0, ((user_id * 53) % 700 + 6) / {k} AS y0,
   ((user_id * 37) % 800 + 8 + 60 + (user_id % 7) * 20) / {k} AS x1,
   ((user_id * 53) % 700 + 6 + 90 + (user_id % 5) * 40) / {k} AS y1

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry as g
@@ -323,25 +323,24 @@ def track_union(spark, d):
     """Ids of both sides, once"""
     a = hyp(spark, d).select("stream_id", "track_id").distinct()
     b = gt(spark, d).select("stream_id", (F.col("gt_id") * 10).alias("track_id")).distinct()
-    return a.unionByName(b.join(a, ["stream_id", "track_id"], "left_anti"))
+    return m.tracks_joined(a, b)
 
 
 @query(f"SELECT DISTINCT h.stream_id, h.track_id FROM {HYP} h WHERE NOT EXISTS (SELECT 1 FROM {GT} g WHERE g.stream_id = h.stream_id AND g.gt_id * 10 = h.track_id)")
 def track_difference(spark, d):
     """J14, A6"""
     b = gt(spark, d).select("stream_id", (F.col("gt_id") * 10).alias("track_id")).distinct()
-    return hyp(spark, d).select("stream_id", "track_id").distinct().join(b, ["stream_id", "track_id"], "left_anti")
+    return m.tracks_without(hyp(spark, d).select("stream_id", "track_id").distinct(), b)
 
 
-@query(f"""WITH p AS (SELECT a.stream_id, a.frame_no, a.track_id AS a_id, b.track_id AS b_id, {_iou('a', 'b')} AS s, a.track_id // 10 % 7 AS age_a, b.track_id // 10 % 5 AS age_b FROM {HYP} a JOIN {HYP} b ON a.stream_id = b.stream_id AND a.frame_no = b.frame_no AND a.track_id < b.track_id)
-SELECT h.stream_id, h.frame_no, h.track_id FROM {HYP} h WHERE NOT EXISTS (SELECT 1 FROM p WHERE s > 0.7 AND p.stream_id = h.stream_id AND p.frame_no = h.frame_no AND h.track_id = CASE WHEN age_a > age_b THEN b_id ELSE a_id END)""")
+@query(f"""WITH h AS (SELECT *, frame_no - min(frame_no) OVER (PARTITION BY stream_id, track_id) AS age FROM {HYP} h),
+p AS (SELECT a.stream_id, a.frame_no, CASE WHEN a.age > b.age THEN b.track_id ELSE a.track_id END AS gone FROM h a JOIN h b ON a.stream_id = b.stream_id AND a.frame_no = b.frame_no AND a.track_id < b.track_id WHERE {_iou('a', 'b')} > 0.7)
+SELECT h.stream_id, h.frame_no, h.track_id FROM h WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.stream_id = h.stream_id AND p.frame_no = h.frame_no AND h.track_id = gone)""")
 def duplicate_tracks(spark, d):
-    """Of two tracks on one place the younger goes, the first of equals"""
-    h = hyp(spark, d)
-    pairs = m.sides(h, h, "track_id", "track_id").where(F.col("a_id") < F.col("b_id")).where(g.iou(g.box("a_"), g.box("b_")) > 0.7)
-    older = F.floor(F.col("a_id") / 10) % 7 > F.floor(F.col("b_id") / 10) % 5
-    gone = pairs.select("stream_id", "frame_no", F.when(older, F.col("b_id")).otherwise(F.col("a_id")).alias("track_id"))
-    return h.select("stream_id", "frame_no", "track_id").join(gone, ["stream_id", "frame_no", "track_id"], "left_anti")
+    """Of two tracks on one place the one seen for a shorter time goes, the first of equals"""
+    first = F.min("frame_no").over(Window.partitionBy("stream_id", "track_id"))
+    h = hyp(spark, d).withColumn("age", F.col("frame_no") - first)
+    return h.select("stream_id", "frame_no", "track_id").join(m.duplicate_tracks(h), ["stream_id", "frame_no", "track_id"], "left_anti")
 
 
 # aggregations
@@ -484,19 +483,21 @@ _DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]
 _UNIT = lambda a: f"list_transform({a}, lambda x: x::DOUBLE / sqrt({_DOT(a, a)}))"
 
 
-@query(f"SELECT vec_id, {q('u[1]', 'first')}, {q('u[64]', 'last')}, {q(_DOT('u', 'u'), 'square')} FROM (SELECT vec_id, {_UNIT('embedding')} AS u FROM embeddings) t")
+@query(f"SELECT vec_id, CAST(unnest(range(0, 64)) AS INT) AS i, CAST(floor(unnest(u) * 1e6 + 0.5) AS BIGINT) AS x FROM (SELECT vec_id, {_UNIT('embedding')} AS u FROM embeddings) t")
 def l2_norm(spark, d):
     """F4, F5"""
-    u = embeddings(spark, d).select("vec_id", v.l2_normalized(F.col("embedding")).alias("u"))
-    return u.select("vec_id", q6(F.col("u")[0]).alias("first"), q6(F.col("u")[63]).alias("last"), q6(v.dot(F.col("u"), F.col("u"))).alias("square"))
+    u = embeddings(spark, d).select("vec_id", F.posexplode(v.l2_normalized(F.col("embedding"))).alias("i", "x"))
+    return u.select("vec_id", "i", q6(F.col("x")).alias("x"))
 
 
-@query(f"""WITH u AS (SELECT vec_id, {_UNIT('embedding')} AS u FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS prompt_id, {_DOT('a.u', 'b.u')} AS c FROM u a, u b WHERE b.vec_id < 20)
-SELECT vec_id, CAST(r AS INT) AS rank, prompt_id, {q('c', 'cosine')} FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, prompt_id) AS r FROM s) t WHERE r <= 3""")
+@query(f"""WITH m AS (SELECT label, list(mu ORDER BY i) AS e FROM (SELECT label, i, avg(x) AS mu FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS i FROM embeddings) z GROUP BY 1, 2) y GROUP BY 1),
+s AS (SELECT a.vec_id, b.label AS prompt_id, {_DOT(_UNIT('a.embedding'), _UNIT('b.e'))} AS c FROM embeddings a, m b)
+SELECT vec_id, CAST(r AS INT) AS rank, CAST(prompt_id AS BIGINT) AS prompt_id, {q('c', 'cosine')} FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, prompt_id) AS r FROM s) t WHERE r <= 3""")
 def cosine_topk(spark, d):
-    """Every vector against a table of prompts (the first 20 vectors stand for it)"""
+    """Every vector against a table of prompts, one for each label (the mean of its vectors)"""
     e = embeddings(spark, d)
-    prompts = e.where("vec_id < 20").select(F.col("vec_id").alias("prompt_id"), "embedding")
+    mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("mu"))
+    prompts = mean.groupBy(F.col("label").alias("prompt_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mu"))), lambda p: p["mu"]).alias("embedding"))
     return v.nearest(e, prompts, 3).select("vec_id", "rank", "prompt_id", q6(F.col("cosine")).alias("cosine"))
 
 
@@ -510,11 +511,11 @@ def cosine_search(spark, d):
 
 
 @query(f"""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(1, 65)) AS i FROM embeddings), mean AS (SELECT label, i, sum(x) / (count(*) + 1e-7) AS mu FROM e GROUP BY 1, 2),
-c AS (SELECT vec_id, list(x - mu ORDER BY i) AS c FROM e JOIN mean USING (label, i) GROUP BY vec_id), u AS (SELECT vec_id, {_UNIT('c')} AS u FROM c) SELECT vec_id, {q('u[1]', 'first')}, {q('u[64]', 'last')} FROM u""")
+c AS (SELECT vec_id, list(x - mu ORDER BY i) AS c FROM e JOIN mean USING (label, i) GROUP BY vec_id), u AS (SELECT vec_id, {_UNIT('c')} AS u FROM c) SELECT vec_id, CAST(unnest(range(0, 64)) AS INT) AS i, CAST(floor(unnest(u) * 1e6 + 0.5) AS BIGINT) AS x FROM u""")
 def reid_centered(spark, d):
     """F6, J22"""
     rows = v.centered(embeddings(spark, d), "embedding", ["label"])
-    return rows.select("vec_id", q6(F.col("centered")[0]).alias("first"), q6(F.col("centered")[63]).alias("last"))
+    return rows.select("vec_id", F.posexplode("centered").alias("i", "x")).select("vec_id", "i", q6(F.col("x")).alias("x"))
 
 
 @query(f"""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS i FROM embeddings), p AS (SELECT vec_id, i, 1 / (1 + exp(-greatest(-50, least(50, x)))) AS p FROM e)
@@ -524,27 +525,37 @@ def softmax_top(spark, d):
     return v.top_k(embeddings(spark, d), ["vec_id"], "embedding", 5).select("vec_id", "rank", "class", q6(F.col("prob")).alias("prob"))
 
 
-_SOFT = "SELECT vec_id, i, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM (SELECT vec_id, unnest(embedding[1:60])::DOUBLE AS x, unnest(range(0, 60)) AS i FROM embeddings) t"
+#: 360 logits of each vector: its 64 values, repeated with a growing weight.
+_LOGITS = "list_transform(range(0, 360), lambda i: embedding[i % 64 + 1]::DOUBLE * (1 + 0.125::DOUBLE * (i // 64)))"
+_SOFT = f"SELECT vec_id, i, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM (SELECT vec_id, unnest({_LOGITS}) AS x, unnest(range(0, 360)) AS i FROM embeddings) t"
+
+
+def logits(spark, d):
+    e = F.transform(F.sequence(F.lit(0), F.lit(359)), lambda i: F.col("embedding")[F.pmod(i, F.lit(64))].cast("double") * (1 + F.floor(i / 64) * F.lit(0.125)))
+    return embeddings(spark, d).select("vec_id", e.alias("logits"))
 
 
 @query(f"WITH p AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM ({_SOFT}) s) SELECT vec_id, {q('sum(p * 0.25 * (i % 5))', 'quality')} FROM p GROUP BY vec_id")
 def fiqa_quality(spark, d):
-    """A14, on 60 = 3 * 2 * 2 * 5 cells"""
-    return embeddings(spark, d).select("vec_id", q6(v.fiqa_quality(F.slice("embedding", 1, 60), [3, 2, 2, 5])).alias("quality"))
+    """A14, on all 360 = 3 * 2 * 3 * 2 * 2 * 5 cells"""
+    return logits(spark, d).select("vec_id", q6(v.fiqa_quality(F.col("logits"))).alias("quality"))
 
 
-@query(f"WITH p AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM ({_SOFT}) s) SELECT vec_id, CAST(i // 20 AS INT) AS cell, {q('sum(p)', 'p')} FROM p GROUP BY vec_id, i // 20")
+@query(f"""WITH p AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM ({_SOFT}) s), a(axis, inner_, k) AS (VALUES (0, 120, 3), (1, 60, 2), (2, 20, 3), (3, 10, 2), (4, 5, 2), (5, 1, 5))
+SELECT vec_id, CAST(axis AS INT) AS axis, CAST(i // inner_ % k AS INT) AS cell, {q('sum(p)', 'p')} FROM p, a GROUP BY vec_id, axis, i // inner_ % k""")
 def fiqa_marginals(spark, d):
-    """The first axis"""
-    p = v.marginal(v.softmax(F.slice("embedding", 1, 60)), 0, [3, 2, 2, 5])
-    return embeddings(spark, d).select("vec_id", F.posexplode(p).alias("cell", "p")).select("vec_id", "cell", q6(F.col("p")).alias("p"))
+    """All six axes"""
+    soft = logits(spark, d).select("vec_id", v.softmax(F.col("logits")).alias("p"))
+    axes = F.array(*[v.marginal(F.col("p"), k, v.FIQA_AXES) for k in range(6)])
+    each = soft.select("vec_id", F.posexplode(axes).alias("axis", "m")).select("vec_id", "axis", F.posexplode("m").alias("cell", "p"))
+    return each.select("vec_id", "axis", "cell", q6(F.col("p")).alias("p"))
 
 
-@query(f"SELECT vec_id, {q('(1.1 * least(1, 1.2 * abs(embedding[1]::DOUBLE)) + 0.6 * least(1, 1.2 * abs(embedding[2]::DOUBLE)) + 0.1 * least(1, 1.2 * abs(embedding[3]::DOUBLE))) / 1.8', 'score')} FROM embeddings")
+@query(f"SELECT vec_id, {q('list_sum(list_transform(range(1, 65), lambda i: least(1, 1.2 * abs(embedding[i]::DOUBLE)) * ((i % 4) * 0.5 + 0.1))) / list_sum(list_transform(range(1, 65), lambda i: (i % 4) * 0.5 + 0.1))', 'score')} FROM embeddings")
 def attr_score(spark, d):
     """A16"""
-    a = F.transform(F.slice("embedding", 1, 3), lambda x: F.abs(x.cast("double")))
-    return embeddings(spark, d).select("vec_id", q6(v.attribute_score(a, [1.0, 0.5, 0.0])).alias("score"))
+    a = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    return embeddings(spark, d).select("vec_id", q6(v.attribute_score(a, [(i % 4) * 0.5 for i in range(1, 65)])).alias("score"))
 
 
 _E2 = "list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))"
@@ -874,7 +885,7 @@ def stream_tumbling(spark, d):
     """Windowed counts of a stream (complete mode)"""
     from sightline.streaming import drivers
 
-    table = drivers.drained(drivers.tumbling(drivers.events(spark, d), "1 hour", "10 minutes", "event_type"), "sightline_tumbling", "complete")
+    table = drivers.drained(drivers.tumbling(drivers.events(spark, d), "1 hour", "10 minutes", "event_type"), "complete")
     return table.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
@@ -884,7 +895,7 @@ def stream_session(spark, d):
     """Sessions of a stream (complete mode)"""
     from sightline.streaming import drivers
 
-    table = drivers.drained(drivers.sessions(drivers.events(spark, d), "30 minutes", "10 minutes", "user_id"), "sightline_sessions", "complete")
+    table = drivers.drained(drivers.sessions(drivers.events(spark, d), "30 minutes", "10 minutes", "user_id"), "complete")
     return table.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
@@ -893,7 +904,7 @@ def stream_dedup(spark, d):
     """R2's analogue: first row of each key of a stream"""
     from sightline.streaming import drivers
 
-    return drivers.drained(drivers.events(spark, d).withWatermark("ts", "3650 days").dropDuplicates(["user_id", "event_type"]), "sightline_dedup").select("user_id", "event_type")
+    return drivers.drained(drivers.events(spark, d).withWatermark("ts", "3650 days").dropDuplicates(["user_id", "event_type"])).select("user_id", "event_type")
 
 
 @query(ORACLE["skip_hysteresis"])
@@ -903,7 +914,7 @@ def stream_skip_hysteresis(spark, d):
 
     rows = spark.sql(fx.clock("spark", "{events}"), events=drivers.events(spark, d))
     out = drivers.stateful(rows.select("stream_id", "frame_no", "area"), ["stream_id"], ["frame_no"], steps.MotionSkip, "stream_id long, frame_no long, skipped boolean")
-    return drivers.drained(out, "sightline_skip")
+    return drivers.drained(out)
 
 
 # star-schema conveniences: Spark built-ins, beside the inventory
@@ -913,3 +924,6 @@ def stream_skip_hysteresis(spark, d):
 def rollup_lineitem(spark, d):
     rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_shipdate <= date'1998-09-02'")
     return rows.rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("sum_qty"), F.floor(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) + 0.5).cast("long").alias("revenue"), F.count(F.lit(1)).alias("n"))
+
+
+from sightline.plans import image_queries, media_queries  # noqa: E402, F401  (they register their queries)

@@ -56,7 +56,11 @@ def duration(rate: int, channels: int, n_samples: int) -> float:
 
 
 def read_wavs(spark: SparkSession, path: str, chunk_ms: int = 1000) -> DataFrame:
-    """Chunks of WAV files; the last may be short."""
+    return wav_chunks(spark.read.format("binaryFile").load(path), chunk_ms)
+
+
+def wav_chunks(files: DataFrame, chunk_ms: int = 1000) -> DataFrame:
+    """Chunks of WAV files (path, content); the last may be short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +72,7 @@ def read_wavs(spark: SparkSession, path: str, chunk_ms: int = 1000) -> DataFrame
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(n)), pa.array([rate] * n, pa.int32()), pa.array([channels] * n, pa.int32()), pa.array(rows, pa.list_(pa.float32()))], ["path", "chunk_no", "sample_rate", "num_channels", "samples"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CHUNKS)
+    return files.select("path", "content").mapInArrow(run, CHUNKS)
 
 
 def wav_bytes(chunks: DataFrame) -> DataFrame:
@@ -95,6 +99,75 @@ def resample(x: np.ndarray, rate: int, to: int, taps: int = 32) -> np.ndarray:
     return ((np.asarray(x, np.float64)[np.clip(near, 0, len(x) - 1)] * inside * weight).sum(1) / np.maximum((weight * inside).sum(1), 1e-9)).astype(np.float32)
 
 
+@dataclass
+class Resampler:
+    """resample() for a stream in chunks: push() gives what is settled, end() the rest; together the same as for the whole stream."""
+
+    rate: int
+    to: int
+    taps: int = 32
+    seen: int = 0
+    done: int = 0
+
+    def __post_init__(self):
+        self.held = np.zeros(0, np.float32)
+        self.start = 0  # place of the first held sample
+
+    def push(self, x: np.ndarray) -> np.ndarray:
+        self.held = np.concatenate([self.held, np.asarray(x, np.float32)])
+        self.seen += len(x)
+        return self._settled((self.seen - self.taps) * self.to // self.rate)
+
+    def end(self) -> np.ndarray:
+        return self._settled(self.seen * self.to // self.rate)
+
+    def _settled(self, upto: int) -> np.ndarray:
+        if upto <= self.done:
+            return np.zeros(0, np.float32)
+        if self.rate == self.to:
+            out = self.held[self.done - self.start : upto - self.start]
+        else:
+            cut = min(1.0, self.to / self.rate)
+            at = np.arange(self.done, upto) * (self.rate / self.to)
+            near = np.floor(at).astype(int)[:, None] + np.arange(-self.taps + 1, self.taps + 1)
+            d = at[:, None] - near
+            weight = np.sinc(d * cut) * cut * np.cos(np.pi * d / (2 * self.taps)) ** 2
+            inside = (near >= 0) & (near < self.seen)
+            values = self.held.astype(np.float64)[np.clip(near - self.start, 0, len(self.held) - 1)]
+            out = ((values * inside * weight).sum(1) / np.maximum((weight * inside).sum(1), 1e-9)).astype(np.float32)
+        self.done = upto
+        keep = max(self.start, int(self.done * self.rate // self.to) - self.taps - 1)
+        self.held, self.start = self.held[keep - self.start :], keep
+        return out
+
+
+@dataclass
+class ResampleStep:
+    """A stream's chunks (chunk_no, sample_rate, samples; mono) at another rate, one output chunk for each and one at the end; a change of the source's rate starts anew."""
+
+    to: int
+    own: Resampler | None = None
+    last: int = -1
+
+    def push(self, row):
+        if self.own is None or self.own.rate != row["sample_rate"]:
+            self.own = Resampler(row["sample_rate"], self.to)
+        self.last = row["chunk_no"]
+        yield {"chunk_no": self.last, "sample_rate": self.to, "samples": self.own.push(np.array(row["samples"], np.float32)).tolist()}
+
+    def end(self):
+        if self.own is not None and len(rest := self.own.end()):
+            yield {"chunk_no": self.last + 1, "sample_rate": self.to, "samples": rest.tolist()}
+
+
+def resampled(chunks: DataFrame, to: int, key: str = "path") -> DataFrame:
+    """key, chunk_no, sample_rate, samples of mono streams at another rate; state goes from chunk to chunk."""
+    from sightline.operators.fold import ordered_scan
+
+    kind = chunks.schema[key].dataType.simpleString()
+    return ordered_scan(chunks.select(key, "chunk_no", "sample_rate", "samples"), [key], ["chunk_no"], lambda: ResampleStep(to), f"{key} {kind}, chunk_no long, sample_rate int, samples array<float>")
+
+
 def hz_to_mel(f):
     return 2595 * np.log10(1 + np.asarray(f, float) / 700)
 
@@ -143,7 +216,7 @@ class LogMel:
         w = np.pad(np.hanning(self.window), (side, self.n_fft - self.window - side))
         frames = np.lib.stride_tricks.sliding_window_view(x, self.n_fft)[:: self.hop] * w
         spectrum = np.abs(np.fft.rfft(frames)) ** self.power
-        return (self.mul * np.log(spectrum @ mel_filterbank(self.n_mels, self.n_fft, self.rate, norm=self.norm).T + self.eps) + self.add).astype(np.float32)
+        return self.mul * np.log(spectrum @ mel_filterbank(self.n_mels, self.n_fft, self.rate, norm=self.norm).T + self.eps) + self.add
 
 
 def log_mel(chunks: DataFrame, features: LogMel) -> DataFrame:
@@ -151,7 +224,7 @@ def log_mel(chunks: DataFrame, features: LogMel) -> DataFrame:
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    kind = T.StructType([*chunks.schema.fields, T.StructField("mel", T.ArrayType(T.ArrayType(T.FloatType())))])
+    kind = T.StructType([*chunks.schema.fields, T.StructField("mel", T.ArrayType(T.ArrayType(T.DoubleType())))])
     schema = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

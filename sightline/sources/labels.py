@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,19 +16,24 @@ MOST_LABELS = 300
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of text label files: class, centre and size, then five face points and seventeen pose points where a line has 20, 71 or 56 numbers."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    n = F.transform(F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != ""), lambda x: x.try_cast("double"))
-    rows = lines.select("path", "line_no", n.alias("v")).where(F.size("v") >= 5).where(~F.exists("v", lambda x: x.isNull()))
+    """Rows of text label files: class, centre and size, then five face points and seventeen pose points where a line has 20, 71 or 56 numbers. A line counts as far as its numbers go, and from five numbers on; a file gives its first MOST_LABELS rows."""
+    number = lambda x: x.try_cast("double")
+    words = F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")
+    parsed = F.transform(words, number)
+    end = F.array_position(F.transform(parsed, lambda x: x.isNull()), True)
+    v_of = F.when(end > 0, F.slice(parsed, F.lit(1), (end - 1).cast("int"))).otherwise(parsed)
+    # rows of a file are numbered within it: a file is one row here, as its cap is on the file
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.transform(F.split("value", "\n"), lambda line, i: F.struct(i.alias("line_no"), line.alias("line"))).alias("lines"))
+    lines = files.select("path", F.explode("lines").alias("l")).select("path", "l.*").withColumn("v", v_of).where(F.size("v") >= 5)
+    rows = lines.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("line_no"))).where(F.col("_n") <= MOST_LABELS)
     v = lambda i: F.col("v")[i]
     group = lambda at, k: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(F.col("v")[at + i * 3].alias("x"), F.col("v")[at + i * 3 + 1].alias("y"), F.col("v")[at + i * 3 + 2].alias("conf")))
     size = F.size("v")
-    out = rows.where(F.col("line_no") < MOST_LABELS).select(
+    return rows.select(
         "path", "line_no", v(0).cast("int").alias("cl"), F.lit(1.0).alias("conf"),
         (v(1) - v(3) / 2).alias("x0"), (v(2) - v(4) / 2).alias("y0"), (v(1) + v(3) / 2).alias("x1"), (v(2) + v(4) / 2).alias("y1"),
         F.when(size.isin(20, 71), group(5, 5)).alias("face_points"), F.when(size == 56, group(5, 17)).when(size == 71, group(20, 17)).alias("pose_points"),
     )
-    return out
 
 
 def read_trackset(spark: SparkSession, path: str) -> DataFrame:
@@ -42,6 +47,10 @@ def read_trackset(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_prompts(spark: SparkSession, path: str, dim: int = 1024) -> DataFrame:
+    return prompt_rows(spark.read.format("binaryFile").load(path), dim)
+
+
+def prompt_rows(files: DataFrame, dim: int = 1024) -> DataFrame:
     """prompt_id, text and unit vector of fixed records: 128 bytes of text, then float32 numbers."""
     record = 128 + 4 * dim
 
@@ -54,7 +63,7 @@ def read_prompts(spark: SparkSession, path: str, dim: int = 1024) -> DataFrame:
                 x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-30)
                 yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([r[:128].split(b"\0")[0].decode("utf-8", "replace") for r in rows]), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], ["prompt_id", "text", "embedding"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "prompt_id long, text string, embedding array<float>")
+    return files.select("content").mapInArrow(run, "prompt_id long, text string, embedding array<float>")
 
 
 RAW = struct.Struct("<III")

@@ -298,7 +298,13 @@ def pcap_sdp(data: bytes) -> str | None:
     return None
 
 
-def _files(spark: SparkSession, path: str, columns: str, parse) -> DataFrame:
+def files_at(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of files of any store that Spark reads."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def _parsed(files: DataFrame, columns: str, parse) -> DataFrame:
+    """The rows that parse(path, content) gives for each file, with its path."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -312,37 +318,54 @@ def _files(spark: SparkSession, path: str, columns: str, parse) -> DataFrame:
                 for k in range(0, len(rows), 1000):
                     yield pa.RecordBatch.from_pylist(rows[k : k + 1000], schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, kind)
+    return files.select("path", "content").mapInArrow(run, kind)
 
 
 def _codec_of(path: str) -> str:
     return H265 if re.search(r"[.](265|h265|hevc)$", path) else H264
 
 
-def read_annexb(spark: SparkSession, path: str) -> DataFrame:
-    """Access units of Annex-B files; codec and rate from the names."""
+UNITS = "au_no long, ts90k long, key boolean, n_nals int, data binary"
+
+
+def annexb_units(files: DataFrame, every_slice: bool = False) -> DataFrame:
+    """Access units of Annex-B content; codec and rate from the names. every_slice: each video NAL unit starts one."""
 
     def parse(name: str, data: bytes):
         m = re.search(r"_([0-9.]+)fps", name)
-        return units_of(_codec_of(name), split_annexb(data), float(m[1]) if m else 30.0)
+        return units_of(_codec_of(name), split_annexb(data), float(m[1]) if m else 30.0, every_slice)
+
+    return _parsed(files, UNITS, parse)
+
+
+def read_annexb(spark: SparkSession, path: str) -> DataFrame:
+    return annexb_units(files_at(spark, path))
+
 
-    return _files(spark, path, "au_no long, ts90k long, key boolean, n_nals int, data binary", parse)
+def chunked_units(chunks: DataFrame, codec: str = H264, fps: float = 30.0) -> DataFrame:
+    """Access units of Annex-B streams that come in chunks (path, chunk_no, data): start codes and units may cross chunks, and no more than a unit is held."""
+    from sightline.operators.fold import ordered_scan
+    from sightline.operators.steps import UnitChunker
+
+    return ordered_scan(chunks.select("path", "chunk_no", "data"), ["path"], ["chunk_no"], lambda: UnitChunker(codec, fps), "path string, " + UNITS)
+
+
+def captured_units(files: DataFrame, codec: str = H264) -> DataFrame:
+    """Access units of captures: their RTP packets through the receiver (source switch, reordering, depacketizing, assembly), file by file."""
+    from sightline.operators.fold import ordered_scan
+    from sightline.operators.steps import RECEIVED, RtpReceiver
+
+    packets = parse_packets(pcap_packets(files))
+    return ordered_scan(packets.select("path", "arrival_no", "seq16", "ts32", "ssrc", "marker", "payload"), ["path"], ["arrival_no"], lambda: RtpReceiver(codec), "path string, " + RECEIVED)
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
     """Access units of a file by its suffix: a capture's packets by media time, any other file as Annex-B."""
     if not path.endswith(".pcap"):
         return read_annexb(spark, path)
-
-    def parse(name: str, data: bytes):
-        from sightline.api import PcapDecoder
-
-        units, out = PcapDecoder(data), []
-        while unit := units.get_frame():
-            out.append({"au_no": len(out), "ts90k": unit["ts90k"], "key": None, "n_nals": len(unit["nals"]), "data": b"".join(b"\0\0\0\1" + x for x in unit["nals"])})
-        return out
-
-    return _files(spark, path, "au_no long, ts90k long, key boolean, n_nals int, data binary", parse)
+    files = files_at(spark, path)
+    h265 = pcap_descriptions(files).where(F.contains("sdp", F.lit("H265"))).limit(1).count() > 0
+    return captured_units(files, H265 if h265 else H264).select("path", (F.col("au_no") - 1).alias("au_no"), F.col("ts64").alias("ts90k"), "key", "n_nals", "data")
 
 
 def read_pictures(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
@@ -351,16 +374,58 @@ def read_pictures(spark: SparkSession, path: str, most: int | None = None) -> Da
     return files if most is None else files.orderBy("path").limit(most)
 
 
+def length_prefixed_units(files: DataFrame, codec: str = H264, fps: float = 30.0) -> DataFrame:
+    return _parsed(files, UNITS, lambda _, data: units_of(codec, split_lengths(data), fps))
+
+
 def read_length_prefixed(spark: SparkSession, path: str, codec: str = H264, fps: float = 30.0) -> DataFrame:
-    return _files(spark, path, "au_no long, ts90k long, key boolean, n_nals int, data binary", lambda _, data: units_of(codec, split_lengths(data), fps))
+    return length_prefixed_units(files_at(spark, path), codec, fps)
+
+
+def pcap_packets(files: DataFrame) -> DataFrame:
+    return _parsed(files, "arrival_no long, capture_us long, port int, data binary", lambda _, data: pcap_rtp(data))
 
 
 def read_pcap_rtp(spark: SparkSession, path: str) -> DataFrame:
-    return _files(spark, path, "arrival_no long, capture_us long, port int, data binary", lambda _, data: pcap_rtp(data))
+    return pcap_packets(files_at(spark, path))
+
+
+def pcap_descriptions(files: DataFrame) -> DataFrame:
+    return _parsed(files, "sdp string", lambda _, data: [{"sdp": x} for x in [pcap_sdp(data)] if x])
 
 
 def read_pcap_sdp(spark: SparkSession, path: str) -> DataFrame:
-    return _files(spark, path, "sdp string", lambda _, data: [{"sdp": x} for x in [pcap_sdp(data)] if x])
+    return pcap_descriptions(files_at(spark, path))
+
+
+def described_media(descriptions: DataFrame) -> DataFrame:
+    """The media of session descriptions (path, sdp): one row each, with its parameter sets and whether a receiver would take it."""
+
+    def parse(_, sdp: bytes):
+        media = parse_sdp(sdp.decode("utf-8", "replace"))
+        chosen = receiver_config(media)
+        for i, m in enumerate(media):
+            pt = m.get("pt", (m["pts"] or [None])[0])
+            yield {"media_no": i, "kind": m["kind"], "port": m["port"], "pt": pt, "codec": m["codec"], "clock": m["clock"], "channels": m["channels"], "crypto": [c["suite"] for c in m["crypto"]], "sets": m["sets"], "received": chosen is not None and (chosen["kind"], chosen["pt"]) == (m["kind"], pt)}
+
+    files = descriptions.select("path", F.col("sdp").cast("binary").alias("content"))
+    return _parsed(files, "media_no int, kind string, port int, pt int, codec string, clock int, channels int, crypto array<string>, sets array<binary>, received boolean", parse)
+
+
+def picture_sizes(sets: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, width and height of sequence parameter sets (codec, sps)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = sets.select(*keys).schema.add("width", "integer").add("height", "integer")
+    schema = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [sps_size(c, x) for c, x in zip(batch.column("codec").to_pylist(), batch.column("sps").to_pylist(), strict=True)]
+            more = {"width": pa.array([w for w, _ in sizes], pa.int32()), "height": pa.array([h for _, h in sizes], pa.int32())}
+            yield pa.RecordBatch.from_arrays([more[n] if n in more else batch.column(n) for n in schema.names], schema=schema)
+
+    return sets.select(*keys, "codec", "sps").mapInArrow(run, kind)
 
 
 def parse_packets(packets: DataFrame) -> DataFrame:

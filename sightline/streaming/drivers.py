@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import _parse_datatype_string
 
 from sightline.operators.fold import Step
+from sightline.sources.shared import new_folder
 
 
 def _plain(x):
@@ -52,15 +53,24 @@ def stateful(stream: DataFrame, keys: list[str], order: list[str], make: Callabl
     return stream.groupBy(*keys).applyInPandasWithState(run, schema, "step binary", "append", timeout)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """All that a stream has now, as a table in memory; for tests and small results."""
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """All that a stream has now, written as Parquet by executors to the shared folder, with its checkpoint beside it. In complete mode, the last table."""
     spark = stream.sparkSession
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    q = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-    return spark.table(name)
+    path = new_folder(spark, "drained")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch=-1")
+
+    def put(rows: DataFrame, batch: int) -> None:
+        # a batch that is run again replaces its own folder
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={0 if mode == 'complete' else batch}")
+
+    watched(stream, put, f"{path}/checkpoint", mode).awaitTermination()
+    return spark.read.schema(stream.schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows").select(*stream.columns)
+
+
+def watched(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str | None = None, mode: str = "append", trigger: dict | None = None):
+    """The running query that gives each micro-batch of results to a callback (results, batch number); stop() ends it, processAllAvailable() waits for what is there."""
+    path = checkpoint or new_folder(stream.sparkSession, "watched")
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", path).trigger(**(trigger or {"availableNow": True})).foreachBatch(callback).start()
 
 
 def events(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:

@@ -207,7 +207,7 @@ def test_batch_and_streaming_tracks_agree(spark, tmp_path):
 
     stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     out = drivers.stateful(stream, ["stream_id"], ["t"], trackers.CascadeTracker, trackers.TRACK_COLUMNS)
-    got = drivers.drained(out, "tracks_test").select("frame_no", "track_id", "state", "observations").collect()
+    got = drivers.drained(out).select("frame_no", "track_id", "state", "observations").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, batch))
 
 
