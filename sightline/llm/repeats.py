@@ -5,16 +5,18 @@ leftmost of equals. Consecutive windows with the same minimiser form a run, and
 equal windows lie in runs with equal minimisers, so runs can be dealt to buckets
 by that hash and every bucket decides alone.
 
-1. A scan hashes each run's minimiser and whole content. Equal runs within a
-   batch are settled there, so a passage that many documents share leaves a
-   batch once. What is shuffled is about 20 bytes a run.
-2. A bucket groups runs by minimiser. Equal runs are settled; where a minimiser
-   has different runs, one of each goes on.
-3. Those runs' texts (a few in a hundred) meet in their bucket as strings, where
-   a kernel finds equal windows exactly.
+1. A scan finds each run's minimiser. Equal runs of a batch are compared byte by
+   byte and leave it once, so a passage that many documents share is one run a
+   batch. What is shuffled is about 12 bytes a run.
+2. A bucket groups runs by minimiser. A minimiser that only one run has cannot
+   be in two equal windows: those runs end here. All others go on.
+3. Those runs travel as packed strings to their bucket, equal ones too. There the
+   strings are sorted, which settles equal runs, and a kernel sorts the windows
+   of those that share a minimiser but differ.
 4. The covered windows of each document go back to it.
 
-Buckets are as many as the scan has partitions, so their size does not grow
+Hashes only decide what is compared: two windows count as equal when their bytes
+are. Buckets are as many as the scan has partitions, so their size does not grow
 with the input. Rows that repeat a doc_id are one document; where their texts
 differ, what is found in any of them applies to each as far as it reaches.
 """
@@ -22,7 +24,6 @@ differ, what is found in any of them applies to each as far as it reaches.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm._common import as_bytes, parts_for, slices, staged, table
-from sightline.llm.minhash import mix
-from sightline.llm.tokens import _Memory
+from sightline.llm.words import mix, powers, word_hashes
 
 #: doc_id, first window, number of windows.
 WINDOWS = np.dtype([("doc", "<i8"), ("start", "<u4"), ("n", "<u4")])
-#: The same with hashes of the minimiser and of the run's content, and whether the run was met again in its batch.
-RUNS = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "<u2"), ("again", "u1")])
+#: The same with a hash of the minimiser, and whether the run was met again in its batch.
+RUNS = np.dtype([("h", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "<u2"), ("again", "u1")])
 
 _ODD = 0x9E3779B97F4A7C15
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -45,13 +45,6 @@ _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
 _PLACE = 24
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int, base: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class Bytes:
     """A document is its UTF-8 bytes."""
 
@@ -78,22 +71,15 @@ class Bytes:
         return units[start:end]
 
 
-class Words:
-    """A document is its words, unchanged: runs of anything but ASCII white space."""
-
-    def __init__(self):
-        self._known = _Memory(xxhash.xxh3_64_intdigest, 400_000)
+#: ASCII white space ends a word; all else counts as it is.
+_WORDS = bytes(32 if b in b" \t\n\r\x0b\x0c" else b for b in range(256))
 
-    def __getstate__(self):
-        return {}
 
-    def __setstate__(self, state):
-        self.__init__()
+class Words:
+    """A document is its words, unchanged: runs of anything but ASCII white space."""
 
     def units(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        words = [t.split() for t in texts]
-        sizes = np.array([len(w) for w in words], np.int64)
-        return np.fromiter((h for w in words for h in map(self._known.__getitem__, w)), np.uint64, int(sizes.sum())), sizes
+        return word_hashes(texts, _WORDS)
 
     def hashes(self, flat: np.ndarray) -> np.ndarray:
         return flat
@@ -112,14 +98,18 @@ class Words:
         return b" ".join(units[start:end])
 
 
-def runs_of(unit, docs: np.ndarray, texts: list[bytes], size: int, gram: int) -> np.ndarray:
-    """The runs (RUNS) of all windows of `size` units in the texts."""
+_NONE = np.empty(0, RUNS), np.empty(0, np.uint64), np.empty(0, np.int64)
+
+
+def runs_of(unit, docs: np.ndarray, texts: list[bytes], size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs (RUNS) of all windows of `size` units in the texts, a hash of each one's content, and its text's number."""
     flat, sizes = unit.units(texts)
-    if len(flat) < size or len(flat) >= 1 << _PLACE and len(texts) > 1:
-        if len(flat) < size:
-            return np.empty(0, RUNS)
+    if len(flat) < size:
+        return _NONE
+    if len(flat) >= 1 << _PLACE and len(texts) > 1:
         half = len(texts) // 2
-        return np.concatenate([runs_of(unit, docs[:half], texts[:half], size, gram), runs_of(unit, docs[half:], texts[half:], size, gram)])
+        left, right = runs_of(unit, docs[:half], texts[:half], size, gram), runs_of(unit, docs[half:], texts[half:], size, gram)
+        return np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1]]), np.concatenate([left[2], right[2] + half])
     bits = max(_PLACE, len(flat).bit_length())
     low = np.uint64((1 << bits) - 1)
     hashes = unit.hashes(flat)
@@ -136,7 +126,7 @@ def runs_of(unit, docs: np.ndarray, texts: list[bytes], size: int, gram: int) ->
     doc = np.repeat(np.arange(len(texts)), np.maximum(sizes - size + 1, 0))
     start = np.arange(len(doc)) - np.repeat(np.cumsum(np.maximum(sizes - size + 1, 0)) - np.maximum(sizes - size + 1, 0), np.maximum(sizes - size + 1, 0)) + (ends - sizes)[doc]
     if not len(doc):
-        return np.empty(0, RUNS)
+        return _NONE
     at = place[start]
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
@@ -144,38 +134,42 @@ def runs_of(unit, docs: np.ndarray, texts: list[bytes], size: int, gram: int) ->
     n = np.diff(np.append(first, len(at)))
     begin, own = start[first], doc[first]
     # the content's hash: a polynomial over the run, moved to its start
-    power = _powers(1 << max(16, len(flat).bit_length()), _ODD)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[: len(flat)], dtype=np.uint64)])
-    back = _powers(len(power), pow(_ODD, -1, 1 << 64))
-    content = (total[begin + n + size - 1] - total[begin]) * back[begin]
+    room = -(-len(flat) // (1 << 19)) + 1 << 19
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(room)[: len(flat)], dtype=np.uint64)])
+    content = (total[begin + n + size - 1] - total[begin]) * powers(room, pow(_ODD, -1, 1 << 64))[begin]
     out = np.zeros(len(first), RUNS)
     out["h"], out["doc"], out["start"], out["n"] = h[at[first]], docs[own], begin - (ends - sizes)[own], n
-    # where the minimiser is in the run tells runs of one content apart as little as their length does, but costs nothing
-    out["c"] = mix(content + mix(n.astype(np.uint64) * np.uint64(512) + (at[first] - begin).astype(np.uint64)))
-    return out
-
-
-def _settled(runs: np.ndarray, first_stays: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The first of each group of equal runs (again is set if there are more), and the runs that equal ones cover."""
-    runs = runs[np.lexsort((runs["start"], runs["doc"], runs["c"], runs["h"]))]
-    same = np.zeros(len(runs), bool)
-    same[1:] = (runs["h"][1:] == runs["h"][:-1]) & (runs["c"][1:] == runs["c"][:-1])
-    # a document met twice is one
-    twice = np.zeros(len(runs), bool)
-    twice[1:] = same[1:] & (runs["doc"][1:] == runs["doc"][:-1]) & (runs["start"][1:] == runs["start"][:-1])
-    if twice.any():
-        np.maximum.at(runs["again"], np.flatnonzero(~twice)[np.cumsum(~twice)[twice] - 1], runs["again"][twice])
-        return _settled(runs[~twice], first_stays)
-    group = np.cumsum(~same) - 1
-    first = np.flatnonzero(~same)
-    many = np.diff(np.append(first, len(runs))) > 1
-    again = np.zeros(len(first), np.uint8)
-    np.maximum.at(again, group, runs["again"])
-    again |= many
-    kept = runs[first]
-    kept["again"] = again
-    covered = runs[same]
-    return kept, covered if first_stays else np.concatenate([covered, kept[kept["again"] > 0]])
+    return out, mix(content + mix(n.astype(np.uint64))), own
+
+
+def _collapsed(unit, texts: list[bytes], size: int, runs: np.ndarray, content: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each group of equal runs of a batch (again is set if there are more), and the others, compared unit by unit."""
+    order = np.lexsort((runs["start"], runs["doc"], content, runs["h"]))
+    runs, content, own = runs[order], content[order], own[order]
+    like = np.zeros(len(runs), bool)
+    like[1:] = (runs["h"][1:] == runs["h"][:-1]) & (content[1:] == content[:-1]) & (runs["n"][1:] == runs["n"][:-1])
+    at = np.flatnonzero(like)
+    if not len(at):
+        return runs, runs[:0]
+    lead = np.maximum.accumulate(np.where(like, 0, np.arange(len(runs))))
+    split: dict[int, object] = {}
+
+    def string(i: int) -> bytes:
+        k = int(own[i])
+        if k not in split:
+            split[k] = unit.split(texts[k])
+        start = int(runs["start"][i])
+        return unit.cut(split[k], start, start + int(runs["n"][i]) + size - 1)
+
+    held, lead_string = -1, b""
+    for i in at.tolist():
+        if lead[i] != held:
+            held, lead_string = int(lead[i]), string(int(lead[i]))
+        like[i] = string(i) == lead_string
+    same = np.flatnonzero(like)
+    # a document that comes twice is one
+    runs["again"][lead[same[(runs["doc"][same] != runs["doc"][lead[same]]) | (runs["start"][same] != runs["start"][lead[same]])]]] = 1
+    return runs[~like], runs[like]
 
 
 def _by_doc(runs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -210,11 +204,12 @@ def _rows(data: bytes) -> np.ndarray:
     return out
 
 
-def _scan(unit, size: int, gram: int, buckets: int, first_stays: bool):
+def _scan(unit, size: int, gram: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            runs = runs_of(unit, batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), as_bytes(batch.column("text")), size, gram)
-            kept, covered = _settled(runs, first_stays=True)
+            texts = as_bytes(batch.column("text"))
+            found = runs_of(unit, batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), texts, size, gram)
+            kept, covered = _collapsed(unit, texts, size, *found)
             where = (mix(kept["h"]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             edges = np.searchsorted(where[order], np.arange(buckets + 1))
@@ -240,14 +235,15 @@ def _bucket(first_stays: bool):
             for doc, part in _by_doc(w):
                 rows.setdefault(doc, [b"", b""])[0] += _packed(part, WINDOWS)
         if held:
-            kept, covered = _settled(np.concatenate(held), first_stays)
-            for doc, part in _by_doc(covered):
-                rows.setdefault(doc, [b"", b""])[0] += _packed(part, WINDOWS)
-            h = kept["h"]
+            runs = np.sort(np.concatenate(held), order=["h", "doc", "start"])
+            h = runs["h"]
             shared = np.zeros(len(h), bool)
             shared[1:] = h[1:] == h[:-1]
             shared[:-1] |= shared[1:].copy()
-            for doc, part in _by_doc(kept[shared]):
+            if not first_stays:  # met again in its own batch alone
+                for doc, part in _by_doc(runs[~shared & (runs["again"] > 0)]):
+                    rows.setdefault(doc, [b"", b""])[0] += _packed(part, WINDOWS)
+            for doc, part in _by_doc(runs[shared]):
                 rows.setdefault(doc, [b"", b""])[1] += _packed(part, RUNS)
         docs = list(rows)
         for k in range(0, len(docs), 5000):
@@ -257,22 +253,40 @@ def _bucket(first_stays: bool):
     return run
 
 
+#: Bytes of strings that a task holds to settle equal ones before they leave.
+HELD = 32 << 20
+
+
 def _texts(unit, size: int, buckets: int):
-    schema = pa.schema([("bucket", pa.int32()), ("runs", pa.binary()), ("texts", pa.list_(pa.binary()))])
+    """The strings of open runs for their buckets (kind 0), equal ones of a task as one, and the windows that those cover (kind 1)."""
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("runs", pa.binary()), ("texts", pa.list_(pa.binary()))])
+
+    def left(runs: list[np.ndarray], texts: list[bytes]) -> pa.RecordBatch:
+        # the representatives of a task are met again elsewhere or not: what covers them is known in their bucket
+        first, covered, strings = settled(np.concatenate(runs), texts, first_stays=True)
+        where = (mix(first["h"]) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        edges = np.searchsorted(where[order], np.arange(buckets + 1))
+        rows = [(b, 0, first[at := order[x:y]].tobytes(), [strings[i] for i in at.tolist()]) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if x < y]
+        rows += [(doc % buckets, 1, _packed(part, WINDOWS), []) for doc, part in _by_doc(covered)]
+        return table(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, strings, n = [], [], 0
         for batch in batches:
             for text, parts in zip(as_bytes(batch.column("text")), batch.column("open").to_pylist(), strict=True):
                 runs = np.concatenate([np.frombuffer(p, RUNS) for p in parts])
                 units = unit.split(text)
                 runs = runs[runs["start"].astype(np.int64) + runs["n"] + size - 1 <= len(units)]
-                where = (mix(runs["h"]) % np.uint64(buckets)).astype(np.int64)
-                rows = []
-                for b in np.unique(where).tolist():
-                    some = runs[where == b]
-                    rows.append((b, some.tobytes(), [unit.cut(units, s, s + n + size - 1) for s, n in zip(some["start"].tolist(), some["n"].tolist(), strict=True)]))
-                if rows:
-                    yield table(schema, bucket=[r[0] for r in rows], runs=[r[1] for r in rows], texts=[r[2] for r in rows])
+                cut = [unit.cut(units, s, s + k + size - 1) for s, k in zip(runs["start"].tolist(), runs["n"].tolist(), strict=True)]
+                held.append(runs)
+                strings += cut
+                n += sum(map(len, cut))
+                if n >= HELD:
+                    yield left(held, strings)
+                    held, strings, n = [], [], 0
+        if strings:
+            yield left(held, strings)
 
     return run
 
@@ -281,29 +295,52 @@ def _texts(unit, size: int, buckets: int):
 Kernel = Callable[[np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
-def _compared(kernel: Kernel):
+def _compared(kernel: Kernel, first_stays: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("covered", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, texts = [], []
+        held, texts, passed = [], [], [np.empty(0, WINDOWS)]
         for batch in batches:
-            held += [np.frombuffer(x, RUNS) for x in batch.column("runs").to_pylist()]
-            texts += [t for x in batch.column("texts").to_pylist() for t in x]
-        if not texts:
-            return
-        runs = np.concatenate(held)
-        order = np.lexsort((runs["start"], runs["doc"], runs["h"]))
-        runs, texts = runs[order], [texts[i] for i in order.tolist()]
+            for kind, data, strings in zip(batch.column("kind").to_pylist(), batch.column("runs").to_pylist(), batch.column("texts").to_pylist(), strict=True):
+                (passed if kind else held).append(np.frombuffer(data, WINDOWS if kind else RUNS))
+                texts += strings
+        runs, covered, texts = settled(np.concatenate(held) if held else np.empty(0, RUNS), texts, first_stays)
+        # of a minimiser's strings, those that differ from all others
+        h = runs["h"]
+        shared = np.zeros(len(h), bool)
+        shared[1:] = h[1:] == h[:-1]
+        shared[:-1] |= shared[1:].copy()
+        runs, texts = runs[shared], [texts[i] for i in np.flatnonzero(shared).tolist()]
         which, place = kernel(runs, texts)
         out = np.zeros(len(which), WINDOWS)
         out["doc"], out["start"], out["n"] = runs["doc"][which], runs["start"][which] + place, 1
-        rows = [(doc, joined(part).tobytes()) for doc, part in _by_doc(out)]
+        both = np.concatenate([out, np.frombuffer(_packed(covered, WINDOWS), WINDOWS), *passed])
+        rows = [(doc, joined(part).tobytes()) for doc, part in _by_doc(both)]
         for k in range(0, len(rows), 5000):
             yield table(schema, doc_id=[r[0] for r in rows[k : k + 5000]], covered=[r[1] for r in rows[k : k + 5000]])
 
     return run
 
 
+def settled(runs: np.ndarray, texts: list[bytes], first_stays: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Runs and their strings sorted by minimiser, string and place: one of each group of equal strings (the earliest), the runs that equal ones cover, and the strings of the former."""
+    by = np.lexsort((runs["start"], runs["doc"], runs["h"])).tolist()
+    h = runs["h"].tolist()
+    by.sort(key=lambda i: (h[i], texts[i]))  # stable: equal strings stay in order of their places
+    runs, texts = runs[by], [texts[i] for i in by]
+    hs = runs["h"].tolist()
+    same = np.fromiter((i > 0 and hs[i] == hs[i - 1] and texts[i] == texts[i - 1] for i in range(len(texts))), bool, len(texts))
+    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(runs))))
+    at = np.flatnonzero(same)
+    runs["again"][lead[at[(runs["doc"][at] != runs["doc"][lead[at]]) | (runs["start"][at] != runs["start"][lead[at]])]]] = 1
+    again = np.zeros(len(runs), np.uint8)
+    np.maximum.at(again, lead, runs["again"])
+    first, covered = runs[~same], runs[same & ((runs["doc"] != runs["doc"][lead]) | (runs["start"] != runs["start"][lead]))]
+    if not first_stays:
+        covered = np.concatenate([covered, first[again[~same] > 0]])
+    return first, covered, [texts[i] for i in np.flatnonzero(~same).tolist()]
+
+
 def joined(windows: np.ndarray) -> np.ndarray:
     """One document's windows in order, those that follow each other or overlap made one."""
     windows = np.sort(windows, order=["start", "n"])
@@ -319,11 +356,11 @@ def covered_windows(docs: DataFrame, unit, size: int, gram: int, kernel: Kernel,
     """doc_id, covered (a list of packed WINDOWS) of the documents that have windows which occur elsewhere (first_stays: earlier)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     buckets = parts_for(docs)
-    parts = texts.mapInArrow(_scan(unit, size, gram, buckets, first_stays), "bucket int, kind byte, data binary")
+    parts = texts.mapInArrow(_scan(unit, size, gram, buckets), "bucket int, kind byte, data binary")
     found = staged(parts.repartitionById(buckets, F.col("bucket")).mapInArrow(_bucket(first_stays), "doc_id long, covered binary, open binary"), "runs")
     still = found.where(F.octet_length("open") > 0).groupBy("doc_id").agg(F.collect_list("open").alias("open"))
-    strings = texts.join(still, "doc_id").select("text", "open").mapInArrow(_texts(unit, size, buckets), "bucket int, runs binary, texts array<binary>")
-    more = staged(strings.repartitionById(buckets, F.col("bucket")).mapInArrow(_compared(kernel), "doc_id long, covered binary"), "windows")
+    strings = texts.join(still, "doc_id").select("text", "open").mapInArrow(_texts(unit, size, buckets), "bucket int, kind byte, runs binary, texts array<binary>")
+    more = staged(strings.repartitionById(buckets, F.col("bucket")).mapInArrow(_compared(kernel, first_stays), "doc_id long, covered binary"), "windows")
     both = found.where(F.octet_length("covered") > 0).select("doc_id", "covered").unionByName(more)
     return both.groupBy("doc_id").agg(F.collect_list("covered").alias("covered"))
 

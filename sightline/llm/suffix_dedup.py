@@ -1,16 +1,19 @@
 """Removal of bytes in 100-byte strings that also start earlier, by suffix sorting with a difference cover.
 
 A suffix array of every byte would take many times the corpus in shuffles and
-disk, so suffixes are sorted only where that can matter: repeats.py deals runs
-of windows to buckets by their minimisers and settles equal runs by hash. What
-is left in a bucket, runs that share a minimiser but differ, is sorted here: the
+disk, so the array is partitioned by content: windows that share a minimiser
+form a run, runs whose minimiser no other run has cannot repeat and end there
+(see repeats.py), and all others travel to their minimiser's bucket. In a bucket
+the runs' strings are sorted first, which settles equal runs. Where strings of
+one minimiser differ, all their suffixes are sorted with a difference cover: the
 triples at places 1 and 2 mod 3 are sorted and named, names are sorted by the
 same steps (recursion ends when names are distinct or longer than a window),
 the other suffixes are ordered by their first byte and the named one that
 follows, and both orders are merged. Adjacent suffixes are then compared over
 the length of a window; in each group of equal ones the earliest stays.
 
-Defined cases: a null text is empty; a text shorter than the length loses
+Defined cases: a null text is empty; a very long text is a batch of its own; of
+equal windows the one of the least doc_id, then place, stays; a text shorter than the length loses
 nothing; rows that repeat a doc_id are one document, which is reported for each
 row; null doc_ids are neither compared nor cut; an empty table gives no rows;
 other columns are ignored.
@@ -115,8 +118,8 @@ def equal_windows(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray
     return group[many], own[window[many]], place[window[many]]
 
 
-def earliest_stay(runs: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Run and place of every window that an earlier one equals. Runs meet only within their minimiser, CHUNK bytes at a time."""
+def earliest_stay(runs: np.ndarray, texts: list[bytes], grams: tuple[int, ...] = (56, 80)) -> tuple[np.ndarray, np.ndarray]:
+    """Run and place of every window that an earlier one equals. Runs meet only within their minimiser, CHUNK bytes at a time; runs of one minimiser that are more are cut by another one, of longer grams."""
     which, places = [], []
     cuts = [0, *(np.flatnonzero(np.diff(runs["h"])) + 1).tolist(), len(runs)]
     lengths = np.cumsum([0, *map(len, texts)])
@@ -126,6 +129,12 @@ def earliest_stay(runs: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.
         while end < len(cuts) - 1 and lengths[cuts[end + 1]] - lengths[cuts[start]] <= CHUNK:
             end += 1
         a, b = cuts[start], cuts[end]
+        if end == start + 1 and grams and lengths[b] - lengths[a] > 16 * CHUNK:
+            which_, places_ = _cut_again(runs[a:b], texts[a:b], grams)
+            which.append(which_ + a)
+            places.append(places_)
+            start = end
+            continue
         group, own, place = equal_windows(texts[a:b], LENGTH)
         if len(group):
             begin = runs["start"][a:b][own].astype(np.int64) + place
@@ -140,6 +149,19 @@ def earliest_stay(runs: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.
     return np.concatenate(which or [none]), np.concatenate(places or [none])
 
 
+def _cut_again(runs: np.ndarray, texts: list[bytes], grams: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """earliest_stay of one minimiser's runs, dealt by their windows' minimisers of longer grams: equal windows share those too."""
+    found, _, own = repeats.runs_of(repeats.Bytes(), np.arange(len(texts)), texts, LENGTH, grams[0])
+    order = np.lexsort((found["start"], own, found["h"]))
+    found, own = found[order], own[order]
+    offset = found["start"].astype(np.int64)
+    strings = [texts[k][s : s + n + LENGTH - 1] for k, s, n in zip(own.tolist(), offset.tolist(), found["n"].tolist(), strict=True)]
+    inner = found.copy()
+    inner["doc"], inner["start"] = runs["doc"][own], runs["start"][own] + found["start"]
+    which, place = earliest_stay(inner, strings, grams[1:])
+    return own[which], offset[which] + place
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
     for batch in batches:

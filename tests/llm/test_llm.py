@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sightline.llm import decontam, minhash, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup, token_files, toxicity
+from sightline.llm import decontam, minhash, packing, quality, repeats, secret_scan, sharding, substring_dedup, suffix_dedup, token_files, toxicity
 from sightline.llm._common import new_path
 from sightline.llm.components import components
 from sightline.llm.tokens import Encoder
@@ -270,6 +270,32 @@ def test_substring_dedup(docs, texts, none):
     assert substring_dedup.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("parts", [False, True])
+def test_kernels_split_one_minimiser(monkeypatch, parts):
+    if parts:
+        monkeypatch.setattr(suffix_dedup, "CHUNK", 40)
+        monkeypatch.setattr(substring_dedup, "TOGETHER", 7)
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcd") for _ in range(300)).encode()
+    strings = [base[a : a + rng.randrange(101, 180)] for a in (rng.randrange(0, 120) for _ in range(25))]
+    runs = np.zeros(len(strings), repeats.RUNS)
+    runs["h"], runs["doc"], runs["start"], runs["n"] = [k // 12 for k in range(25)], rng.sample(range(100), 25), 5, [len(x) - 99 for x in strings]
+    got = set(zip(*(x.tolist() for x in suffix_dedup.earliest_stay(runs, strings)), strict=True))
+    want, seen = set(), set()
+    for k in sorted(range(25), key=lambda k: (runs["h"][k], runs["doc"][k])):
+        for at in range(len(strings[k]) - 99):
+            key = runs["h"][k], strings[k][at : at + 100]
+            want |= {(k, at)} if key in seen else set()
+            seen.add(key)
+    assert got == want
+    words_ = [f"w{rng.randrange(3)}" for _ in range(90)]
+    lists = [words_[a : a + rng.randrange(36, 50)] for a in (rng.randrange(0, 40) for _ in range(25))]
+    runs["n"] = [len(x) - 34 for x in lists]
+    got = set(zip(*(x.tolist() for x in substring_dedup.all_go(runs, [" ".join(x).encode() for x in lists])), strict=True))
+    n = collections.Counter((runs["h"][k], tuple(x[at : at + 35])) for k, x in enumerate(lists) for at in range(len(x) - 34))
+    assert got == {(k, at) for k, x in enumerate(lists) for at in range(len(x) - 34) if n[runs["h"][k], tuple(x[at : at + 35])] > 1}
+
+
 def test_repeated_rows_of_the_dedups(spark):
     rng = random.Random(1)
     t = prose(rng, 80)
