@@ -279,7 +279,7 @@ def test_kernels_split_one_minimiser(monkeypatch, parts):
     base = "".join(rng.choice("abcd") for _ in range(300)).encode()
     strings = [base[a : a + rng.randrange(101, 180)] for a in (rng.randrange(0, 120) for _ in range(25))]
     runs = np.zeros(len(strings), repeats.RUNS)
-    runs["h"], runs["doc"], runs["start"], runs["n"] = [k // 12 for k in range(25)], rng.sample(range(100), 25), 5, [len(x) - 99 for x in strings]
+    runs["h"], runs["doc"], runs["start"], runs["n"] = 9, rng.sample(range(100), 25), 5, [len(x) - 99 for x in strings]
     got = set(zip(*(x.tolist() for x in suffix_dedup.earliest_stay(runs, strings)), strict=True))
     want, seen = set(), set()
     for k in sorted(range(25), key=lambda k: (runs["h"][k], runs["doc"][k])):
