@@ -59,10 +59,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    rows = secret_scan.scan(docs, secret_scan.thresholds(docs))
+    rows = secret_scan.scan(docs, secret_scan.thresholds(docs), battery="tests")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secrets", lambda s: s["kind"] != "random")
-    return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.digest(base), 256).alias("base_sha256"), secret_scan.digest(F.col("secrets")).alias("spans"))
+    return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.digest(base), 256).alias("base_sha256"), secret_scan.digest(F.col("secrets")).alias("spans"), count("random"), F.col("tests.tested").alias("n_tested"), F.col("tests.named").alias("n_base_random"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

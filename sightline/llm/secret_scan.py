@@ -15,7 +15,8 @@ The thresholds need one number for each of a few length bands (at most 32 rows
 reach the driver). There is no shuffle but that count.
 
 Offsets are in code points, ends exclusive. Defined cases: a null or empty text
-has no spans; equal rows give equal rows; an empty table gives no thresholds and
+has no spans; a very long text is one row like any other, its matches placed in
+blocks; spans of equal start are in the order of KINDS; equal rows give equal rows; an empty table gives no thresholds and
 no rows; other columns stay untouched.
 """
 
@@ -39,19 +40,32 @@ REJECT, FALSE_SHARE, UNEVEN = 3.0, 0.01, {10: 0.0, 16: 2.0, 32: 2.5, 64: 3.0}
 _ALPHABETS = {10: "0123456789", 16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
 
+#: Matches that are placed together; blocks of them are then shifted, so that a text of many matches is not copied for each.
+BLOCK = 256
+
+
 def _spans(text: Column, pattern: str, gate: Column) -> Column:
     """start, end, token of each match, leftmost first; the text between matches gives the offsets."""
     at = F.lit(pattern)
     tokens, between = F.regexp_extract_all(text, at, F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(tokens, between, lambda t, b: F.struct(F.char_length(b).alias("gap"), t.alias("token")))
+    # the last piece between matches has no match after it
+    pairs = F.filter(F.zip_with(tokens, between, lambda t, b: F.struct(F.char_length(b).alias("gap"), t.alias("token"))), lambda p: p["token"].isNotNull())
     none = F.array().cast("array<struct<start: int, end: int, token: string>>")
+    length = lambda p: p["gap"] + F.char_length(p["token"])
     step = lambda acc, p: F.struct(
-        (acc["at"] + p["gap"] + F.char_length(p["token"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + p["gap"] + F.char_length(p["token"])).alias("end"), p["token"].alias("token")))).alias("out"),
+        (acc["at"] + length(p)).alias("at"),
+        F.concat(acc["out"], F.array(F.struct((acc["at"] + p["gap"]).alias("start"), (acc["at"] + length(p)).alias("end"), p["token"].alias("token")))).alias("out"),
     )
-    # the last piece between matches has no match after it
-    folded = F.aggregate(F.filter(pairs, lambda p: p["token"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(gate, folded).otherwise(none)
+    placed = lambda block: F.aggregate(block, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+    blocks = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda k: placed(F.slice(p, k * BLOCK + 1, F.lit(BLOCK))))
+    shifted = lambda acc, b: F.struct(
+        (acc["at"] + b["at"]).alias("at"),
+        F.concat(acc["out"], F.array(F.transform(b["out"], lambda s: F.struct((acc["at"] + s["start"]).alias("start"), (acc["at"] + s["end"]).alias("end"), s["token"].alias("token"))))).alias("out"),
+    )
+    nested = F.array().cast("array<array<struct<start: int, end: int, token: string>>>")
+    # in an array of one, so that the pattern runs once
+    all_ = F.transform(F.array(pairs), lambda p: F.when(F.size(p) == 0, none).otherwise(F.flatten(F.aggregate(blocks(p), F.struct(F.lit(0).alias("at"), nested.alias("out")), shifted, lambda acc: acc["out"]))))[0]
+    return F.when(gate, all_).otherwise(none)
 
 
 def _normal_tail(z: Column) -> Column:
@@ -111,22 +125,29 @@ def thresholds(docs: DataFrame, text: str = "text") -> dict[int, int]:
     return dict(map(tuple, passing.groupBy("band").agg(F.min("evidence")).collect()))
 
 
-def scan(docs: DataFrame, least: dict[int, int], text: str = "text") -> DataFrame:
-    """docs with one more column, secrets: kind, start, end of each span, by start and then kind as in KINDS. Random tokens that overlap a base span are left out."""
+def scan(docs: DataFrame, least: dict[int, int], text: str = "text", battery: str | None = None) -> DataFrame:
+    """docs with one more column, secrets: kind, start, end of each span, by start and then kind as in KINDS. Random tokens that overlap a base span are left out.
+
+    With battery, a column of that name tells what the tests found: tokens tested,
+    tokens that passed as random, and those of them that lie in base spans.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(body)
     named = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("apikey") | low.contains("api_key")
     kind = lambda k, spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(k)).alias("order"), s["end"].alias("end")))
     assign = F.filter(_spans(body, ASSIGN, named), lambda s: F.char_length(F.regexp_extract(s["token"], ASSIGN, 2)) >= ASSIGN_LEAST)
     base = F.concat(kind("assign", assign), kind("access", _spans(body, ACCESS, body.contains("AKIA"))), kind("hex", _spans(body, HEX, body.rlike(HEX))))
-    if least:
-        bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
-        found = F.filter(_tokens(body), lambda s: (s["t"]["evidence"] > 0) & (s["t"]["evidence"] >= F.coalesce(F.try_element_at(bound, s["t"]["band"]), F.lit(1 << 30))))
-        out = docs.withColumn("_base", base).withColumn("_more", found)
-        free = F.filter("_more", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        out = out.withColumn("secrets", F.array_sort(F.concat("_base", kind("random", free)))).drop("_base", "_more")
+    out = docs.withColumn("_base", base)
+    if least or battery:
+        bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair]) if least else F.create_map().cast("map<int, int>")
+        random = lambda s: (s["t"]["evidence"] > 0) & (s["t"]["evidence"] >= F.coalesce(F.try_element_at(bound, s["t"]["band"]), F.lit(1 << 30)))
+        named_ = lambda s: F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        out = out.withColumn("_all", _tokens(body)).withColumn("_more", F.filter("_all", random))
+        if battery:
+            out = out.withColumn(battery, F.struct(F.size("_all").cast("long").alias("tested"), F.size("_more").cast("long").alias("passed"), F.size(F.filter("_more", named_)).cast("long").alias("named")))
+        out = out.withColumn("secrets", F.array_sort(F.concat("_base", kind("random", F.filter("_more", lambda s: ~named_(s)))))).drop("_base", "_all", "_more")
     else:
-        out = docs.withColumn("secrets", F.array_sort(base))
+        out = out.withColumn("secrets", F.array_sort("_base")).drop("_base")
     names = F.array(*map(F.lit, KINDS))
     return out.withColumn("secrets", F.transform("secrets", lambda s: F.struct(names[s["order"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
 
@@ -138,7 +159,7 @@ def digest(secrets: Column) -> Column:
 def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
     """The text with each span, or overlapping spans together, replaced by a mark."""
     step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-        F.struct(s["end"].alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"))
+        F.struct(s["end"].alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))).alias("out"))
     )
-    last = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit((1 << 31) - 1)))
-    return F.when(F.size(secrets) == 0, text).otherwise(F.aggregate(secrets, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, last))
+    last = lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.lit((1 << 31) - 1)))), "")
+    return F.when(F.size(secrets) == 0, text).otherwise(F.aggregate(secrets, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, last))

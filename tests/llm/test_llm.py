@@ -234,6 +234,80 @@ def test_secrets(spark, docs, texts, none):
     assert secret_scan.scan(docs, {}).count() == len(texts)
 
 
+def battery(token):
+    """Band and evidence of a token, step by step."""
+    body = token.replace("-", "+").replace("_", "/").rstrip("=")
+    if re.fullmatch("[0-9]+", body):
+        alphabet = "0123456789"
+    elif re.fullmatch("[0-9a-f]+|[0-9A-F]+", body):
+        alphabet, body = "0123456789abcdef", body.lower()
+    elif re.fullmatch("[A-Z2-7]+", body):
+        alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    else:
+        alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    x, k, n = [alphabet.index(c) for c in body], len(alphabet), len(body)
+    chi = sum(c * c for c in collections.Counter(x).values()) * k / n - n
+    side = [v * 2 >= k for v in x]
+    runs, high = 1 + sum(a != b for a, b in zip(side, side[1:], strict=False)), sum(side)
+    expected = 2 * high * (n - high) / n + 1
+    spread = (expected - 1) * (expected - 2) / max(n - 1, 1)
+    runs_z = (runs - expected) / spread**0.5 if spread > 0 else 99
+    mean = sum(x) / n
+    variance = sum((v - mean) ** 2 for v in x)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / variance * n**0.5 if variance > 0 else 99
+    chi_z = (chi - (k - 1)) / max(2 * (k - 1) * (n - 1) / n, 1e-9) ** 0.5
+    uneven = secret_scan.UNEVEN[k]
+    z = (k - 1 + n * uneven - chi) / (2 * (k - 1) + 4 * n * uneven) ** 0.5
+    tail = (2 / 3.141592653589793) ** 0.5 * np.exp(-z * z / 2) / (z + (z * z + 8 / 3.141592653589793) ** 0.5) if z > 0 else 1
+    ok = chi_z < secret_scan.REJECT and abs(runs_z) < secret_scan.REJECT and abs(serial) < secret_scan.REJECT and z > 0
+    return int(np.floor(np.log2(n))), int(np.floor(-10 * np.log10(max(tail, 1e-30)))) if ok else 0
+
+
+ENCODINGS = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+
+
+def test_randomness_battery_equals_plain_python(spark):
+    rng = random.Random(12)
+    tokens = ["".join(rng.choices(a, k=rng.randrange(20, 90))) for a in ["0123456789", *ENCODINGS.values()] for _ in range(40)]
+    tokens += ["=" * 25, "a" * 30, "ab" * 20, "internationalisierungen", "some_long_identifier_name", "AAAABBBBCCCCDDDDEEEEFFFF"]
+    rows = spark.createDataFrame([(t,) for t in tokens if t.strip("=")], "t string").select("t", secret_scan._tests(secret_scan.F.col("t")).alias("x")).collect()
+    assert all((r.x.band, r.x.evidence) == battery(r.t) for r in rows) and len({r.x.evidence for r in rows}) > 10
+
+
+def test_thresholds_control_false_discoveries(spark):
+    rng = random.Random(13)
+    tokens = ["".join(rng.choices("etaoinshrdlu", weights=range(24, 0, -2), k=rng.randrange(20, 60))) for _ in range(300)] + ["".join(rng.choices(ENCODINGS["base64"], k=rng.randrange(20, 60))) for _ in range(100)]
+    table = spark.createDataFrame([(i, " ".join(tokens[i::40])) for i in range(40)], "doc_id long, text string")
+    want = {}
+    by = collections.defaultdict(list)
+    for t in tokens:
+        band, evidence = battery(t)
+        by[band].append(evidence)
+    for band, e in by.items():
+        ok = [x for x in e if x > 0 and len(e) * 10 ** (-x / 10) <= secret_scan.FALSE_SHARE * sum(y >= x for y in e)]
+        want |= {band: min(ok)} if ok else {}
+    assert secret_scan.thresholds(table) == want
+
+
+def test_planted_keys_without_a_base_pattern_are_found(spark):
+    rng = random.Random(14)
+    words_ = ["https://example.org/a/long/path/of/words", "internationalisierungen", "donaudampfschifffahrtsgesellschaft", "configuration_option_for_the_reader"]
+    keys = {k: ["".join(rng.choices(a, k=48 if k == "base64" else 72)) for _ in range(60)] for k, a in ENCODINGS.items()}
+    planted = [x for v in keys.values() for x in v]
+    rows = [(i, f"see {planted[i] if i < len(planted) else ''} or {rng.choice(words_)} and {rng.choice(words_)} there") for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.text[s.start : s.end] for r in secret_scan.scan(table, secret_scan.thresholds(table)).collect() for s in r.secrets if s.kind == "random"}
+    assert all(len(found & set(v)) >= 0.9 * len(v) for v in keys.values()) and found <= set(planted)
+
+
+def test_secrets_of_a_text_with_many_matches(spark):
+    text = " ".join(f"é{k} deadbeef{k:08x}cafe" for k in range(1500)) + " token=abcdefghijkl" * 600
+    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secret_scan.scan(table, {}).select("secrets", secret_scan.redacted(secret_scan.F.col("text"), secret_scan.F.col("secrets")).alias("m")).first()
+    assert [(s.kind, s.start, s.end) for s in row.secrets] == spans(text)
+    assert row.m == re.sub("deadbeef[0-9a-f]{8}cafe|token=abcdefghijkl", "[SECRET]", text)
+
+
 def test_suffix_dedup(docs, texts, none):
     got = by_id(suffix_dedup.dedup(docs), "n_bytes", "removed", "kept")
     seen = set()
