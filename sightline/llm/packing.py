@@ -4,14 +4,17 @@ Documents become token ids with an end id; only longer ones are cut to pieces
 of the sequence length. Nodes of a bounded number of pieces pack best-fit
 (largest first). A node emits its nearly full sequences; the others go up a
 tree as items of their fill, several nodes to one, where best fit runs again,
-until one node is left, which emits all. After best fit no two sequences of a
-node can join, and at most one is half empty or more, so a node passes up no
-more sequences of one fill than there are leaves (each takes at most one
-partner from elsewhere); it emits the rest, which loses nothing.
+until one node is left, which emits all. After best fit, at most one sequence of
+a node is half empty or more (two such would have been one), and of two others
+none can join. So what a node can still give to others is that one, and room for
+the at most FAN_IN such sequences that meet at each level above: it passes up
+its emptiest FAN_IN a level, which take whatever any of its sequences could,
+and emits the rest. A node so gets FAN_IN * (1 + FAN_IN * levels) sequences at
+most, the root too, whatever the input.
 
 Defined cases: a null text is empty (one piece: the end id); repeated rows are
-packed as often as they come; an empty table gives no rows; other columns are
-ignored. Ties are broken by doc_id, then piece.
+packed as often as they come; a very long text is cut, one text at a time; an
+empty table gives no rows; other columns are ignored. Ties are broken by doc_id, then piece.
 """
 
 from __future__ import annotations
@@ -78,20 +81,18 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
     return bins, places, fills
 
 
-def pack_node(rows: pa.Table, level: int, node: int, capacity: int, leaves: int, last: bool) -> pa.Table:
-    """Packs a node's items (rows of one sequence_id stay together) and says which sequences are done."""
+def pack_node(rows: pa.Table, level: int, node: int, capacity: int, room: int, last: bool) -> pa.Table:
+    """Packs a node's items (rows of one sequence_id stay together) and says which sequences are done. room: sequences over half full that it passes up."""
     rows = rows.sort_by([("fill", "descending"), ("sequence_id", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
     fill, own, offset = (rows.column(c).to_numpy() for c in ("fill", "sequence_id", "offset"))
     new = np.ones(len(own), bool)
     new[1:] = (own[1:] != own[:-1]) | (own[1:] < 0)  # below 0: a piece that is in no sequence yet
     item = np.cumsum(new) - 1
     bins, places, fills = (np.array(x, np.int64) for x in best_fit(fill[new].tolist(), capacity))
-    done = np.ones(len(fills), bool) if last else capacity - fills <= NEARLY_FULL
+    done = np.ones(len(fills), bool)
     if not last:
-        seen: dict[int, int] = {}
-        for b in np.flatnonzero(~done).tolist():
-            seen[f] = seen.get(f := int(fills[b]), 0) + 1
-            done[b] = seen[f] > leaves
+        emptiest = np.argsort(fills, kind="stable")[: room + 1]
+        done[emptiest] = capacity - fills[emptiest] <= NEARLY_FULL
     b = bins[item]
     put = {"done": done[b], "sequence_id": (level << 58) + (node << 24) + b, "offset": offset + places[item], "fill": fills[b]}
     for name, values in put.items():
@@ -99,9 +100,9 @@ def pack_node(rows: pa.Table, level: int, node: int, capacity: int, leaves: int,
     return rows
 
 
-def _packer(level: int, capacity: int, leaves: int, last: bool):
+def _packer(level: int, capacity: int, room: int, last: bool):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        return pack_node(rows.drop_columns(["node"]), level, key[0].as_py(), capacity, leaves, last)
+        return pack_node(rows.drop_columns(["node"]), level, key[0].as_py(), capacity, room, last)
 
     return run
 
@@ -109,12 +110,15 @@ def _packer(level: int, capacity: int, leaves: int, last: bool):
 def pack(pieces: DataFrame, capacity: int, leaf_pieces: int = LEAF_PIECES, fan_in: int = FAN_IN) -> DataFrame:
     """sequence_id and offset of each piece; row tells pieces apart (length is at most the capacity)."""
     items = pieces.select(*CARRIED, F.lit(False).alias("done"), F.lit(-1).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("length").cast("long").alias("fill"))
-    nodes = leaves = max(1, -(-pieces.count() // leaf_pieces))
+    nodes = max(1, -(-pieces.count() // leaf_pieces))
+    levels, n = 0, nodes
+    while n > 1:
+        n, levels = -(-n // fan_in), levels + 1
     items = items.withColumn("node", F.pmod(F.xxhash64("row"), F.lit(nodes)))
     level, out = 0, None
     while True:
         last = nodes == 1
-        placed = items.groupBy("node").applyInArrow(_packer(level, capacity, leaves, last), PLACED)
+        placed = items.groupBy("node").applyInArrow(_packer(level, capacity, fan_in * (levels - level), last), PLACED)
         if not last or level:
             placed = staged(placed, "packed")
         done = placed.where("done")

@@ -130,6 +130,20 @@ def test_packing(docs, texts, none, leaf):
     assert packing.packed_documents(none, PATH, 0)[1].count() == 0
 
 
+def test_packing_of_many_long_pieces_keeps_its_root_small(spark, monkeypatch):
+    F, seen = packing.F, []
+    inner = packing.staged
+    monkeypatch.setattr(packing, "staged", lambda df, name: seen.append(inner(df, name)) or seen[-1])
+    sizes = F.when(F.col("id") % 1000 == 0, F.col("id") % 900 + 1).otherwise(1100 + F.col("id") * 7919 % 949)
+    pieces = spark.range(1_000_000).select(F.col("id").alias("row"), F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), sizes.alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
+    rows = packing.pack(pieces, 2048, leaf_pieces=20_000, fan_in=4)
+    by = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count("*").alias("k")).agg(F.sum("k"), F.max("n"), F.count_if(F.col("n") != F.col("end")), F.count("*"), F.count_if(F.col("n") <= 1024)).first()
+    assert tuple(by)[:3] == (1_000_000, 2048, 0) and by[3] <= 999_000 and by[4] <= 1
+    for level, placed in enumerate(seen):  # what goes up, by node of the level above
+        up = placed.where("NOT done").select("sequence_id").distinct().count()
+        assert up <= -(-50 // 4**level) * (1 + 4 * 3)
+
+
 def test_packing_of_repeated_rows(spark):
     rows = packing.packed_documents(spark.createDataFrame([(1, "a b")] * 3 + [(None, None)], "doc_id long, text string"), PATH, 0)[1].collect()
     assert len(rows) == 4 and len({r.sequence_id for r in rows}) == 1 and sorted(r.offset for r in rows) == sorted({r.offset for r in rows})
