@@ -8,14 +8,18 @@ its rarest word, and only places of prefix words are candidates. A candidate's
 start follows from the word's place in the window (positional bound), must
 leave room for the window (length bound), and is verified word by word.
 
-Documents are not shuffled. The benchmark's windows go to the executors in
-blocks of at most BLOCK_BYTES of item text (one larger item is a block of its
-own), one pass over the documents a block, so what is broadcast at once is
-bounded whatever the size of the benchmark.
+Documents are not shuffled. Frequencies take one pass, for which the benchmark's
+vocabulary alone is broadcast (in parts of VOCABULARY words, a pass each, should
+it be larger). Windows then go to the executors in blocks of at most BLOCK_BYTES
+of item text (one larger item is a block of its own), one step over the documents
+a block. A block is a few arrays: its words' numbers end to end, and a place and
+a hash for each distinct window, about 5 bytes for each byte of item text, so
+what is broadcast at once is bounded whatever the size of the benchmark.
 
 Words: A-Z are lower-cased; a word is a run of ASCII letters, digits and
 anything beyond ASCII. Defined cases: null and wordless texts have no words and
-match nothing; repeated documents or items count each; null item_ids are left
+match nothing; a very long text is one row like any other; windows of equally
+rare words take the one met first; repeated documents or items count each; null item_ids are left
 out of item lists; empty tables match nothing; other columns are ignored.
 """
 
@@ -31,9 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm._common import as_bytes
+from sightline.llm._common import as_bytes, staged
 
-WINDOW, BLOCK_BYTES = 10, 8 << 20
+WINDOW, BLOCK_BYTES, VOCABULARY = 10, 8 << 20, 2_000_000
 
 _WORD = frozenset([*range(48, 58), *range(97, 123), *range(128, 256)])
 #: For each byte what counts for it in a word, or a space.
@@ -45,40 +49,60 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of a block of items, found by their rarest words."""
+    """The distinct windows of a block of items, found by their rarest words (by frequency, the smaller number of equals)."""
 
-    def __init__(self, items: list[tuple[int, bytes]], width: int = WINDOW):
+    #: Windows that are looked at together while the block is made.
+    SOME = 100_000
+
+    def __init__(self, items: list[tuple[int | None, bytes]], frequency: dict[bytes, int], width: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        texts = [(i, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)]) for i, t in items]
-        found: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        for item, ids in texts:
-            size = min(width, len(ids))
-            for k in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(tuple(ids[k : k + size]), set()).add(item)
-        self._found = found
-        self.groups: list[dict] = []
-
-    def order(self, frequency: np.ndarray) -> None:
-        """Chooses each window's prefix word: the rarest by frequency (indexed by word id), the smaller id of equals."""
-        for size, windows in self._found.items():
-            rows = np.array(list(windows), np.int64)
-            items = [sorted(x for x in s if x is not None) for s in windows.values()]
-            place = np.lexsort((rows, frequency[rows]), axis=1)[:, 0]
-            pairs = np.unique(np.stack([rows[np.arange(len(rows)), place], place], 1), axis=0)  # (prefix word, place in the window)
-            self.groups.append({"size": size, "first": np.searchsorted(pairs[:, 0], np.arange(len(frequency) + 1)), "places": pairs[:, 1], **self._hashed(rows), "items": items})
-        self._found = {}
-
-    @staticmethod
-    def _hashed(rows: np.ndarray) -> dict:
-        """Hashes that tell all these windows apart, in order."""
+        texts = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)], np.int32) for _, t in items]
+        self.flat = np.concatenate([*texts, np.zeros(0, np.int32)])
+        counts = np.array([0, *(frequency.get(w, 0) for w in self.vocabulary)], np.int64)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        span = np.minimum(sizes, width)
+        names = [i for i, _ in items]
+        self.groups = [self._group(int(size), begin, sizes, names, np.flatnonzero(span == size), counts) for size in np.unique(span[span > 0])]
+
+    def _rows(self, at: np.ndarray, size: int) -> np.ndarray:
+        return self.flat[at[:, None] + np.arange(size)]
+
+    def _hashes(self, at: np.ndarray, size: int, seed: int) -> np.ndarray:
+        h = np.zeros(len(at), np.uint64)
+        for k in range(size):
+            h += self.flat[at + k].astype(np.uint64) * np.uint64(pow(seed, k + 1, 1 << 64))
+        return h
+
+    def _group(self, size: int, begin: np.ndarray, sizes: np.ndarray, names: list, some: np.ndarray, counts: np.ndarray) -> dict:
+        n = sizes[some] - size + 1
+        at = np.repeat(begin[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        item = np.repeat(some, n)
         seed = 0x9E3779B97F4A7C15
-        while True:
-            weights = np.array([pow(seed, k + 1, 1 << 64) for k in range(rows.shape[1])], np.uint64)
-            h = (rows.astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
-            if len(np.unique(h)) == len(h):
-                order = np.argsort(h)
-                return {"weights": weights, "hashes": h[order], "rows": rows[order], "order": order}
+        while True:  # until hashes tell all these windows apart
+            h = self._hashes(at, size, seed)
+            order = np.argsort(h, kind="stable")
+            first = np.ones(len(h), bool)
+            first[1:] = h[order[1:]] != h[order[:-1]]
+            lead = order[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
+            if all((self._rows(at[order[k : k + self.SOME]], size) == self._rows(at[lead[k : k + self.SOME]], size)).all() for k in range(0, len(h), self.SOME)):
+                break
             seed += 2
+        which, places = at[order[first]], []
+        for k in range(0, len(which), self.SOME):
+            rows = self._rows(which[k : k + self.SOME], size)
+            place = np.lexsort((rows, counts[rows]), axis=1)[:, 0]
+            places.append(np.unique(np.stack([rows[np.arange(len(rows)), place], place], 1), axis=0))
+        pairs = np.unique(np.concatenate(places), axis=0)  # (prefix word, place in the window)
+        # the items of each distinct window: ids end to end
+        group = np.cumsum(first) - 1
+        known = np.array([names[i] is not None for i in item[order].tolist()], bool)
+        owners = np.unique(np.stack([group[known], np.array([names[i] for i in item[order[known]].tolist()], np.int64)], 1), axis=0)
+        return {
+            "size": size, "seed": seed, "hashes": h[order[first]], "at": which.astype(np.int32 if len(self.flat) < 1 << 31 else np.int64),
+            "first": np.searchsorted(pairs[:, 0], np.arange(len(counts) + 1)).astype(np.int32), "places": pairs[:, 1].astype(np.int8 if size < 128 else np.int32),
+            "owned": np.searchsorted(owners[:, 0], np.arange(first.sum() + 1)).astype(np.int32), "items": owners[:, 1],
+        }
 
     def ids(self, text: bytes) -> np.ndarray:
         words = words_of(text)
@@ -97,36 +121,57 @@ class Windows:
             which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[ids[at]], n)
             start = np.repeat(at, n) - g["places"][which]
             start = np.unique(start[(start >= 0) & (start + size <= len(ids))])
+            weights = np.array([pow(g["seed"], k + 1, 1 << 64) for k in range(size)], np.uint64)
             for some in np.array_split(start, len(start) // 500_000 + 1):
                 rows = ids[some[:, None] + np.arange(size)]
                 full = rows.all(axis=1)
                 some, rows = some[full], rows[full]
-                h = (rows.astype(np.uint64) * g["weights"]).sum(axis=1, dtype=np.uint64)
+                h = (rows.astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
                 j = np.minimum(np.searchsorted(g["hashes"], h), len(g["hashes"]) - 1)
-                same = (g["rows"][j] == rows).all(axis=1)
+                same = (self._rows(g["at"][j].astype(np.int64), size) == rows).all(axis=1)
                 starts.append(some[same])
                 ends.append(some[same] + size)
-                for w in np.unique(g["order"][j[same]]).tolist():
-                    items.update(g["items"][w])
+                for w in np.unique(j[same]).tolist():
+                    items.update(g["items"][g["owned"][w] : g["owned"][w + 1]].tolist())
         none = np.empty(0, np.int64)
         return np.concatenate(starts or [none]), np.concatenate(ends or [none]), items
 
 
-def _frequencies(windows: Broadcast):
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = {w for t in as_bytes(batch.column("text")) for w in words_of(t)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary())], ["word"])
+
+
+def _counted(vocabulary: Broadcast):
     """Documents that have each word of the benchmark, summed over a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = windows.value
-        counts = np.zeros(len(w.vocabulary) + 1, np.int64)
+        number = {w: k for k, w in enumerate(vocabulary.value)}
+        counts = np.zeros(len(number) + 1, np.int64)
         for batch in batches:
             for text in as_bytes(batch.column("text")):
-                counts[list({*map(w.vocabulary.get, words_of(text), repeat(0))})] += 1
-        some = np.flatnonzero(counts)
+                counts[list({*map(number.get, words_of(text), repeat(len(number)))})] += 1
+        some = np.flatnonzero(counts[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["word", "n"])
 
     return run
 
 
+def frequencies(docs: DataFrame, benchmark: DataFrame, part: int = VOCABULARY) -> DataFrame:
+    """word, n: documents that have each word of the benchmark (staged; words that none has are left out)."""
+    spark = docs.sparkSession
+    words = staged(benchmark.select("text").mapInArrow(_distinct_words, "word binary").distinct(), "vocabulary")
+    parts = -(-words.count() // part) or 1
+    out = None
+    for k in range(parts):
+        some = sorted(bytes(r.word) for r in words.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == k).collect())
+        counts = docs.select("text").mapInArrow(_counted(spark.sparkContext.broadcast(some)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        named = spark.createDataFrame([(some[r.word], r.n) for r in counts.collect()], "word binary, n long")
+        out = named if out is None else out.unionByName(named)
+    return staged(out, "frequencies")
+
+
 _HITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -169,14 +214,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     span = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
     rows = texts.withColumns({"_n_words": F.lit(0).cast("long"), "_hits": F.array().cast(span), "_items": F.array().cast("array<bigint>")})
+    known = frequencies(docs, items)
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        w = Windows([(r.item_id, r.text.encode()) for r in block], width)
-        counts = docs.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(w)), "word long, n long").groupBy("word").agg(F.sum("n")).collect()
-        frequency = np.zeros(len(w.vocabulary) + 1, np.int64)
-        for word, n in counts:
-            frequency[word] = n
-        w.order(frequency)
+        block = staged(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), "block") if blocks > 1 else items
+        own = known if blocks == 1 else known.join(block.select("text").mapInArrow(_distinct_words, "word binary").distinct(), "word")
+        frequency = {bytes(r.word): r.n for r in own.collect()}
+        w = Windows([(r.item_id, r.text.encode()) for r in block.collect()], frequency, width)
         rows = rows.mapInArrow(_matched(spark.sparkContext.broadcast(w), rows.columns, "text"), rows.schema)
     return rows if carry else rows.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_hits").alias("hits"), F.col("_items").alias("items"))
 

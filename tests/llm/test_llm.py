@@ -221,6 +221,23 @@ def test_decontamination(spark, docs, texts, none):
     assert carried.columns[:-3] == docs.columns and carried.count() == len(texts)
 
 
+def test_windows_of_a_large_benchmark_are_small():
+    import pickle
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words_ = [f"w{k:05d}" for k in range(30_000)]
+    items = [(k, " ".join(words_[j] for j in rng.integers(0, 30_000, 1500)).encode()) for k in range(200)]
+    n = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    w = decontam.Windows(items, {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pickle.dumps(w)) < 5 * n and peak < 40 * n
+    starts, ends, found = w.find(w.ids(b"x y " + items[7][1][:350] + b" z"))
+    assert found == {7} and starts.tolist() == list(range(2, 2 + 50 - 9)) and (ends == starts + 10).all()
+
+
 def spans(text):
     a = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     s = [(m.start(), 0, m.end(), "assign") for m in a.finditer(text) if len(m[2]) >= 12]
