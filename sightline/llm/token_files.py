@@ -9,7 +9,8 @@ without decoding the rest.
 
 Defined cases: a null text has the end id alone; a null doc_id comes first and
 is kept; documents of equal doc_id are ordered by their ids' bytes; an empty
-table gives an empty file set; other columns are ignored.
+table gives an empty file set; a very long text is a block of its own; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,10 +78,33 @@ class EliasFano:
         bits = np.unpackbits(self._low[first // 8 : (first + self.low_bits + 7) // 8], bitorder="little")[first % 8 :][: self.low_bits]
         return (at - i) << self.low_bits | sum(int(b) << k for k, b in enumerate(bits))
 
-    def decode(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.n] - np.arange(self.n)
-        low = np.unpackbits(self._low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return (high << self.low_bits) | (low << np.arange(self.low_bits)).sum(axis=1)
+    def select_all(self, at: np.ndarray) -> np.ndarray:
+        """select() of many places at once: from each one's mark, whole bytes of high bits are passed by their counts, then bits of one byte."""
+        at = np.asarray(at, np.int64)
+        if len(at) and not (0 <= at.min() and at.max() < self.n):
+            raise IndexError(at)
+        mark = self._marks[at // self.EVERY].astype(np.int64)
+        byte = mark // 8
+        # ones before the byte of the mark, and the one that is looked for, counted from there
+        left = at % self.EVERY + _ONES[self._high[byte] & ((1 << (mark % 8)) - 1).astype(np.uint8)]
+        on = np.arange(len(at))
+        while len(on):
+            ones = _ONES[self._high[byte[on]]]
+            on, ones = on[ones <= left[on]], ones[ones <= left[on]]
+            left[on] -= ones
+            byte[on] += 1
+        high = byte * 8 + _PLACE_OF[self._high[byte], left] - at
+        first = at * self.low_bits
+        low = np.zeros(len(at), np.int64)
+        for k in range(self.low_bits):
+            bit = first + k
+            low |= (self._low[bit >> 3].astype(np.int64) >> (bit & 7) & 1) << k
+        return high << self.low_bits | low
+
+
+#: Ones of each byte, and where its k-th one is.
+_ONES = np.array([bin(b).count("1") for b in range(256)], np.int64)
+_PLACE_OF = np.array([([k for k in range(8) if b >> k & 1] + [8] * 8)[:8] for b in range(256)], np.int64)
 
 
 def _encode(path: str, end_id: int, bounds: list[int]):
@@ -125,14 +149,40 @@ def _blocks(width: int):
     return run
 
 
+def _even_bounds(docs: DataFrame, n: int, cells: int = 4) -> list[int]:
+    """Bounds of at most n doc_id ranges with about as many bytes of text each: `cells` times as many ranges of equal counts, weighed and joined."""
+    k = n * cells
+    edges = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / k for i in range(1, k)], min(0.01, 0.2 / k))})
+    if not edges:
+        return []
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(np.array(edges, np.int64))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(held.value) + 1, np.int64)
+        for batch in batches:
+            at = np.searchsorted(held.value, batch.column(0).fill_null(-(1 << 63)).to_numpy(), side="right")
+            np.add.at(total, at, batch.column(1).to_numpy())
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "bytes"])
+
+    sized = docs.select(F.col("doc_id").cast("long"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long"))
+    rows = sized.mapInArrow(weigh, "cell long, bytes long").groupBy("cell").agg(F.sum("bytes").alias("bytes")).collect()
+    weight = np.zeros(len(edges) + 1, np.int64)
+    weight[[r.cell for r in rows]] = [r.bytes for r in rows]
+    share = np.cumsum(weight)[:-1] * n // max(1, int(weight.sum()))
+    return [e for e, a, b in zip(edges, share, np.append(-1, share[:-1]), strict=True) if a > b and a > 0]
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int, n_files: int | None = None) -> None:
     """Encodes docs (doc_id, text) and writes their blocks in ascending doc_id order.
 
-    The doc_id ranges of the files come from a quantile sketch over the doc_id
-    column alone, so texts are encoded once, and only ids are shuffled.
+    The doc_id ranges of the files come from a quantile sketch over doc_id and
+    the bytes of text in each of its cells, so texts are encoded once, and only
+    ids are shuffled.
     """
     n = n_files or max(1, docs.rdd.getNumPartitions())
-    bounds = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / n for i in range(1, n)], min(0.01, 0.2 / n))}) if n > 1 else []
+    bounds = _even_bounds(docs, n) if n > 1 else []
     encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(tokenizer, end_id, bounds), ENCODED)
     encoded = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
     encoded.mapInArrow(_blocks(encoder(tokenizer).width.itemsize), BLOCKS).write.option("compression", "zstd").parquet(path)
@@ -145,9 +195,9 @@ def _documents(base: dict[int, int], with_ids: bool):
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}")
-                starts = EliasFano(row["starts"]).decode()
+                starts = EliasFano(row["starts"]).select_all(np.arange(row["n_docs"]))
                 ends = np.append(starts[1:], row["n_ids"])
-                known = (EliasFano(row["doc_ids"]).decode().astype(np.uint64) + np.uint64(row["first_doc"] & (1 << 64) - 1)).astype(np.int64)
+                known = (EliasFano(row["doc_ids"]).select_all(np.arange(row["n_docs"] - row["n_null"])).astype(np.uint64) + np.uint64(row["first_doc"] & (1 << 64) - 1)).astype(np.int64)
                 each = [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 more = {"ids": [x.astype("<u4").tobytes() for x in each]} if with_ids else {}
                 yield table(schema, doc_id=[None] * row["n_null"] + known.tolist(), start=starts + (row["ids_before"] + base[row["part"]]), n_tokens=ends - starts, ids_crc32=[crc32_of_ids(x) for x in each], **more)
@@ -168,6 +218,47 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     return blocks.mapInArrow(_documents(base, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
+def read_places(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """rank, doc_id, start, ids of the documents of certain ranks (places: rank, counted from 0 in ascending doc_id order): a block's select finds each, and no other document is unpacked.
+
+    Blocks' first ranks are a running sum of a row a block, by file; a rank meets
+    its block by an equi-join on its number of BLOCK_DOCS documents.
+    """
+    blocks = spark.read.schema(BLOCKS).parquet(path)
+    sizes = sorted(map(tuple, blocks.groupBy("part").agg(F.sum("n_docs"), F.sum("n_ids")).collect()))
+    base, docs_before, ids_before = {}, 0, 0
+    for part, n_docs, n_ids in sizes:
+        base[part] = docs_before, ids_before
+        docs_before, ids_before = docs_before + n_docs, ids_before + n_ids
+    if not base:
+        return spark.createDataFrame([], "rank long, doc_id long, start long, ids binary")
+    from pyspark.sql import Window
+
+    of = lambda k: F.create_map(*[F.lit(x).cast("long") for p, b in base.items() for x in (p, b[k])])
+    part = F.col("part").cast("long")
+    own = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = blocks.select("part", "block", "n_docs").withColumn("first_rank", F.coalesce(F.sum("n_docs").over(own), F.lit(0)) + of(0)[part])
+    cells = F.explode(F.sequence(F.floor(F.col("first_rank") / BLOCK_DOCS), F.floor((F.col("first_rank") + F.col("n_docs") - 1) / BLOCK_DOCS))).alias("cell")
+    wanted = places.select(F.col("rank").cast("long").alias("rank"), F.floor(F.col("rank") / BLOCK_DOCS).alias("cell")).join(heads.select("*", cells), "cell").where("rank >= first_rank AND rank < first_rank + n_docs")
+    each = wanted.groupBy("part", "block").agg(F.min("first_rank").alias("first_rank"), F.collect_list("rank").alias("ranks"))
+    rows = blocks.join(each, ["part", "block"]).withColumn("ids_before", F.col("ids_before") + of(1)[part])
+    schema = pa.schema([("rank", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                starts, names, width = EliasFano(r["starts"]), EliasFano(r["doc_ids"]), r["width"]
+                out = []
+                for rank in r["ranks"]:
+                    i = rank - r["first_rank"]
+                    a, b = starts.select(i), starts.select(i + 1) if i + 1 < r["n_docs"] else r["n_ids"]
+                    name = None if i < r["n_null"] else names.select(i - r["n_null"]) + r["first_doc"]
+                    out.append((rank, name, r["ids_before"] + a, np.frombuffer(r["ids"], f"<u{width}", b - a, a * width).astype("<u4").tobytes()))
+                yield table(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
+
+    return rows.select("n_docs", "n_null", "n_ids", "width", "first_doc", "doc_ids", "starts", "ids", "ids_before", "first_rank", "ranks").mapInArrow(run, "rank long, doc_id long, start long, ids binary")
+
+
 def token_files(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Writes docs to a new file set in the shared folder and reads it back."""
     path = new_path(docs.sparkSession, "token-files")

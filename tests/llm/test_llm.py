@@ -75,7 +75,8 @@ def test_elias_fano_round_trip():
     for n, top in ((0, 1), (1, 0), (1, 1 << 40), (5, 3), (1000, 10), (1000, 1 << 45), (4097, 100_000)):
         values = np.sort(rng.integers(0, top + 1, n))
         e = token_files.EliasFano(token_files.EliasFano.encode(values))
-        assert e.decode().tolist() == values.tolist() == [e.select(i) for i in range(n)]
+        assert e.select_all(np.arange(n)).tolist() == values.tolist() == [e.select(i) for i in range(n)]
+        assert n == 0 or e.select_all([n - 1, 0, n // 2]).tolist() == [values[-1], values[0], values[n // 2]]
     assert len(token_files.EliasFano.encode(np.arange(100_000) * 64)) < 100_000 * 1.3
 
 
@@ -96,6 +97,9 @@ def test_token_files(spark, docs, texts, none):
         ids = ids_of(t, 1)
         assert got[i][:3] == (start, len(ids), crc(ids)) and np.frombuffer(got[i][3], "<u4").tolist() == ids
         start += len(ids)
+    wanted = spark.createDataFrame([(k,) for k in (0, 3, len(texts) - 1, 10**6)], "rank long")
+    some = {r.rank: (r.doc_id, r.start, bytes(r.ids)) for r in token_files.read_places(spark, path, wanted).collect()}
+    assert some == {k: (k, got[k][0], bytes(got[k][3])) for k in (0, 3, len(texts) - 1)}
     assert token_files.token_files(none, PATH, 1).count() == 0
     odd = spark.createDataFrame([(None, "b"), (5, "c"), (5, "c"), (-3, "a"), ((1 << 62) + 7, "d"), (-(1 << 62) - 9, "e")], "doc_id long, text string")
     rows = sorted(token_files.token_files(odd, PATH, 1).collect(), key=lambda r: r.start)
