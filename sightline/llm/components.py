@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm._common import staged
+from sightline.llm._common import dropped, new_path, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,9 +30,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the least node of its component) of each node with an edge; a node linked to itself only is left out."""
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct()
-    mark = None
+    mark, before = None, None
     while True:
-        now = staged(_small_star(_large_star(now)), "star")
+        now = staged(_small_star(_large_star(now)), "star", path := new_path(edges.sparkSession, "star"))
+        if before:
+            dropped(edges.sparkSession, before)
+        before = path
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

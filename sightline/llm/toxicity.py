@@ -15,12 +15,15 @@ same and long texts cost no more than their few weighted words. A document's
 score is a logistic function of the marginals' sum and largest value, fitted on
 the training documents; offending words are those with a marginal over a half.
 
-The fit uses at most TRAIN_TOXIC + TRAIN_CLEAN labelled documents (the least
-hashes of doc_id, so the same rows for the same table), whole texts each, and
-runs on the driver; everything else covers all documents, in one scan without a
-shuffle.
-
-Defined cases: null and wordless texts score as having no toxic word; without
+The fit is on a bounded sample of labelled rows and runs on the driver: at most
+TRAIN_TOXIC + TRAIN_CLEAN documents (the least hashes of doc_id, so the same rows
+for the same table), whole texts each, as many as have TRAIN_BYTES together; the
+seeds come from all their words, and the field is fitted to at most MOST_SEGMENTS
+stretches of SEGMENT words of them, taken evenly from those with a seed word (half
+of them at most) and from the others. Everything else covers all documents, in
+one scan without a shuffle.
+
+Defined cases: a very long text is one row like any other; null and wordless texts score as having no toxic word; without
 labels of both kinds no word is toxic and every score is the share of toxic
 labels; repeated rows get the same score; equal doc_ids among the labels count
 once (toxic if any is); an empty table gives no rows; columns that clash with
@@ -46,8 +49,8 @@ from sightline.llm._common import as_bytes
 from sightline.llm.decontam import words_of
 from sightline.llm.tokens import _Memory
 
-#: The fit's bounds: documents of each label, words of a training sequence, sequences.
-TRAIN_TOXIC, TRAIN_CLEAN, SEGMENT, MOST_SEGMENTS = 1500, 4500, 48, 9_000
+#: The fit's bounds: documents of each label, bytes of their texts, words of a training sequence, sequences.
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES, SEGMENT, MOST_SEGMENTS = 1500, 4500, 64 << 20, 48, 9_000
 FEATURE_BITS, ROUNDS, STEP, L1 = 22, 50, 0.3, 2e-5
 #: A G statistic that chance reaches about once in 10**6 features.
 SEED_G = 24.0
@@ -303,7 +306,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     order = F.xxhash64("doc_id")
     chosen = known.where("toxic = 1").orderBy(order, "doc_id").limit(TRAIN_TOXIC).unionByName(known.where("toxic = 0").orderBy(order, "doc_id").limit(TRAIN_CLEAN))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sizes = texts.select("doc_id", F.octet_length("text").alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("n").alias("n")).collect()
+    total, kept = 0, []
+    for r in sorted(sizes, key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)):
+        total += r.n or 0
+        if total <= TRAIN_BYTES:
+            kept.append((r.doc_id, r.toxic))
+    kept = docs.sparkSession.createDataFrame(kept, "doc_id long, toxic int")
+    # of rows that repeat a doc_id, the least text
+    rows = texts.join(F.broadcast(kept), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text or ""))
     labels_, rows = [r.toxic for r in rows], rows[::-1]
     # each text is let go once it is read
