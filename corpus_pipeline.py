@@ -7,7 +7,9 @@ operator of sightline.llm on all of it.
 
 Defined cases: null and empty texts pass every filter (they are not toxic, have
 no near copies, no benchmark passages and no secrets) and pack as a lone end id;
-rows that repeat a doc_id are filtered to one by the second stage; an empty
+very long texts are rows like any other;
+rows that repeat a doc_id are documents of their own, of which equal or near
+texts are copies; an empty
 table gives empty results; extra columns are carried along to the last stage.
 """
 
@@ -30,13 +32,14 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash.classes(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    repeated = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
     if repeated.isEmpty():
-        return rows
-    again = rows.join(repeated.select("doc_id"), "doc_id", "left_semi")
-    return rows.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(again.dropDuplicates(["doc_id"]))
+        kept = minhash.classes(docs).where("kept").select(F.col("doc_id").alias("_kept"))
+        return docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    # ids do not tell rows apart: rows are numbered, and the numbers written, before they are compared
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kept = minhash.classes(rows.select(F.col("_row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
