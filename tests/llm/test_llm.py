@@ -624,3 +624,21 @@ def test_pipeline(spark, tmp_path):
     assert {504, 505, 506} <= set(seen[3])
     places = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in places} == set(seen[3]) and len(places) == len(seen[3])
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Rows that share or lack an id, columns that clash, and no rows at all."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, score double, secrets string, spans int, kept boolean, row int, n_chars int, n_words long, class_id long"
+    one, two = "a b c d e f g h", "k l m n o p q r"
+    rows = [(1, one), (1, two), (1, one), (None, one), (None, "z y x w v u"), (2, None), (3, "")]
+    full = spark.createDataFrame([(i, t, 0.5, "s", 1, True, 2, 3, 4, 5) for i, t in rows], schema)
+    for docs, texts_ in ((full, [one, two, "z y x w v u", None, ""]), (full.limit(0), [])):
+        at = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = corpus_pipeline.staged(stage(spark, at, str(tmp_path)), name)
+            assert at.columns == docs.columns
+        assert sorted(map(str, (r.text for r in at.collect()))) == sorted(map(str, texts_))
+        assert corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count() == len(texts_)
