@@ -179,6 +179,14 @@ def _by_doc(runs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part["doc"][0]), part
 
 
+def _parted(values: np.ndarray, dtype: np.dtype, parts: int) -> Iterator[tuple[int, bytes]]:
+    """The rows of each part of the documents (doc % parts), packed: a row a part, not one a document."""
+    where = values["doc"] % parts
+    order = np.argsort(where, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(where[order])) + 1) if len(order) else ():
+        yield int(where[some[0]]), _packed(values[some], dtype)
+
+
 def _packed(values: np.ndarray, dtype: np.dtype) -> bytes:
     out = np.zeros(len(values), dtype)
     for name in dtype.names:
@@ -214,41 +222,46 @@ def _scan(unit, size: int, gram: int, buckets: int):
             order = np.argsort(where, kind="stable")
             edges = np.searchsorted(where[order], np.arange(buckets + 1))
             parts = [(b, 0, _columns(np.sort(kept[order[x:y]], order=["doc", "start"]))) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if x < y]
-            parts += [(doc % buckets, 1, _packed(c, WINDOWS)) for doc, c in _by_doc(covered)]
+            parts += [(part, 1, data) for part, data in _parted(covered, WINDOWS, buckets)]
             if parts:
                 yield table(_PARTS, **dict(zip(_PARTS.names, zip(*parts, strict=True), strict=True)))
 
     return run
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("covered", pa.binary()), ("open", pa.binary())])
+def _bucket(first_stays: bool, buckets: int):
+    """Covered windows (kind 1) and open runs (kind 2), by part of the documents."""
 
-
-def _bucket(first_stays: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, passed = [], []
+        held, covered = [np.empty(0, RUNS)], [np.empty(0, WINDOWS)]
         for batch in batches:
             for kind, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                (passed if kind else held).append(np.frombuffer(data, WINDOWS) if kind else _rows(data))
-        rows: dict[int, list[bytes]] = {}
-        for w in passed:
-            for doc, part in _by_doc(w):
-                rows.setdefault(doc, [b"", b""])[0] += _packed(part, WINDOWS)
-        if held:
-            runs = np.sort(np.concatenate(held), order=["h", "doc", "start"])
-            h = runs["h"]
-            shared = np.zeros(len(h), bool)
-            shared[1:] = h[1:] == h[:-1]
-            shared[:-1] |= shared[1:].copy()
-            if not first_stays:  # met again in its own batch alone
-                for doc, part in _by_doc(runs[~shared & (runs["again"] > 0)]):
-                    rows.setdefault(doc, [b"", b""])[0] += _packed(part, WINDOWS)
-            for doc, part in _by_doc(runs[shared]):
-                rows.setdefault(doc, [b"", b""])[1] += _packed(part, RUNS)
-        docs = list(rows)
-        for k in range(0, len(docs), 5000):
-            some = docs[k : k + 5000]
-            yield table(_FOUND, doc_id=some, covered=[rows[d][0] for d in some], open=[rows[d][1] for d in some])
+                (covered if kind else held).append(np.frombuffer(data, WINDOWS) if kind else _rows(data))
+        runs = np.concatenate(held)
+        runs = runs[np.lexsort((runs["start"], runs["doc"], runs["h"]))]
+        h = runs["h"]
+        shared = np.zeros(len(h), bool)
+        shared[1:] = h[1:] == h[:-1]
+        shared[:-1] |= shared[1:].copy()
+        if not first_stays:  # met again in its own batch alone
+            covered.append(np.frombuffer(_packed(runs[~shared & (runs["again"] > 0)], WINDOWS), WINDOWS))
+        rows = [(part, 1, data) for part, data in _parted(np.concatenate(covered), WINDOWS, buckets)]
+        rows += [(part, 2, data) for part, data in _parted(runs[shared], RUNS, buckets)]
+        if rows:
+            yield table(_PARTS, **dict(zip(_PARTS.names, zip(*rows, strict=True), strict=True)))
+
+    return run
+
+
+def _by_document(dtype: np.dtype, name: str):
+    """One row for each document of a part: its rows, packed."""
+    schema = pa.schema([("doc_id", pa.int64()), (name, pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.frombuffer(x, dtype) for batch in batches for x in batch.column("data").to_pylist()]
+        rows = [(doc, part.tobytes()) for doc, part in _by_doc(np.concatenate(held))] if held else []
+        for k in range(0, len(rows), 5000):
+            yield table(schema, **dict(zip(schema.names, zip(*rows[k : k + 5000], strict=True), strict=True)))
 
     return run
 
@@ -268,14 +281,14 @@ def _texts(unit, size: int, buckets: int):
         order = np.argsort(where, kind="stable")
         edges = np.searchsorted(where[order], np.arange(buckets + 1))
         rows = [(b, 0, first[at := order[x:y]].tobytes(), [strings[i] for i in at.tolist()]) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if x < y]
-        rows += [(doc % buckets, 1, _packed(part, WINDOWS), []) for doc, part in _by_doc(covered)]
+        rows += [(part, 1, data, []) for part, data in _parted(covered, WINDOWS, buckets)]
         return table(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, strings, n = [], [], 0
         for batch in batches:
-            for text, parts in zip(as_bytes(batch.column("text")), batch.column("open").to_pylist(), strict=True):
-                runs = np.concatenate([np.frombuffer(p, RUNS) for p in parts])
+            for text, data in zip(as_bytes(batch.column("text")), batch.column("open").to_pylist(), strict=True):
+                runs = np.frombuffer(data, RUNS)
                 units = unit.split(text)
                 runs = runs[runs["start"].astype(np.int64) + runs["n"] + size - 1 <= len(units)]
                 cut = [unit.cut(units, s, s + k + size - 1) for s, k in zip(runs["start"].tolist(), runs["n"].tolist(), strict=True)]
@@ -295,8 +308,8 @@ def _texts(unit, size: int, buckets: int):
 Kernel = Callable[[np.ndarray, list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
-def _compared(kernel: Kernel, first_stays: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("covered", pa.binary())])
+def _compared(kernel: Kernel, first_stays: bool, buckets: int):
+    """Covered windows (kind 1), by part of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, texts, passed = [], [], [np.empty(0, WINDOWS)]
@@ -315,9 +328,9 @@ def _compared(kernel: Kernel, first_stays: bool):
         out = np.zeros(len(which), WINDOWS)
         out["doc"], out["start"], out["n"] = runs["doc"][which], runs["start"][which] + place, 1
         both = np.concatenate([out, np.frombuffer(_packed(covered, WINDOWS), WINDOWS), *passed])
-        rows = [(doc, joined(part).tobytes()) for doc, part in _by_doc(both)]
-        for k in range(0, len(rows), 5000):
-            yield table(schema, doc_id=[r[0] for r in rows[k : k + 5000]], covered=[r[1] for r in rows[k : k + 5000]])
+        rows = [(part, 1, data) for part, data in _parted(both, WINDOWS, buckets)]
+        if rows:
+            yield table(_PARTS, **dict(zip(_PARTS.names, zip(*rows, strict=True), strict=True)))
 
     return run
 
@@ -353,23 +366,22 @@ def joined(windows: np.ndarray) -> np.ndarray:
 
 
 def covered_windows(docs: DataFrame, unit, size: int, gram: int, kernel: Kernel, first_stays: bool) -> DataFrame:
-    """doc_id, covered (a list of packed WINDOWS) of the documents that have windows which occur elsewhere (first_stays: earlier)."""
+    """doc_id, covered (packed WINDOWS) of the documents that have windows which occur elsewhere (first_stays: earlier)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    buckets = parts_for(docs)
-    parts = texts.mapInArrow(_scan(unit, size, gram, buckets), "bucket int, kind byte, data binary")
-    found = staged(parts.repartitionById(buckets, F.col("bucket")).mapInArrow(_bucket(first_stays), "doc_id long, covered binary, open binary"), "runs")
-    still = found.where(F.octet_length("open") > 0).groupBy("doc_id").agg(F.collect_list("open").alias("open"))
+    buckets, packed = parts_for(docs), "bucket int, kind byte, data binary"
+    dealt = lambda df: df.repartitionById(buckets, F.col("bucket"))
+    found = staged(dealt(texts.mapInArrow(_scan(unit, size, gram, buckets), packed)).mapInArrow(_bucket(first_stays, buckets), packed), "runs")
+    still = dealt(found.where("kind = 2")).mapInArrow(_by_document(RUNS, "open"), "doc_id long, open binary")
     strings = texts.join(still, "doc_id").select("text", "open").mapInArrow(_texts(unit, size, buckets), "bucket int, kind byte, runs binary, texts array<binary>")
-    more = staged(strings.repartitionById(buckets, F.col("bucket")).mapInArrow(_compared(kernel, first_stays), "doc_id long, covered binary"), "windows")
-    both = found.where(F.octet_length("covered") > 0).select("doc_id", "covered").unionByName(more)
-    return both.groupBy("doc_id").agg(F.collect_list("covered").alias("covered"))
+    more = staged(dealt(strings).mapInArrow(_compared(kernel, first_stays, buckets), packed), "windows")
+    return dealt(found.where("kind = 1").unionByName(more)).mapInArrow(_by_document(WINDOWS, "covered"), "doc_id long, covered binary")
 
 
-def removed_units(parts: list[bytes] | None, n_units: int, size: int) -> np.ndarray:
+def removed_units(covered: bytes | None, n_units: int, size: int) -> np.ndarray:
     """Starts and ends (n x 2) of the units that a document's covered windows cover."""
-    if not parts or n_units < size:
+    if not covered or n_units < size:
         return np.empty((0, 2), np.int64)
-    windows = joined(np.concatenate([np.frombuffer(p, WINDOWS) for p in parts]))
+    windows = joined(np.frombuffer(covered, WINDOWS))
     starts = windows["start"].astype(np.int64)
     ends = np.minimum(starts + windows["n"] + size - 1, n_units)
     starts, ends = starts[starts < ends], ends[starts < ends]
