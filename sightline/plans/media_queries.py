@@ -296,7 +296,7 @@ def log_mel(spark, d):
     return each.select("vec_id", "frame", "band", q6(F.col("mel")).alias("mel"))
 
 
-@query("SELECT vec_id AS prompt_id, 'prompt ' || vec_id AS text, CAST(floor(list_sum(list_transform(list_zip(u, range(1, 65)), lambda z: z[1] * z[2])) * 1e3 + 0.5) AS BIGINT) AS total FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM embeddings) t")
+@query("SELECT vec_id AS prompt_id, 'prompt ' || vec_id AS text, CAST(floor(list_sum(list_transform(list_zip(u, range(1, 65)), lambda z: z[1] * z[2])) * 1e3 + 0.5) AS BIGINT) AS total FROM (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))::FLOAT::DOUBLE) AS u FROM embeddings) t")
 def prompts_scan(spark, d):
     """Records of text and numbers, one file for each vector"""
     import struct

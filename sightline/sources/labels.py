@@ -59,7 +59,7 @@ def prompt_rows(files: DataFrame, dim: int = 1024) -> DataFrame:
             for data in batch.column("content").to_pylist():
                 n = len(data) // record
                 rows = [data[k * record : (k + 1) * record] for k in range(n)]
-                x = np.array([np.frombuffer(r[128:], "<f4") for r in rows]).reshape(n, dim)
+                x = np.array([np.frombuffer(r[128:], "<f4") for r in rows], np.float64).reshape(n, dim)
                 x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-30)
                 yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([r[:128].split(b"\0")[0].decode("utf-8", "replace") for r in rows]), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], ["prompt_id", "text", "embedding"])
 
