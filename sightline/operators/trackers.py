@@ -72,14 +72,6 @@ class BoxFilter:
         self.t = t
 
 
-def iou(a, b) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w < 0 or h < 0:
-        return 0.0
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
-    return float(w * h / union) if union > 0 else 0.0
-
-
 def cells(b) -> int:
     """The cells of an 8 x 8 grid over the unit square that a box touches, as bits."""
     if not (b[2] > b[0] and b[3] > b[1] and b[0] < 1 and b[1] < 1 and b[2] > 0 and b[3] > 0):
@@ -90,14 +82,27 @@ def cells(b) -> int:
     return sum(row << 8 * r for r in range(first(b[1]), last(b[3]) + 1))
 
 
-def greedy(n_a: int, n_b: int, score: Callable[[int, int], float]) -> list[tuple[int, int]]:
-    """Each a in order takes the free b of the best score (the first of equals)."""
-    free, out = set(range(n_b)), []
-    for a in range(n_a):
-        best = max(((score(a, b), -b) for b in free), default=(0.0, 0))
-        if best[0] > 0:
-            out.append((a, -best[1]))
-            free.remove(-best[1])
+def common(a: np.ndarray, b: np.ndarray, more: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Width and height that each box of a (n x 4) shares with each of b (m x 4); below 0 where they are apart."""
+    return tuple(np.minimum(a[:, None, i + 2], b[:, i + 2]) - np.maximum(a[:, None, i], b[:, i]) + more for i in (0, 1))
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlap over union of each box of a (n x 4) with each of b (m x 4)."""
+    w, h = common(a, b)
+    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    union = area(a)[:, None] + area(b) - w * h
+    return np.where((w >= 0) & (h >= 0) & (union > 0), w * h / np.where(union > 0, union, 1), 0.0)
+
+
+def greedy(score: np.ndarray) -> list[tuple[int, int]]:
+    """Each row in order takes the free column of the best score above 0 (the first of equals)."""
+    score, out = score.copy(), []
+    for a in range(len(score)) if score.size else ():
+        b = int(np.argmax(score[a]))
+        if score[a, b] > 0:
+            out.append((a, b))
+            score[:, b] = -np.inf
     return out
 
 
@@ -217,7 +222,7 @@ class CascadeTracker(Step):
         for n in range(0 if self.single else 3):
             free = [d for d in dets if not d.id and d.sure > self.p.track[n]]
             live = [k for k in old if id(k) not in used and (n or k.state != LOST)]
-            for a, b in greedy(len(free), len(live), lambda a, b, free=free, live=live, n=n: self._score(free[a], live[b], self.p.match[n])):
+            for a, b in greedy(self._scores(free, live, self.p.match[n])):
                 self._take(free[a], live[b], t, n)
                 used.add(id(live[b]))
                 out.append(free[a])
@@ -236,9 +241,12 @@ class CascadeTracker(Step):
         for k in out:
             if k.state == TRACKED and k.missed >= 2:
                 k.state = LOST
-        alike = lambda a, b: s if out[a].state == TRACKED and out[b].state == LOST and (s := iou(out[a].box, out[b].box)) >= self.p.duplicate else 0.0
-        gone = {b for _, b in greedy(len(out), len(out), alike)}
-        self.tracks = [k for i, k in enumerate(out) if i not in gone]
+        sure, lost = ([k for k in out if k.state == s] for s in (TRACKED, LOST))
+        gone = set()
+        if sure and lost:
+            alike = overlaps(np.array([k.box for k in sure]), np.array([k.box for k in lost]))
+            gone = {id(lost[b]) for _, b in greedy(np.where(alike >= self.p.duplicate, alike, 0.0))}
+        self.tracks = [k for k in out if id(k) not in gone]
         for k in self.tracks:
             x0, y0, x1, y1 = map(float, k.box)
             yield {"frame_no": row["frame_no"], "t": t, "track_id": k.id, "state": k.state, "det_id": k.det_id if k.seen == t else None, "conf": k.conf, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "observations": k.observations, "missed": k.missed}
@@ -262,15 +270,18 @@ class CascadeTracker(Step):
             n = float(np.sqrt(v @ v))
             k.unit = v / n if n > 0 else v
 
-    def _score(self, d: _Object, k: _Object, least: float) -> float:
-        if not d.cells & k.cells:  # only what shares a cell is a candidate
-            return 0.0
-        w, h = min(d.box[2], k.reach[2]) - max(d.box[0], k.reach[0]), min(d.box[3], k.reach[3]) - max(d.box[1], k.reach[1])
-        if w * h <= 0:
-            return 0.0
-        weight = 0.0 if k.observations < 2 else self.p.filter_weight * (1 - max(0.1, 1 / k.observations) ** self.p.warm_up)
-        score = (iou(d.box, k.flow) + weight * iou(d.box, k.predicted)) / (1 + weight) + self.p.likeness * float(d.unit @ k.unit)
-        return score * d.conf**self.p.confidence_power if score >= least else 0.0
+    def _scores(self, dets: list[_Object], tracks: list[_Object], least: float) -> np.ndarray:
+        """Score of each detection with each track, 0 where they are no candidates or it is below `least`."""
+        if not dets or not tracks:
+            return np.zeros((len(dets), len(tracks)))
+        column = lambda rows, name: np.array([getattr(k, name) for k in rows])
+        box = column(dets, "box")
+        w, h = common(box, column(tracks, "reach"))
+        own, theirs = (np.array([k.cells for k in rows], np.uint64) for rows in (dets, tracks))
+        candidates = (own[:, None] & theirs != 0) & (w * h > 0)  # only what shares a cell is a candidate
+        weight = np.array([0.0 if k.observations < 2 else self.p.filter_weight * (1 - max(0.1, 1 / k.observations) ** self.p.warm_up) for k in tracks])
+        score = (overlaps(box, column(tracks, "flow")) + weight * overlaps(box, column(tracks, "predicted"))) / (1 + weight) + self.p.likeness * (column(dets, "unit") @ column(tracks, "unit").T)
+        return np.where(candidates & (score >= least), score * column(dets, "conf")[:, None] ** self.p.confidence_power, 0.0)
 
     def _take(self, d: _Object, k: _Object, t: float, n: int) -> None:
         d.id, d.filter, d.observations, d.seen = k.id, k.filter, k.observations + 1, t
@@ -298,14 +309,13 @@ class _Strack:
 
 def _near(a: list[_Strack], b: list[_Strack]) -> np.ndarray:
     """1 - IoU with both edge pixels counted."""
-    out = np.ones((len(a), len(b)))
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            w, h = min(x.box[2], y.box[2]) - max(x.box[0], y.box[0]) + 1, min(x.box[3], y.box[3]) - max(x.box[1], y.box[1]) + 1
-            if w > 0 and h > 0:
-                whole = lambda s: (s.box[2] - s.box[0] + 1) * (s.box[3] - s.box[1] + 1)
-                out[i, j] = 1 - w * h / (whole(x) + whole(y) - w * h)
-    return out
+    if not a or not b:
+        return np.ones((len(a), len(b)))
+    x, y = (np.array([s.box for s in rows], np.float64) for rows in (a, b))
+    w, h = common(x, y, 1.0)
+    area = lambda z: (z[:, 2] - z[:, 0] + 1) * (z[:, 3] - z[:, 1] + 1)
+    meet = (w > 0) & (h > 0)
+    return np.where(meet, 1 - w * h / np.where(meet, area(x)[:, None] + area(y) - w * h, 1), 1.0)
 
 
 @dataclass

@@ -29,7 +29,13 @@ def test_iou_cases(spark):
     df = spark.createDataFrame([tuple(map(float, (*a, *b))) for a, b, _ in cases], ", ".join(f"{p}{s} double" for p in "ab" for s in g.SIDES))
     got = [r[0] for r in df.select(g.iou(g.box("a"), g.box("b"))).collect()]
     assert got == pytest.approx([c for *_, c in cases])
-    assert [trackers.iou(a, b) for a, b, _ in cases] == pytest.approx(got)
+    a, b = (np.array([c[i] for c in cases], float) for i in (0, 1))
+    assert np.diag(trackers.overlaps(a, b)) == pytest.approx(got) and trackers.overlaps(a, b[:2]).shape == (len(cases), 2)
+
+
+def test_greedy_takes_the_first_of_equals():
+    assert trackers.greedy(np.array([[0.5, 0.5, 0.1], [0.9, 0.2, 0.2], [0.3, 0.0, 0.0]])) == [(0, 0), (1, 1)]
+    assert trackers.greedy(np.zeros((0, 3))) == trackers.greedy(np.zeros((3, 0))) == trackers.greedy(np.zeros((2, 2))) == []
 
 
 def random_dets(n, seed=0):
