@@ -9,7 +9,7 @@ and pose_points (51 numbers).
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from sightline.config import InferConfig, get, merged
 from sightline.functions import geometry as g
 from sightline.functions import pixels
-from sightline.operators import matching
+from sightline.operators import detector, matching
 from sightline.operators.pipeline import stats, track_streams
 from sightline.operators.steps import NoiseFloor
-from sightline.operators.trackers import AssociationTracker, BoxFilter, CascadeTracker
+from sightline.operators.trackers import AssociationTracker, BoxFilter, CascadeTracker, frames_of
 from sightline.sources import media
 
 VERSION = "0.1.0"
@@ -173,6 +173,24 @@ class TrackStream:
     def __init__(self, shared: TrackSharedState, settings: dict | None = None, name: str = ""):
         self.settings, self.name = merged(shared.settings, settings or {}), name
         self.min_dt, self._results = get(self.settings, "min_interval", 0.0), []
+        self.codec, self.pt = media.H264, None
+
+    def set_sdp(self, text: str) -> None:
+        """The description of the stream: packets of its video's payload type are received, as that codec."""
+        found = media.receiver_config([m for m in media.parse_sdp(text) if m["kind"] == "video"])
+        if found is None:
+            raise ValueError("the description names no video")
+        self.codec, self.pt = media.H265 if found["codec"].upper() == "H265" else media.H264, found["pt"]
+
+    def add_rtp_packets(self, packets: DataFrame) -> DataFrame:
+        """Access units of packets (stream_id, arrival_no, data). A decoder, which does not come with the library, makes pictures of them for run_on_images."""
+        return media.received_units(packets, "stream_id", self.codec, self.pt)
+
+    def run_on_images(self, images: DataFrame, load: Callable, md: ModelDescription, cfg: InferConfig, width: float, height: float) -> DataFrame:
+        """The pipeline from pictures (stream_id, frame_no, t and what the model reads) by a user's detector (see detector.infer); frames without detections are frames too."""
+        found = detector.infer(images, load, md, cfg, width, height).join(images.select("stream_id", "frame_no", "t"), ["stream_id", "frame_no"])
+        frames = images.select("stream_id", "frame_no", "t").join(frames_of(found, ["reid", "pose_points"]).drop("t"), ["stream_id", "frame_no"], "left")
+        return self.run(frames.withColumn("area", F.lit(None).cast("double")))
 
     def set_frame_intervals(self, min_interval: float) -> None:
         self.min_dt = min_interval

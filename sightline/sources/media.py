@@ -351,12 +351,20 @@ def chunked_units(chunks: DataFrame, codec: str = H264, fps: float = 30.0) -> Da
 
 
 def captured_units(files: DataFrame, codec: str = H264) -> DataFrame:
-    """Access units of captures: their RTP packets through the receiver (source switch, reordering, depacketizing, assembly), file by file."""
+    """Access units of captures, file by file."""
+    return received_units(pcap_packets(files), "path", codec)
+
+
+def received_units(packets: DataFrame, key: str = "stream_id", codec: str = H264, pt: int | None = None) -> DataFrame:
+    """Access units of RTP packets (key, arrival_no, data) through the receiver: source switch, reordering, depacketizing, assembly. pt: the one payload type that is received (None: all)."""
     from sightline.operators.fold import ordered_scan
     from sightline.operators.steps import RECEIVED, RtpReceiver
 
-    packets = parse_packets(pcap_packets(files))
-    return ordered_scan(packets.select("path", "arrival_no", "seq16", "ts32", "ssrc", "marker", "payload"), ["path"], ["arrival_no"], lambda: RtpReceiver(codec), "path string, " + RECEIVED)
+    rows = parse_packets(packets.select(key, "arrival_no", "data"))
+    if pt is not None:
+        rows = rows.where(F.col("pt") == pt)
+    kind = packets.schema[key].dataType.simpleString()
+    return ordered_scan(rows.select(key, "arrival_no", "seq16", "ts32", "ssrc", "marker", "payload"), [key], ["arrival_no"], lambda: RtpReceiver(codec), f"{key} {kind}, " + RECEIVED)
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:

@@ -55,3 +55,36 @@ def test_stream(spark):
     frames = spark.createDataFrame(rows, "stream_id long, frame_no long, t double, area double, dets array<struct<det_id: long, cl: int, conf: double, x0: double, y0: double, x1: double, y1: double>>")
     assert s.run(frames).where("size(tracks) = 1").count() == 5 and len(s.get_results()) == 1 and s.get_results() == []
     assert api.configure(api.InferConfig(det_thr=0.1), {"nms_thr": 0.4}).det_thr == 0.1 and api.get_version()
+
+
+def test_stream_of_packets(spark):
+    data = pcap_of_units([[b"\x67a", b"\x65b"], [b"\x41c"], [b"\x41d"]])
+    rows = [(s, p["arrival_no"], p["data"]) for s in (1, 2) for p in api.media.pcap_rtp(data)]
+    rows += [(1, 100, rows[0][2][:1] + b"\x61" + rows[0][2][2:]), (1, 101, b"no packet"), (1, 102, None)]  # another payload type, and what is no packet
+    packets = spark.createDataFrame(rows, "stream_id long, arrival_no long, data binary")
+    s = api.TrackStream(api.TrackSharedState())
+    s.set_sdp("v=0\r\nm=audio 1 RTP/AVP 97\r\na=rtpmap:97 OPUS/48000\r\nm=video 0 RTP/AVP 96\r\na=rtpmap:96 H264/90000\r\n")
+    units = sorted((r.stream_id, r.au_no, r.key, r.n_nals, r.complete, bytes(r.data)) for r in s.add_rtp_packets(packets).collect())
+    start = b"\0\0\0\1"
+    want = [(1, True, 2, True, start + b"\x67a" + start + b"\x65b"), (2, False, 1, True, start + b"\x41c"), (3, False, 1, True, start + b"\x41d")]
+    assert units == [(k, *u) for k in (1, 2) for u in want]
+    assert s.add_rtp_packets(packets.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        s.set_sdp("v=0\r\nm=audio 1 RTP/AVP 97\r\na=rtpmap:97 OPUS/48000\r\n")
+
+
+def test_stream_of_images(spark):
+    from sightline.config import InferConfig, ModelDescription
+
+    def load():
+        def model(batch):
+            at = np.array([[50], [50], [40], [60], [0.9]], np.float32)
+            return [at if f != 2 else at * 0 for f in batch["frame_no"]]  # frame 2 shows nothing
+
+        return model
+
+    images = spark.createDataFrame([(1, k, k * 0.2) for k in range(4)], "stream_id long, frame_no long, t double")
+    s = api.TrackStream(api.TrackSharedState())
+    rows = {r.frame_no: r for r in s.run_on_images(images, load, ModelDescription(("person",)), InferConfig(det_thr=0.5), 100, 100).collect()}
+    assert sorted(rows) == [0, 1, 2, 3] and len({rows[k].tracks[0].track_id for k in (0, 1, 3)}) == 1
+    assert rows[2].tracks[0].det_id is None and rows[3].tracks[0].det_id is not None
