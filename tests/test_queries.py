@@ -6,8 +6,9 @@ import duckdb
 import numpy as np
 import pytest
 
+from sightline.operators import matching
 from sightline.plans import fixtures as fx
-from sightline.plans.queries import ORACLE, QUERIES, det, gt, hyp, pkt
+from sightline.plans.queries import ORACLE, QUERIES, det, pkt
 
 TINY, SMALL = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -71,25 +72,29 @@ def test_cosine_search_meets_all_rows(spark):
     assert {(r.query_id, r.rank, r.vec_id) for r in v.searched(asked, e.repartition(3), 3, block=4).collect()} == {(i, k + 1, f) for i, found in want.items() for k, f in enumerate(found)}
 
 
+def hourly(spark, make):
+    return fx.view(spark, SMALL, lambda engine, events: make(engine, events, hourly=True))
+
+
 def test_fixture_checksums(spark):
     total = lambda df, e: df.selectExpr(e).first()[0]
-    assert total(det(spark, SMALL), "sum(det_id * frame_no)") == 23974139546
-    assert total(gt(spark, SMALL), "sum(gt_id * frame_no)") == 154416831
-    assert total(hyp(spark, SMALL), "sum(track_id * frame_no)") == 1409404014
+    assert total(hourly(spark, fx.det), "sum(det_id * frame_no)") == 23974139546
+    assert total(hourly(spark, fx.gt), "sum(gt_id * frame_no)") == 154416831
+    assert total(hourly(spark, fx.hyp), "sum(track_id * frame_no)") == 1409404014
     assert total(pkt(spark, SMALL), "sum(seq16 * arrival_no)") == 49821125396
 
 
 def test_known_suppression(spark):
-    kept = QUERIES["nms"](spark, SMALL).selectExpr("count(*)", "sum(det_id)").first()
+    kept = matching.suppress(hourly(spark, fx.det), 0.45).selectExpr("count(*)", "sum(det_id)").first()
     assert tuple(kept) == (9801, 49052073)
 
 
 def test_known_tracking_metrics(spark):
-    rows = {r.stream_id: r for r in QUERIES["mota_by_stream"](spark, SMALL).collect()}
+    rows = {r.stream_id: r for r in matching.mota_summary(hourly(spark, fx.hyp), hourly(spark, fx.gt)).collect()}
     want = {0: (635, 1430, 1209, 87, 221, 76, 76, 30, 8, 0, 731469, 872434), 1: (641, 1515, 1269, 105, 246, 76, 76, 31, 7, 0, 718152, 872059), 2: (621, 1453, 1219, 107, 234, 74, 74, 27, 10, 0, 714384, 871198), 3: (611, 1407, 1180, 97, 227, 74, 74, 29, 8, 0, 717129, 869121)}
     for k, w in want.items():
         r = rows[k]
-        assert (r.frames, r.n_gt, r.matches, r.fp, r.misses, r.switches, r.fragmentations, r.mostly_tracked, r.partly_tracked, r.mostly_lost, r.mota, r.motp) == w
+        assert (r.frames, r.n_gt, r.matches, r.fp, r.misses, r.switches, r.fragmentations, r.mostly_tracked, r.partly_tracked, r.mostly_lost, round(r.mota * 1e6), round(r.motp * 1e6)) == w
         assert (r.missed, r.fp_tracks) == (0, 0)
 
 
@@ -100,7 +105,7 @@ def test_entry_without_the_training_data_operators():
 
 
 def test_partitioning_and_order_do_not_matter(spark):
-    from sightline.operators import matching, steps
+    from sightline.operators import steps
     from sightline.operators.fold import ordered_scan
 
     d = det(spark, TINY)
