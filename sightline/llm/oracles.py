@@ -87,3 +87,38 @@ each AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1,
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def hard_negatives() -> str:
+    return """
+WITH e AS (SELECT vec_id, min(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label, min(list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_sum(list_transform(list_zip(a.q, r.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM e a JOIN e r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS r
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(r AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 3"""
+
+
+def filter_audit() -> str:
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) THEN 16 ELSE 0 END AS bits
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, bits, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+o AS (SELECT '' AS o UNION ALL SELECT o || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) t(x) WHERE NOT contains(o, x)),
+s AS (SELECT o AS filter_order, k AS step, CAST(1 << (ascii(o[k]) - 65) AS BIGINT) AS f, CAST(list_sum(list_transform(range(1, 6), lambda j: CASE WHEN j < k THEN 1 << (ascii(o[j]) - 65) ELSE 0 END)) AS BIGINT) AS before
+  FROM o, range(1, 6) r(k) WHERE len(o) = 5),
+m AS (SELECT part, filter_order, step, f,
+    sum(CASE WHEN bits & (f | before) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN bits & f <> 0 AND bits & before = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN bits & f <> 0 AND bits & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN bits = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN bits & f <> 0 AND bits & before = 0 AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN bits & f <> 0 AND bits & before = 0 AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INT) AS step, {', '.join(f'CAST({x} AS BIGINT) AS {x}' for x in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))},
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM m"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontam, minhash, oracles, packing, quality, secret_scan, sharding, substring_dedup, suffix_dedup, token_files, toxicity
+from sightline.llm import decontam, filter_audit, minhash, negatives, oracles, packing, quality, secret_scan, sharding, sketches, substring_dedup, suffix_dedup, token_files, toxicity
 
 TOKENIZER, SEQUENCE = "word_bpe_49k.json", 2048
 #: Bytes of text a shard, small enough that the directory grows by several levels on the test tables too; shards for training are set larger.
@@ -74,11 +74,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(_docs(spark, sf_dir)).select("doc_id", "n_words", *_removed())
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_token_files, op4_toxicity, op5_sharding, op6_suffix_array_dedup, op7_decontamination, op8_secret_scan, op9_packing, op10_substring_dedup)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mined(rows, F.col("vec_id") % 50 == 0)
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.neighbours_compared(_docs(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality_rules, op3_token_files, op4_toxicity, op5_sharding, op6_suffix_array_dedup, op7_decontamination, op8_secret_scan, op9_packing, op10_substring_dedup, op11_hard_negatives, op12_fingerprints, op13_filter_audit)}
 
 ORACLE: dict[str, str] = {
     "op2_quality_rules": oracles.quality(),
     "op5_sharding": oracles.sharding(SHARD_BYTES),
     "op7_decontamination": oracles.decontamination(),
     "op10_substring_dedup": oracles.substring_dedup(),
+    "op11_hard_negatives": oracles.hard_negatives(),
+    "op13_filter_audit": oracles.filter_audit(),
 }
