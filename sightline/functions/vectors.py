@@ -34,10 +34,15 @@ def times(v: Column, k) -> Column:
     return F.transform(v, lambda x: x * F.lit(k) if not isinstance(k, Column) else x * k)
 
 
+def once(value: Column, use) -> Column:
+    """use(value), the value computed once: a lambda's own variable, where an expression would be computed again for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def l2_normalized(v: Column) -> Column:
     """v over its length; the zero vector stays."""
-    length = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(length > 0, x.cast("double") / F.nullif(length, F.lit(0.0))).otherwise(0.0))
+    over = lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x.cast("double") / s["n"]).otherwise(0.0))
+    return once(v, lambda w: once(F.struct(w.alias("v"), F.sqrt(dot(w, w)).alias("n")), over))
 
 
 def centered(rows: DataFrame, vector: str, keys: list[str]) -> DataFrame:
@@ -72,11 +77,8 @@ def sigmoid(x: Column) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v).cast("double")
-    e = F.transform(v, lambda x: F.exp(x.cast("double") - top))
-    # the sum is taken once, not for each element
-    summed = F.transform(F.array(e), lambda w: F.struct(w.alias("w"), total(w).alias("t")))
-    return F.transform(summed, lambda s: F.transform(s["w"], lambda x: x / s["t"]))[0]
+    powers = once(v, lambda w: once(F.struct(w.alias("w"), F.array_max(w).cast("double").alias("top")), lambda s: F.transform(s["w"], lambda x: F.exp(x.cast("double") - s["top"]))))
+    return once(powers, lambda w: once(F.struct(w.alias("w"), total(w).alias("t")), lambda s: F.transform(s["w"], lambda x: x / s["t"])))
 
 
 def marginal(p: Column, axis: int, sizes: list[int]) -> Column:
@@ -87,7 +89,7 @@ def marginal(p: Column, axis: int, sizes: list[int]) -> Column:
     k = sizes[axis]
     indexed = F.transform(p, lambda x, i: F.struct(x.alias("x"), F.pmod(F.floor(i / inner).cast("int"), F.lit(k)).alias("k")))
     share = lambda w, j: F.aggregate(w, F.lit(0.0), lambda a, e: a + F.when(e["k"] == j, e["x"]).otherwise(0.0))
-    return F.transform(F.array(indexed), lambda w: F.array(*[share(w, j) for j in range(k)]))[0]
+    return once(indexed, lambda w: F.array(*[share(w, j) for j in range(k)]))
 
 
 def fiqa_quality(logits: Column, sizes: list[int] = FIQA_AXES, steps: list[float] = FIQA_STEPS) -> Column:
@@ -111,39 +113,46 @@ def nearest(queries: DataFrame, prompts: DataFrame, k: int, query: str = "vec_id
     """The k prompts of the largest cosine for each query, the lower id of equals.
 
     Prompts are collected and broadcast `block` at a time, by hash; within a
-    block, a query row finds its best by itself, without a shuffle. The best of
-    blocks are merged inside the row.
+    block, a query row finds its best by itself, without a shuffle. Each block
+    is a scan of its own, and the best of blocks meet by query, so a task holds
+    one block whatever the number of prompts.
     """
     spark = queries.sparkSession
     units = prompts.where("embedding IS NOT NULL").select(F.col(prompt).cast("long").alias("p"), l2_normalized(F.col("embedding")).alias("u"))
     blocks = -(-units.count() // block) or 1
-    asked = queries.select(query, l2_normalized(F.col("embedding")).alias("_q"))
-    out = asked.withColumn("_best", F.expr("CAST(array() AS array<struct<c: double, p: bigint>>)"))
+    asked = queries.where("embedding IS NOT NULL").select(query, l2_normalized(F.col("embedding")).alias("_q"))
+    kind = asked.select(query).schema.add("_best", T.ArrayType(T.StructType([T.StructField("c", T.DoubleType()), T.StructField("p", T.LongType())])))
+    found = []
     for b in range(blocks):
         part = units.where(F.pmod(F.xxhash64("p"), F.lit(blocks)) == b).collect()
         if part:
-            out = out.mapInArrow(_nearer(spark.sparkContext.broadcast((np.array([x.p for x in part], np.int64), np.array([x.u for x in part], np.float64))), k), out.schema)
-    ranked = out.select(query, F.posexplode("_best").alias("rank", "e"))
+            found.append(asked.mapInArrow(_nearer(spark.sparkContext.broadcast((np.array([x.p for x in part], np.int64), np.array([x.u for x in part], np.float64))), k), kind))
+    if not found:
+        return spark.createDataFrame([], kind).select(query, F.lit(1).alias("rank"), F.lit(0).cast("long").alias(prompt), F.lit(0.0).alias("cosine"))
+    best = found[0]
+    if len(found) > 1:
+        for more in found[1:]:
+            best = best.unionByName(more)
+        # k rows a query and block
+        first = F.slice(F.array_sort(F.transform(F.flatten(F.collect_list("_best")), lambda e: F.struct((-e["c"]).alias("c"), e["p"].alias("p")))), 1, k)
+        best = best.groupBy(query).agg(F.transform(first, lambda e: F.struct((-e["c"]).alias("c"), e["p"].alias("p"))).alias("_best"))
+    ranked = best.select(query, F.posexplode("_best").alias("rank", "e"))
     return ranked.select(query, (F.col("rank") + 1).alias("rank"), F.col("e.p").alias(prompt), F.col("e.c").alias("cosine"))
 
 
 def _nearer(held, k: int):
-    """Merges each row's best so far with its best among the held vectors."""
+    """Each row's best among the held vectors."""
 
     def run(batches):
         ids, u = held.value
         for batch in batches:
-            rows = batch.column("_q").to_pylist()
-            q = np.array([x if x is not None else np.zeros(u.shape[1]) for x in rows], np.float64).reshape(len(rows), -1)
+            q = np.array(batch.column("_q").to_pylist(), np.float64).reshape(batch.num_rows, -1)
             c = np.zeros((len(q), len(ids)))
             for i in range(u.shape[1] if len(q) else 0):  # in the order of the elements, so that equal vectors have equal products
                 c += q[:, i, None] * u[None, :, i]
             order = np.lexsort((np.broadcast_to(ids, c.shape), -c), axis=1)[:, :k]
-            best = []
-            for had, row, at, some in zip(batch.column("_best").to_pylist(), c, order, rows, strict=True):
-                new = [{"c": float(row[j]), "p": int(ids[j])} for j in at] if some is not None else []
-                best.append(sorted([*had, *new], key=lambda e: (-e["c"], e["p"]))[:k])
-            yield pa.RecordBatch.from_arrays([pa.array(best, batch.schema.field("_best").type) if n == "_best" else batch.column(n) for n in batch.schema.names], schema=batch.schema)
+            best = [[{"c": float(row[j]), "p": int(ids[j])} for j in at] for row, at in zip(c, order, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.list_(pa.struct([("c", pa.float64()), ("p", pa.int64())])))], [batch.schema.names[0], "_best"])
 
     return run
 

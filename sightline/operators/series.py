@@ -14,45 +14,119 @@ def signed(x: Column, bits: int) -> Column:
     return F.pmod(x + F.lit(half), F.lit(1 << bits)) - F.lit(half)
 
 
-def unwrapped(packets: DataFrame) -> DataFrame:
+#: Rows of a series that one window walks. Where a key has more, series are cut into blocks of so many places of the order column, which windows walk side by side; what a block needs of those before it comes from a row a block.
+WIDTH = 1 << 16
+
+
+def cut(rows: DataFrame, key: str, width: int) -> int | None:
+    """width, if a key has more rows than that: then its series must be cut."""
+    most = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return width if (most or 0) > width else None
+
+
+def _blocked(rows: DataFrame, key: str, order: str, width: int) -> tuple[DataFrame, Window]:
+    return rows.withColumn("_b", F.floor(F.col(order) / width)), Window.partitionBy(key, "_b").orderBy(order)
+
+
+def _with_carried(rows: DataFrame, key: str, summaries: list[Column], carried: list[Column]) -> DataFrame:
+    """rows (of _blocked) with columns that a window over each block's summaries, in order of blocks, gives."""
+    blocks = rows.groupBy(key, "_b").agg(*summaries)
+    heads = blocks.select(F.col(key).alias("_key"), F.col("_b").alias("_block"), *carried)
+    return rows.join(heads, rows[key].eqNullSafe(heads["_key"]) & (rows["_b"] == heads["_block"])).drop("_key", "_block")
+
+
+def _over_blocks(key: str, to_here: bool = False) -> Window:
+    w = Window.partitionBy(key).orderBy("_b")
+    return w.rowsBetween(Window.unboundedPreceding, 0 if to_here else -1)
+
+
+def extended_counter(rows: DataFrame, key: str, order: str, value: str, bits: int, name: str, width: int | None = None) -> DataFrame:
+    """rows with a counter of so many bits unwrapped along `order`: each step is the least signed one. In blocks of width, if it is given; so for those below."""
+    if not width:
+        w = Window.partitionBy(key).orderBy(order)
+        step = F.coalesce(signed(F.col(value) - F.lag(value).over(w), bits), F.lit(0))
+        stepped = rows.withColumn("_step", step).withColumn("_first", F.first(value).over(w))
+        return stepped.withColumn(name, (F.col("_first") + F.sum("_step").over(w)).cast("long")).drop("_step", "_first")
+    blocks, w = _blocked(rows, key, order, width)
+    inner = F.coalesce(signed(F.col(value) - F.lag(value).over(w), bits), F.lit(0))
+    stepped = blocks.withColumn("_step", inner)
+    summaries = [F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"), F.sum("_step").alias("_inner")]
+    # a block's first number: that of the first block, the steps inside the blocks before it, and those between blocks
+    whole = Window.partitionBy(key).orderBy("_b")
+    between = F.coalesce(signed(F.col("_first") - F.lag("_last").over(whole), bits), F.lit(0))
+    blocks = stepped.groupBy(key, "_b").agg(*summaries).withColumn("_between", between)
+    base = F.first("_first").over(_over_blocks(key, True)) + F.coalesce(F.sum("_inner").over(_over_blocks(key)), F.lit(0)) + F.sum("_between").over(_over_blocks(key, True))
+    heads = blocks.select(F.col(key).alias("_key"), F.col("_b").alias("_block"), base.alias("_base"))
+    both = stepped.join(heads, stepped[key].eqNullSafe(heads["_key"]) & (stepped["_b"] == heads["_block"]))
+    return both.withColumn(name, (F.col("_base") + F.sum("_step").over(w)).cast("long")).drop("_key", "_block", "_b", "_step", "_base")
+
+
+def lagged(rows: DataFrame, key: str, order: str, columns: list[str], width: int | None = None) -> DataFrame:
+    """rows with before: a struct of columns of the row before, null at the first."""
+    if not width:
+        return rows.withColumn("before", F.lag(F.struct(*columns)).over(Window.partitionBy(key).orderBy(order)))
+    blocks, w = _blocked(rows, key, order, width)
+    carried = F.lag("_last").over(Window.partitionBy(key).orderBy("_b")).alias("_carried")
+    both = _with_carried(blocks, key, [F.max_by(F.struct(*columns), order).alias("_last")], [carried])
+    return both.withColumn("before", F.coalesce(F.lag(F.struct(*columns)).over(w), F.col("_carried"))).drop("_b", "_carried")
+
+
+def running_count(rows: DataFrame, key: str, order: str, condition: Column, name: str, width: int | None = None) -> DataFrame:
+    """rows with the number of rows up to each for which a condition holds."""
+    if not width:
+        return rows.withColumn(name, F.sum(condition.cast("long")).over(Window.partitionBy(key).orderBy(order)))
+    blocks, w = _blocked(rows.withColumn("_one", condition.cast("long")), key, order, width)
+    both = _with_carried(blocks, key, [F.sum("_one").alias("_ones")], [F.coalesce(F.sum("_ones").over(_over_blocks(key)), F.lit(0)).alias("_carried")])
+    return both.withColumn(name, F.col("_carried") + F.sum("_one").over(w)).drop("_b", "_one", "_carried")
+
+
+def running_most(rows: DataFrame, key: str, order: str, value: str, name: str, width: int | None = None) -> DataFrame:
+    """rows with the largest value of the rows before each, null at the first."""
+    if not width:
+        return rows.withColumn(name, F.max(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
+    blocks, w = _blocked(rows, key, order, width)
+    both = _with_carried(blocks, key, [F.max(value).alias("_most")], [F.max("_most").over(_over_blocks(key)).alias("_carried")])
+    return both.withColumn(name, F.greatest("_carried", F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1)))).drop("_b", "_carried")
+
+
+def unwrapped(packets: DataFrame, width: int = WIDTH) -> DataFrame:
     """packets with seq_ext: 16-bit sequence numbers unwrapped in arrival order."""
-    w = Window.partitionBy("stream_id").orderBy("arrival_no")
-    step = F.coalesce(signed(F.col("seq16") - F.lag("seq16").over(w), 16), F.lit(0))
-    stepped = packets.withColumn("_step", step).withColumn("_first", F.first("seq16").over(w))
-    return stepped.withColumn("seq_ext", (F.col("_first") + F.sum("_step").over(w)).cast("long")).drop("_step", "_first")
+    return extended_counter(packets, "stream_id", "arrival_no", "seq16", 16, "seq_ext", cut(packets, "stream_id", width))
 
 
-def extended(packets: DataFrame, order: str) -> DataFrame:
+def extended(packets: DataFrame, order: str, width: int = WIDTH) -> DataFrame:
     """packets with ts64: 32-bit media times extended to 64 bits along `order`."""
-    w = Window.partitionBy("stream_id").orderBy(order)
-    step = F.coalesce(signed(F.col("ts32") - F.lag("ts32").over(w), 32), F.lit(0))
-    return packets.withColumn("_step", step).withColumn("_first", F.first("ts32").over(w)).withColumn("ts64", (F.col("_first") + F.sum("_step").over(w)).cast("long")).drop("_step", "_first")
+    return extended_counter(packets, "stream_id", order, "ts32", 32, "ts64", cut(packets, "stream_id", width))
 
 
-def access_units(packets: DataFrame) -> DataFrame:
+def access_units(packets: DataFrame, width: int = WIDTH) -> DataFrame:
     """Runs of packets of one media time, in sequence order; a marker also ends one. complete: no sequence number is missing inside."""
-    w = Window.partitionBy("stream_id").orderBy("seq_ext")
-    new = F.coalesce((F.col("ts64") != F.lag("ts64").over(w)) | F.lag("marker").over(w), F.lit(True))
-    marked = packets.withColumn("_new", new).withColumn("_ok", F.col("_new") | (F.col("seq_ext") == F.lag("seq_ext").over(w) + 1))
-    numbered = marked.withColumn("au_no", F.sum(F.col("_new").cast("long")).over(w))
+    at_once = cut(packets, "stream_id", width)
+    rows = lagged(packets, "stream_id", "seq_ext", ["ts64", "marker", "seq_ext"], at_once)
+    new = F.coalesce((F.col("ts64") != F.col("before.ts64")) | F.col("before.marker"), F.lit(True))
+    marked = rows.withColumn("_new", new).withColumn("_ok", F.col("_new") | (F.col("seq_ext") == F.col("before.seq_ext") + 1)).drop("before")
+    numbered = running_count(marked, "stream_id", "seq_ext", F.col("_new"), "au_no", at_once)
     return numbered.groupBy("stream_id", "au_no").agg(F.min("ts64").alias("ts64"), F.count(F.lit(1)).alias("packets"), F.bool_and("_ok").alias("complete"), F.bool_or("marker").alias("marker"))
 
 
-def sample_durations(units: DataFrame, default: int = 3003) -> DataFrame:
+def sample_durations(units: DataFrame, default: int = 3003, width: int = WIDTH) -> DataFrame:
     """units with duration: ticks to the next unit, 1 at least; the last has the mean of the others, or a default if it is alone."""
-    w = Window.partitionBy("stream_id").orderBy("au_no")
-    ahead = F.lead("ts64").over(w) - F.col("ts64")
-    step = F.when(ahead.isNotNull(), F.greatest(F.lit(1), ahead))
-    return units.withColumn("_d", step).withColumn("duration", F.coalesce("_d", F.floor(F.avg("_d").over(Window.partitionBy("stream_id"))), F.lit(default)).cast("long")).drop("_d")
+    # the row before, in the opposite order, is the next
+    back = lagged(units.withColumn("_back", -F.col("au_no")), "stream_id", "_back", ["ts64"], cut(units, "stream_id", width))
+    ahead = F.col("before.ts64") - F.col("ts64")
+    stepped = back.withColumn("_d", F.when(ahead.isNotNull(), F.greatest(F.lit(1), ahead))).drop("before", "_back")
+    means = stepped.groupBy(F.col("stream_id").alias("_stream")).agg(F.floor(F.avg("_d")).alias("_mean"))
+    both = stepped.join(means, stepped["stream_id"].eqNullSafe(means["_stream"]))
+    return both.withColumn("duration", F.coalesce("_d", "_mean", F.lit(default)).cast("long")).drop("_d", "_stream", "_mean")
 
 
-def loss_stats(packets: DataFrame) -> DataFrame:
+def loss_stats(packets: DataFrame, width: int = WIDTH) -> DataFrame:
     """Packets received, expected, missing and late (below a number seen before) of each stream."""
-    w = Window.partitionBy("stream_id").orderBy("arrival_no").rowsBetween(Window.unboundedPreceding, -1)
-    late = F.coalesce(F.col("seq_ext") < F.max("seq_ext").over(w), F.lit(False))
-    rows = unwrapped(packets).withColumn("_late", late)
+    at_once = cut(packets, "stream_id", width)
+    rows = running_most(extended_counter(packets, "stream_id", "arrival_no", "seq16", 16, "seq_ext", at_once), "stream_id", "arrival_no", "seq_ext", "_seen", at_once)
     span = F.max("seq_ext") - F.min("seq_ext") + 1
-    return rows.groupBy("stream_id").agg(F.count(F.lit(1)).alias("received"), span.alias("expected"), (span - F.count_distinct("seq_ext")).alias("missing"), F.count_if("_late").alias("out_of_order"), F.sum(F.col("marker").cast("long")).alias("markers"))
+    late = F.coalesce(F.col("seq_ext") < F.col("_seen"), F.lit(False))
+    return rows.groupBy("stream_id").agg(F.count(F.lit(1)).alias("received"), span.alias("expected"), (span - F.count_distinct("seq_ext")).alias("missing"), F.count_if(late).alias("out_of_order"), F.sum(F.col("marker").cast("long")).alias("markers"))
 
 
 def bin_of(v: Column, low: float, high: float, base: float = 1.0, bins: int = BINS) -> Column:

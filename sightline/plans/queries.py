@@ -14,10 +14,13 @@ from sightline.functions import geometry as g
 from sightline.functions import vectors as v
 from sightline.operators import matching as m
 from sightline.operators import series as s
-from sightline.operators import steps
+from sightline.operators import scan, steps
 from sightline.operators.fold import ordered_scan
 from sightline.plans import fixtures as fx
 
+#: Rows of a key beyond which its series is cut into blocks, small enough that streams of the test tables are; scan.BLOCK_ROWS is what long series take.
+SCAN_ROWS = 4096
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -458,7 +461,7 @@ fold AS (SELECT r.*, {start} FROM r0 r WHERE rn = 1 UNION ALL SELECT r.*, {step}
 @query(_walk(SAMPLE, "series", "i", "r.v::DOUBLE AS mean, greatest(0.01, 0.95)::DOUBLE AS rate", "f.mean + f.rate * (r.v - f.mean), greatest(0.01::DOUBLE, f.rate * 0.95::DOUBLE)", f"series, i, {q('mean', 'mean')}"))
 def running_mean(spark, d):
     """A12"""
-    rows = ordered_scan(sample(spark, d), ["series"], ["i"], steps.RunningMean, "series string, i long, v double, mean double")
+    rows = scan.scanned(sample(spark, d), ["series"], ["i"], scan.RunningMean(), SCAN_ROWS)
     return rows.select("series", "i", q6(F.col("mean")).alias("mean"))
 
 
@@ -604,7 +607,7 @@ def best_face_score(spark, d):
 SELECT stream_id, arrival_no, CAST(f + sum(st) OVER (PARTITION BY stream_id ORDER BY arrival_no) AS BIGINT) AS seq_ext FROM w""")
 def seq_unwrap(spark, d):
     """W2"""
-    return s.unwrapped(pkt(spark, d)).select("stream_id", F.col("arrival_no").cast("long").alias("arrival_no"), "seq_ext")
+    return s.unwrapped(pkt(spark, d), SCAN_ROWS // 4).select("stream_id", F.col("arrival_no").cast("long").alias("arrival_no"), "seq_ext")
 
 
 _EXT = f"""WITH w AS (SELECT *, first_value(ts32) OVER o AS f, coalesce((((ts32 - lag(ts32) OVER o + 2147483648) % 4294967296) + 4294967296) % 4294967296 - 2147483648, 0) AS st FROM {PKT} p WINDOW o AS (PARTITION BY stream_id ORDER BY seq_no)),
@@ -614,7 +617,7 @@ x AS (SELECT stream_id, seq_no AS seq_ext, marker, CAST(f + sum(st) OVER (PARTIT
 @query(_EXT + " SELECT stream_id, seq_ext AS seq_no, ts64 FROM x")
 def ts_extend(spark, d):
     """W3"""
-    return s.extended(pkt(spark, d), "seq_no").select("stream_id", "seq_no", "ts64")
+    return s.extended(pkt(spark, d), "seq_no", SCAN_ROWS // 4).select("stream_id", "seq_no", "ts64")
 
 
 _AU = _EXT + """, n AS (SELECT *, coalesce(ts64 <> lag(ts64) OVER o OR lag(marker) OVER o, TRUE) AS new_, lag(seq_ext) OVER o AS pv FROM x WINDOW o AS (PARTITION BY stream_id ORDER BY seq_ext)),
@@ -664,7 +667,7 @@ def ssrc_debounce(spark, d):
     """R3, Q19"""
     a = F.col("arrival_no").cast("long")
     rows = pkt(spark, d).select("stream_id", a.alias("arrival_no"), F.when(a % 701 > 690, 8).when(a % 97 == 5, 9).otherwise(7).cast("long").alias("ssrc"))
-    return ordered_scan(rows, ["stream_id"], ["arrival_no"], steps.SourceSwitch, "stream_id long, arrival_no long, ssrc long, accepted boolean").select("stream_id", "arrival_no", "accepted")
+    return scan.scanned(rows, ["stream_id"], ["arrival_no"], scan.SourceSwitch(), SCAN_ROWS).select("stream_id", "arrival_no", "accepted")
 
 
 _FRAMES = "stream_id long, frame_no long, t double, area double, has_image boolean"
@@ -675,7 +678,7 @@ _BASE = f"(CASE WHEN {_LATE('f.last')} THEN r.t - 10 ELSE f.last END)"
 @query(_walk(CLOCK, "stream_id", "t, frame_no", "r.has_image AS kept, CASE WHEN r.has_image THEN r.t ELSE r.t - 10 END AS last", f"r.t - {_BASE} + 1e-7 >= 0.5 AND r.has_image, CASE WHEN r.t - {_BASE} + 1e-7 >= 0.5 AND r.has_image THEN r.t ELSE {_BASE} END", "stream_id, frame_no", "kept"))
 def throttle(spark, d):
     """P10, W9"""
-    rows = ordered_scan(clock(spark, d), ["stream_id"], ["t", "frame_no"], lambda: steps.Throttle(0.5), _FRAMES + ", kept boolean")
+    rows = scan.scanned(clock(spark, d), ["stream_id"], ["t", "frame_no"], scan.Throttle(0.5), SCAN_ROWS)
     return rows.where("kept").select("stream_id", "frame_no")
 
 
@@ -685,14 +688,14 @@ _SKIP = "(r.t - {0} >= 0 AND r.t - {0} <= 10 AND r.t - {0} < 0.3)".format
 @query(_walk(CLOCK, "stream_id", "frame_no", f"NOT {_SKIP('0')} AS kept, CASE WHEN {_SKIP('0')} THEN 0.0::DOUBLE ELSE r.t END AS last", f"NOT {_SKIP('f.last')}, CASE WHEN {_SKIP('f.last')} THEN f.last ELSE r.t END", "stream_id, frame_no", "kept"))
 def decoder_throttle(spark, d):
     """P9, in arrival order"""
-    rows = ordered_scan(clock(spark, d), ["stream_id"], ["frame_no"], lambda: steps.DecoderThrottle(0.3), _FRAMES + ", kept boolean")
+    rows = scan.scanned(clock(spark, d), ["stream_id"], ["frame_no"], scan.DecoderThrottle(0.3), SCAN_ROWS)
     return rows.where("kept").select("stream_id", "frame_no")
 
 
 @query(_walk(CLOCK, "stream_id", "frame_no", "r.area < 0.05 AS skipped", "r.area < CASE WHEN f.skipped THEN 0.01 ELSE 0.05 END", "stream_id, frame_no, skipped"))
 def skip_hysteresis(spark, d):
     """P11"""
-    return ordered_scan(clock(spark, d), ["stream_id"], ["frame_no"], steps.MotionSkip, _FRAMES + ", skipped boolean").select("stream_id", "frame_no", "skipped")
+    return scan.scanned(clock(spark, d), ["stream_id"], ["frame_no"], scan.MotionSkip(), SCAN_ROWS).select("stream_id", "frame_no", "skipped")
 
 
 _QUEUE = f"(SELECT stream_id, frame_no, CAST(frame_no * 7 % 5 AS DOUBLE) / 3 AS queue FROM {CLOCK} c)"
@@ -737,7 +740,7 @@ def noise_floor(spark, d):
     """R8"""
     e = spark.read.parquet(f"{d}/events.parquet")
     rows = e.select(F.col("event_id").alias("frame_no"), (F.col("user_id") % 64).alias("block"), (F.pmod(F.col("event_id") * 37, F.lit(256)).cast("double") * F.when(F.col("event_id") % 9 == 0, 1.0).otherwise(0.1)).alias("v"))
-    out = ordered_scan(rows, ["block"], ["frame_no"], steps.NoiseFloor, "block long, frame_no long, v double, floor double, motion boolean")
+    out = scan.scanned(rows, ["block"], ["frame_no"], scan.NoiseFloor(), SCAN_ROWS)
     return out.select("block", "frame_no", q6(F.col("floor")).alias("floor_"), "motion")
 
 
