@@ -929,4 +929,4 @@ def rollup_lineitem(spark, d):
     return rows.rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("sum_qty"), F.floor(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) + 0.5).cast("long").alias("revenue"), F.count(F.lit(1)).alias("n"))
 
 
-from sightline.plans import image_queries, media_queries  # noqa: E402, F401  (they register their queries)
+from sightline.plans import image_queries, media_queries, ranged_queries  # noqa: E402, F401  (they register their queries)
