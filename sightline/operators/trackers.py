@@ -251,6 +251,22 @@ class CascadeTracker(Step):
             x0, y0, x1, y1 = map(float, k.box)
             yield {"frame_no": row["frame_no"], "t": t, "track_id": k.id, "state": k.state, "det_id": k.det_id if k.seen == t else None, "conf": k.conf, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "observations": k.observations, "missed": k.missed}
 
+    #: What of a track goes from frame to frame.
+    SAVED = "track_id long, state string, conf double, sure double, det_id long, observations int, missed int, seen double, fiqa double, filter_t double, box array<double>, reid array<double>, mean array<double>, cov array<double>, points array<double>"
+
+    def saved(self) -> list[tuple]:
+        """The tracks as rows of SAVED."""
+        flat = lambda x: [float(v) for v in np.ravel(x)]
+        return [(k.id, k.state, float(k.conf), float(k.sure), k.det_id, k.observations, k.missed, float(k.seen), float(k.fiqa), float(k.filter.t), flat(k.box), flat(k.reid), flat(k.filter.filter.mean), flat(k.filter.filter.cov), flat(k.points) if k.points else []) for k in self.tracks]
+
+    def restore(self, next_id: int, rows: list[tuple]) -> None:
+        self.next_id, self.tracks = next_id, []
+        for track_id, state, conf, sure, det_id, observations, missed, seen, fiqa, t, box, reid, mean, cov, points in rows:
+            box = np.array(box, np.float64)
+            own = BoxFilter(box, t)
+            own.filter.mean, own.filter.cov = np.array(mean, f32), np.array(cov, f32).reshape(8, 8)
+            self.tracks.append(_Object(box, conf, sure, det_id, np.array(reid, np.float64), own, track_id, state, observations, missed, seen, points=list(np.array(points, np.float64).reshape(-1, 2)), fiqa=fiqa))
+
     def _object(self, d: dict) -> _Object:
         box = np.array([d["x0"], d["y0"], d["x1"], d["y1"]], np.float64)
         points = d.get("pose_points") or ()

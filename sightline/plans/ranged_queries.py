@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.plans.media_queries import _NAL_SQL, _PCAP, _captured, _rtp, _udp, embeddings, events, hexed, little, text_hex
-from sightline.plans.queries import query
+from sightline.plans.queries import ORACLE, clock, det, q6, query
 from sightline.sources import ranged, sinks
 from sightline.sources.shared import new_folder
 
@@ -81,3 +81,30 @@ def wav_ranges(spark, d):
     rows = ranged.wav_chunks(spark, path, 250, 1000)
     total = F.aggregate(F.transform("samples", lambda x, i: x.cast("double") * 32768 * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return _named(rows).select("path", "chunk_no", F.col("sample_rate").alias("rate"), F.col("num_channels").alias("channels"), F.size("samples").alias("n"), F.round(total).cast("long").alias("total"))
+
+
+# typed state of streams: the same rows as in batch
+
+
+@query(ORACLE["best_shot"])
+def stream_best_shot(spark, d):
+    """R15 on transformWithState: shots of a stream of detections, in four micro-batches"""
+    from sightline.functions import geometry as g
+    from sightline.operators import steps
+    from sightline.streaming import drivers, states
+
+    rows = det(spark, d).select("stream_id", F.col("user_id").alias("track_id"), "frame_no", "det_id", g.clip_quality(g.box(), F.col("conf")).alias("q"))
+    stream = states.replayed(rows, "det_id", 4)
+    out = states.stepped(stream, ["stream_id", "track_id"], ["frame_no", "det_id"], lambda: steps.BestShot(least=0.005), "best double, best_frame long", "stream_id long, track_id long, frame_no long, det_id long, taken boolean, best double, best_frame long")
+    return drivers.drained(out).withColumn("best", q6(F.col("best")))
+
+
+@query(ORACLE["snapshot_cadence"])
+def stream_snapshots(spark, d):
+    """R17 on transformWithState"""
+    from sightline.operators import steps
+    from sightline.streaming import drivers, states
+
+    stream = states.replayed(clock(spark, d), "t", 3)
+    out = states.stepped(stream, ["stream_id"], ["t", "frame_no"], steps.Snapshot, "picture double, embedding double", "stream_id long, frame_no long, picture boolean, embedded boolean")
+    return drivers.drained(out).where("picture").select("stream_id", "frame_no", "embedded")
