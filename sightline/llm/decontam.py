@@ -11,10 +11,12 @@ leave room for the window (length bound), and is verified word by word.
 Documents are not shuffled. Frequencies take one pass, for which the benchmark's
 vocabulary alone is broadcast (in parts of VOCABULARY words, a pass each, should
 it be larger). Windows then go to the executors in blocks of at most BLOCK_BYTES
-of item text (one larger item is a block of its own), one step over the documents
-a block. A block is a few arrays: its words' numbers end to end, and a place and
-a hash for each distinct window, about 5 bytes for each byte of item text, so
-what is broadcast at once is bounded whatever the size of the benchmark.
+of item text (one larger item is a block of its own). A block is a few arrays: its
+words' numbers end to end, and a place and a hash for each distinct window, about
+5 bytes for each byte of item text. One block needs one pass over the documents.
+Of several blocks each has a job of its own, which writes its hits and whose
+broadcast is dropped before the next begins, so a task and the driver hold one
+block whatever the size of the benchmark; the hits then meet by row.
 
 Words: A-Z are lower-cased; a word is a run of ASCII letters, digits and
 anything beyond ASCII. Defined cases: null and wordless texts have no words and
@@ -175,23 +177,36 @@ def frequencies(docs: DataFrame, benchmark: DataFrame, part: int = VOCABULARY) -
 _HITS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _matched(windows: Broadcast, names: list[str], text: str):
+_FOUND = {"_n_words": pa.int64(), "_hits": _HITS, "_items": pa.list_(pa.int64())}
+
+
+def _matched(windows: Broadcast, names: list[str], text: str, all_rows: bool = True):
+    """Rows with what a block's windows find in them; without all_rows only those in which they find something."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = windows.value
         for batch in batches:
             n_words, hits, items = [], [], []
-            for body, had, had_items in zip(as_bytes(batch.column(text)), batch.column("_hits").to_pylist(), batch.column("_items").to_pylist(), strict=True):
+            for body in as_bytes(batch.column(text)):
                 ids = w.ids(body)
                 starts, ends, found = w.find(ids)
                 n_words.append(len(ids))
-                items.append(sorted({*had_items, *found}))
-                hits.append(_joined([*zip(starts.tolist(), ends.tolist(), strict=True), *((h["start"], h["end"]) for h in had)]))
-            more = {"_n_words": pa.array(n_words, pa.int64()), "_hits": pa.array(hits, _HITS), "_items": pa.array(items, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([more[c] if c in more else batch.column(c) for c in names], names)
+                items.append(sorted(found))
+                hits.append(_joined(list(zip(starts.tolist(), ends.tolist(), strict=True))))
+            more = {c: pa.array(x, _FOUND[c]) for c, x in (("_n_words", n_words), ("_hits", hits), ("_items", items))}
+            out = pa.RecordBatch.from_arrays([more[c] if c in more else batch.column(c) for c in names], names)
+            yield out if all_rows else out.filter(pa.array([bool(h) for h in hits]))
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (_row, _hits, _items) of several blocks, each row's spans joined."""
+    for batch in batches:
+        hits = [_joined([(h["start"], h["end"]) for h in x]) for x in batch.column("_hits").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(hits, _HITS), pa.array([sorted(set(x)) for x in batch.column("_items").to_pylist()], _FOUND["_items"])], ["_row", "_hits", "_items"])
+
+
 def _joined(spans: list[tuple[int, int]]) -> list[dict]:
     """Spans in order, those that touch or overlap made one."""
     out: list[dict] = []
@@ -213,14 +228,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     span = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
-    rows = texts.withColumns({"_n_words": F.lit(0).cast("long"), "_hits": F.array().cast(span), "_items": F.array().cast("array<bigint>")})
     known = frequencies(docs, items)
-    for k in range(blocks):
-        block = staged(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), "block") if blocks > 1 else items
-        own = known if blocks == 1 else known.join(block.select("text").mapInArrow(_distinct_words, "word binary").distinct(), "word")
-        frequency = {bytes(r.word): r.n for r in own.collect()}
-        w = Windows([(r.item_id, r.text.encode()) for r in block.collect()], frequency, width)
-        rows = rows.mapInArrow(_matched(spark.sparkContext.broadcast(w), rows.columns, "text"), rows.schema)
+
+    def windows(block: DataFrame, frequency: DataFrame) -> Broadcast:
+        counts = {bytes(r.word): r.n for r in frequency.collect()}
+        return spark.sparkContext.broadcast(Windows([(r.item_id, r.text.encode()) for r in block.collect()], counts, width))
+
+    if blocks == 1:
+        kind = T.StructType([*texts.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_hits", span), T.StructField("_items", T.ArrayType(T.LongType()))])
+        rows = texts.mapInArrow(_matched(windows(items, known), kind.names, "text"), kind)
+    else:
+        # rows are numbered, and the numbers written: several jobs read them
+        numbered = staged(texts.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        found = []
+        for k in range(blocks):
+            block = staged(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), "block")
+            held = windows(block, known.join(block.select("text").mapInArrow(_distinct_words, "word binary").distinct(), "word"))
+            hits = numbered.select("_row", "text").mapInArrow(_matched(held, ["_row", "_hits", "_items"], "text", all_rows=False), T.StructType().add("_row", "long").add("_hits", span).add("_items", T.ArrayType(T.LongType())))
+            found.append(staged(hits, "hits"))
+            held.unpersist(blocking=True)
+        every = found[0]
+        for more in found[1:]:
+            every = every.unionByName(more)
+        met = every.groupBy("_row").agg(F.flatten(F.collect_list("_hits")).alias("_hits"), F.flatten(F.collect_list("_items")).alias("_items"))
+        joined = numbered.join(met.mapInArrow(_merged, met.schema), "_row", "left").drop("_row")
+        words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0))
+        rows = joined.withColumns({"_n_words": F.size(words).cast("long"), "_hits": F.coalesce("_hits", F.array().cast(span)), "_items": F.coalesce("_items", F.array().cast("array<bigint>"))})
+        rows = rows.select(*texts.columns, "_n_words", "_hits", "_items")
     return rows if carry else rows.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_hits").alias("hits"), F.col("_items").alias("items"))
 
 

@@ -49,7 +49,9 @@ ok AS (SELECT lv.doc_id, lv.n_bytes, CAST(lv.depth AS INT) AS depth, lv.prefix,
   row_number() OVER (PARTITION BY lv.doc_id ORDER BY lv.depth) AS r
   FROM lv JOIN b USING (depth, prefix) WHERE b.shard_bytes <= {limit} OR b.lo = b.hi),
 leaf AS (SELECT * FROM ok WHERE r = 1),
-paged AS (SELECT *, CASE WHEN shard_bytes <= {limit} THEN 0 ELSE CAST(coalesce(sum(n_bytes) OVER (PARTITION BY depth, prefix ORDER BY doc_id, n_bytes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {limit} END AS page FROM leaf)
+sized AS (SELECT *, 2 * n_bytes > {limit} AS large FROM leaf),
+paged AS (SELECT *, CASE WHEN shard_bytes <= {limit} THEN 0 WHEN large THEN 2 * row_number() OVER (PARTITION BY depth, prefix, large ORDER BY doc_id, n_bytes) - 1
+  ELSE 2 * (2 * CAST(coalesce(sum(n_bytes) OVER (PARTITION BY depth, prefix, large ORDER BY doc_id, n_bytes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {limit}) END AS page FROM sized)
 SELECT doc_id, n_bytes, depth, prefix, CAST(page AS BIGINT) AS page,
   (CASE WHEN depth = 0 THEN '-' ELSE lpad(bin(prefix), depth, '0') END) || '.' || page AS shard,
   CAST(sum(n_bytes) OVER (PARTITION BY depth, prefix, page) AS BIGINT) AS shard_bytes, count(*) OVER (PARTITION BY depth, prefix, page) AS shard_docs

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from sightline.llm import decontam, filter_audit, minhash, negatives, oracles, packing, quality, secret_scan, sharding, sketches, substring_dedup, suffix_dedup, token_files, toxicity
 
 TOKENIZER, SEQUENCE = "word_bpe_49k.json", 2048
-#: Bytes of text a shard, small enough that the directory grows by several levels on the test tables too; shards for training are set larger.
-SHARD_BYTES = 256 << 10
+#: Bytes of text a shard, small enough that buckets of the test tables split unevenly; shards for training are set larger.
+SHARD_BYTES = 160 << 10
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:

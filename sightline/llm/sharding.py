@@ -7,10 +7,13 @@ of prefix bits a round), so no shard's rows meet in one task, and only
 documents of buckets that are still too large go to the next round.
 
 Defined cases: a bucket of one hash value can't split further; it is cut to
-pages by running size instead, so a page exceeds the limit by less than a
-document. A null text has 0 bytes; null doc_ids hash as an empty text;
-repeated rows count each; an empty table gives no shards; other columns are
-ignored.
+pages instead. A document of over half the limit is a page; the others, in
+doc_id order, go to a page by the half of the limit in which their running size
+begins, so that no page exceeds the limit unless it is one document that does.
+A very long text is a document like any other. A null text has 0 bytes; null
+doc_ids hash as an empty text; equal ids share a bucket, and ties of id and size
+are in any order, as their rows are equal; repeated rows count each; an empty
+table gives no shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,12 +61,14 @@ def _leaves(rows: DataFrame, cell: Column, limit: int, above: int, depth: int) -
 
 
 def _paged(rows: DataFrame, limit: int) -> DataFrame:
-    """Shards of one hash value that exceed the limit become pages, by running size in doc_id order; all others are page 0."""
+    """Shards of one hash value that exceed the limit become pages, odd ones of a document each, even ones by running size; all others are page 0."""
     rows = rows.select("doc_id", "n_bytes", "depth", "prefix", "shard_bytes", "shard_docs")
     whole = rows.where(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0).cast("long"))
-    before = F.coalesce(F.sum("n_bytes").over(Window.partitionBy("depth", "prefix").orderBy("doc_id", "n_bytes").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = Window.partitionBy("depth", "prefix", "large").orderBy("doc_id", "n_bytes")
+    before = F.coalesce(F.sum("n_bytes").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     page = Window.partitionBy("depth", "prefix", "page")
-    paged = rows.where(F.col("shard_bytes") > limit).withColumn("page", F.floor(before / limit).cast("long"))
+    paged = rows.where(F.col("shard_bytes") > limit).withColumn("large", 2 * F.col("n_bytes") > limit)
+    paged = paged.withColumn("page", F.when(F.col("large"), 2 * F.row_number().over(own) - 1).otherwise(2 * F.floor(2 * before / limit)).cast("long")).drop("large")
     paged = paged.withColumn("shard_bytes", F.sum("n_bytes").over(page)).withColumn("shard_docs", F.count(F.lit(1)).over(page))
     name = F.concat_ws(".", F.when(F.col("depth") == 0, F.lit("-")).otherwise(F.lpad(F.bin("prefix"), F.col("depth"), "0")), F.col("page").cast("string"))
     return whole.unionByName(paged).select("doc_id", "n_bytes", F.col("depth").cast("int").alias("depth"), "prefix", "page", name.alias("shard"), "shard_bytes", "shard_docs")

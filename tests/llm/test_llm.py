@@ -195,8 +195,20 @@ def test_sharding(docs, texts, none, limit):
 
 
 def test_sharding_pages_equal_ids(spark):
-    rows = sharding.shards(spark.createDataFrame([(1, "x" * 10)] * 7 + [(None, None)], "doc_id long, text string"), 25).collect()
-    assert sorted(r.shard_docs for r in rows if r.doc_id == 1) == [2, 2, 2, 2, 3, 3, 3]
+    docs = spark.createDataFrame([(1, "x" * 10)] * 7 + [(1, "y" * 13)] * 2 + [(1, "z" * 40), (1, None), (None, None), (2, "w" * 20)], "doc_id long, text string")
+    rows = sharding.shards(docs, 25).collect()
+    pages = collections.defaultdict(list)
+    for r in rows:
+        pages[r.shard].append(r)
+    for s in pages.values():
+        assert sum(r.n_bytes for r in s) == s[0].shard_bytes and len(s) == s[0].shard_docs and (s[0].shard_bytes <= 25 or len(s) == 1)
+    assert len(rows) == 13 and sorted(r.n_bytes for r in rows if r.shard_docs == 1 and r.doc_id == 1 and r.page % 2) == [13, 13, 40]
+
+
+def test_sharding_splits_unevenly(spark):
+    docs = spark.createDataFrame([(i, "x" * (5000 if i % 50 == 0 else 40)) for i in range(400)], "doc_id long, text string")
+    rows = sharding.shards(docs, 6000).collect()
+    assert len({r.depth for r in rows}) >= 3 and len(rows) == 400 and all(r.shard_bytes <= 6000 for r in rows)
 
 
 def test_decontamination(spark, docs, texts, none):
@@ -225,6 +237,22 @@ def test_decontamination(spark, docs, texts, none):
     assert carried.columns[:-3] == docs.columns and carried.count() == len(texts)
 
 
+def test_blocks_of_a_benchmark_are_jobs_of_their_own(spark, monkeypatch):
+    rng, plans = random.Random(5), []
+    inner = decontam.staged
+    monkeypatch.setattr(decontam, "staged", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))) or inner(df, name))
+    items = [(i, prose(rng, 14)) for i in range(40)] + [(None, prose(rng, 12)), (41, "one two"), (41, "three")]
+    docs = [(i, prose(rng, 30) + " " + items[i % 43][1] + " " + prose(rng, 5)) for i in range(60)] + [(7, None), (None, items[3][1]), (7, "One, TWO!"), (8, "")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = decontam.contamination(d, b).collect()
+    plans.clear()
+    many = decontam.contamination(d, b, block_bytes=60)
+    assert sorted(map(str, many.collect())) == sorted(map(str, one))
+    assert len([n for name, n in plans if name == "hits"]) >= 40 and max(n for name, n in plans) <= 1
+    carried = decontam.contamination(d.withColumn("_row0", decontam.F.lit(1)), b, block_bytes=600, carry=True)
+    assert carried.columns == ["doc_id", "text", "_row0", "_n_words", "_hits", "_items"] and carried.count() == len(docs)
+
+
 def test_windows_of_a_large_benchmark_are_small():
     import pickle
     import tracemalloc
