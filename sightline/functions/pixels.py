@@ -159,8 +159,8 @@ def noise_roi(motion: np.ndarray, erode: bool = True) -> tuple[np.ndarray, float
     return box, float(m.sum() / (m.size + 1e-7))
 
 
-def reference_updated(reference: np.ndarray, image: np.ndarray, roi) -> np.ndarray:
-    """The motion reference after a frame: replaced by it if the region covers all, kept if it is empty, else with the region's even pixels."""
+def reference_updated(reference: np.ndarray, image: np.ndarray, roi, even: int = 2) -> np.ndarray:
+    """The motion reference after a frame: replaced by it if the region covers all, kept if it is empty, else with the region's even pixels. even: 2 for luma; 1 for chroma planes, of half the size."""
     x0, y0, x1, y1 = roi
     covered = (x1 - x0) * (y1 - y0)
     if covered > 0.99:
@@ -168,8 +168,10 @@ def reference_updated(reference: np.ndarray, image: np.ndarray, roi) -> np.ndarr
     if covered <= 0:
         return reference
     h, w = image.shape
-    a, b = int(x0 * w) & ~1, int(y0 * h) & ~1
-    c, d = min(w, (int(np.ceil(x1 * w)) + 1) & ~1), min(h, (int(np.ceil(y1 * h)) + 1) & ~1)
+    full = 2 // even  # luma pixels for one of this plane
+    near = lambda x, n: int(np.floor(x * n * full + 0.5))
+    a, b = (near(x0, w) & ~1) // full, (near(y0, h) & ~1) // full
+    c, d = min(w, ((near(x1, w) + 1) & ~1) // full), min(h, ((near(y1, h) + 1) & ~1) // full)
     return blend(crop(image, a, b, c - a, d - b), reference, a, b)
 
 

@@ -96,13 +96,16 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def greedy(score: np.ndarray) -> list[tuple[int, int]]:
-    """Each row in order takes the free column of the best score above 0 (the first of equals)."""
-    score, out = score.copy(), []
-    for a in range(len(score)) if score.size else ():
-        b = int(np.argmax(score[a]))
-        if score[a, b] > 0:
-            out.append((a, b))
-            score[:, b] = -np.inf
+    """Pairs with a score above 0, by score less the row's number from the largest on (the smaller row, then column of equals), each taken if row and column are free. So rows come in order, unless a score is larger by over 1."""
+    if not score.size:
+        return []
+    a, b = np.nonzero(score > 0)
+    out, rows, columns = [], set(), set()
+    for k in np.lexsort((b, a, a - score[a, b])).tolist():
+        if int(a[k]) not in rows and int(b[k]) not in columns:
+            rows.add(int(a[k]))
+            columns.add(int(b[k]))
+            out.append((int(a[k]), int(b[k])))
     return out
 
 
@@ -178,6 +181,7 @@ class CascadeParams:
     new_track: float = 0.57
     single_frame: float = 0.05
     reach: float = 0.1
+    search: float = 0.05
     filter_weight: float = 1.0
     warm_up: float = 0.7
     likeness: float = 0.2
@@ -199,15 +203,26 @@ class CascadeTracker(Step):
     move_point: Callable[[np.ndarray], np.ndarray] | None = None  # a point by optical flow
     tracks: list[_Object] = field(default_factory=list)
     next_id: int = 0
+    predicted_at: float | None = None  # the time of a search whose frame has not come yet
 
     def __post_init__(self):
         self.next_id = self.p.first_id
 
-    def push(self, row):
-        t, dets = row["t"], [self._object(d) for d in row["dets"] or () if d["cl"] == 0]
-        dets.sort(key=lambda d: (-d.sure, d.det_id))
-        if self.single:
-            self.tracks = []
+    def reset(self) -> None:
+        """Forgets all tracks; ids go on."""
+        self.tracks, self.predicted_at = [], None
+
+    def search(self, t: float, lo: np.ndarray, hi: np.ndarray) -> tuple[float, float, float, float]:
+        """Where to look for what is tracked at time t, before its frame is seen: a region (lo, hi), each track's last, predicted and moved box, and its moved points; grown and clipped."""
+        self._predict(t)
+        self.predicted_at = t
+        for k in self.tracks:
+            lo = np.minimum.reduce([lo, k.box[:2], k.predicted[:2], k.flow[:2]])
+            hi = np.maximum.reduce([hi, k.box[2:], k.predicted[2:], k.flow[2:]])
+        grow = self.p.search * 0.5 * np.maximum(0.05, hi - lo)
+        return tuple(np.clip([*(lo - grow), *(hi + grow)], 0.0, 1.0).tolist())
+
+    def _predict(self, t: float) -> None:
         for k in self.tracks:
             k.predicted = k.filter.predict(t)
             k.flow = self.move(k.box) if self.move else k.box
@@ -217,6 +232,15 @@ class CascadeTracker(Step):
             grow = (hi - lo) * self.p.reach / 2
             k.reach = np.concatenate([lo - grow, hi + grow])
             k.cells = cells(k.reach)
+
+    def push(self, row):
+        t, dets = row["t"], [self._object(d) for d in row["dets"] or () if d["cl"] == 0]
+        dets.sort(key=lambda d: (-d.sure, d.det_id))
+        if self.single:
+            self.tracks = []
+        if self.predicted_at != t:
+            self._predict(t)
+        self.predicted_at = None
         self._centre(dets)
         out, used, old = [], set(), list(self.tracks)
         for n in range(0 if self.single else 3):

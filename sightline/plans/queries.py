@@ -336,13 +336,21 @@ def track_difference(spark, d):
     return m.tracks_without(hyp(spark, d).select("stream_id", "track_id").distinct(), b)
 
 
-@query(f"""WITH h AS (SELECT *, frame_no - min(frame_no) OVER (PARTITION BY stream_id, track_id) AS age FROM {HYP} h),
+#: Tracks, and a second tracker's of the same objects: a little aside, and seen for one frame less, as many, or one more.
+_TWICE = f"""a AS (SELECT stream_id, frame_no, track_id, x0, y0, x1, y1, frame_no - min(frame_no) OVER (PARTITION BY stream_id, track_id) AS age FROM {HYP} h),
+h AS (SELECT * FROM a UNION ALL SELECT stream_id, frame_no, track_id + 1000000, x0 + (x1 - x0) * 0.02 * (track_id % 17), y0, x1 + (x1 - x0) * 0.02 * (track_id % 17), y1, age + track_id // 10 % 3 - 1 FROM a)"""
+
+
+@query(f"""WITH {_TWICE},
 p AS (SELECT a.stream_id, a.frame_no, CASE WHEN a.age > b.age THEN b.track_id ELSE a.track_id END AS gone FROM h a JOIN h b ON a.stream_id = b.stream_id AND a.frame_no = b.frame_no AND a.track_id < b.track_id WHERE {_iou('a', 'b')} > 0.7)
 SELECT h.stream_id, h.frame_no, h.track_id FROM h WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.stream_id = h.stream_id AND p.frame_no = h.frame_no AND h.track_id = gone)""")
 def duplicate_tracks(spark, d):
     """Of two tracks on one place the one seen for a shorter time goes, the first of equals"""
     first = F.min("frame_no").over(Window.partitionBy("stream_id", "track_id"))
-    h = hyp(spark, d).withColumn("age", F.col("frame_no") - first)
+    one = hyp(spark, d).withColumn("age", F.col("frame_no") - first).select("stream_id", "frame_no", "track_id", *g.SIDES, "age")
+    aside = (F.col("x1") - F.col("x0")) * 0.02 * (F.col("track_id") % 17)
+    two = one.withColumns({"x0": F.col("x0") + aside, "x1": F.col("x1") + aside, "age": F.col("age") + F.floor(F.col("track_id") / 10) % 3 - 1, "track_id": F.col("track_id") + 1_000_000})
+    h = one.unionByName(two)
     return h.select("stream_id", "frame_no", "track_id").join(m.duplicate_tracks(h), ["stream_id", "frame_no", "track_id"], "left_anti")
 
 
@@ -929,4 +937,4 @@ def rollup_lineitem(spark, d):
     return rows.rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("sum_qty"), F.floor(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) + 0.5).cast("long").alias("revenue"), F.count(F.lit(1)).alias("n"))
 
 
-from sightline.plans import image_queries, media_queries, ranged_queries  # noqa: E402, F401  (they register their queries)
+from sightline.plans import image_queries, media_queries, motion_queries, ranged_queries  # noqa: E402, F401  (they register their queries)
