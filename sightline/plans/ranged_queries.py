@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.plans.media_queries import _NAL_SQL, _PCAP, _captured, _rtp, _udp, embeddings, events, hexed, little, text_hex
@@ -108,3 +108,27 @@ def stream_snapshots(spark, d):
     stream = states.replayed(clock(spark, d), "t", 3)
     out = states.stepped(stream, ["stream_id"], ["t", "frame_no"], steps.Snapshot, "picture double, embedding double", "stream_id long, frame_no long, picture boolean, embedded boolean")
     return drivers.drained(out).where("picture").select("stream_id", "frame_no", "embedded")
+
+
+#: A sequence parameter set of 640 x 480.
+_SPS = "6742001EF40501EC80"
+_KEY_DATA = "'000000096742001EF40501EC80' || '0000000268CE' || '00000004' || '6588' || printf('%02X', event_id % 251 + 4) || printf('%02X', user_id % 251 + 4)"
+
+
+@query(f"""WITH u AS (SELECT *, user_id % 4 AS stream_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS n FROM events),
+d AS (SELECT *, lead(event_id) OVER (PARTITION BY stream_id ORDER BY n) - event_id AS gap FROM u),
+t AS (SELECT *, CAST(CASE WHEN gap IS NULL THEN coalesce(sum(gap * 900) OVER (PARTITION BY stream_id) // nullif(count(gap) OVER (PARTITION BY stream_id), 0), 3003) ELSE gap * 900 END AS BIGINT) AS duration, n // 12 + 1 AS fragment_no FROM d),
+b AS (SELECT stream_id, fragment_no, CAST(coalesce(sum(sum(duration)) OVER (PARTITION BY stream_id ORDER BY fragment_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS decode_time FROM t GROUP BY stream_id, fragment_no)
+SELECT stream_id || '.mp4' AS path, fragment_no, CAST(n % 12 AS INT) AS sample_no, decode_time, duration, n % 12 = 0 AS key, CASE WHEN n % 12 = 0 THEN {_KEY_DATA} ELSE '00000004' || '4188' || printf('%02X', event_id % 251 + 4) || printf('%02X', user_id % 251 + 4) END AS data FROM t JOIN b USING (stream_id, fragment_no)""")
+def mp4_files(spark, d):
+    """K2, K3: streams of units written as fragmented files, a fragment a key unit, and their samples read back in ranges of 8 KB"""
+    from sightline.sources import mp4
+
+    e = events(spark, d)
+    n = F.row_number().over(Window.partitionBy(F.col("user_id") % 4).orderBy("event_id")) - 1
+    tail = F.concat(hexed(F.col("event_id") % 251 + 4, 1), hexed(F.col("user_id") % 251 + 4, 1))
+    data = F.when(F.col("au_no") % 12 == 0, F.concat(F.lit("00000001" + _SPS + "0000000168CE" + "000000016588"), tail)).otherwise(F.concat(F.lit("000000014188"), tail))
+    units = e.withColumn("au_no", n.cast("long")).select((F.col("user_id") % 4).alias("stream_id"), "au_no", (F.col("event_id") * 900 + 7).alias("ts64"), F.unhex(data).alias("data"))
+    path = new_folder(spark, "movies")
+    mp4.write_mp4(units, path)
+    return _named(mp4.read_mp4(spark, path, 8192, backBytes=4096)).select("path", "fragment_no", "sample_no", "decode_time", "duration", "key", F.hex("data").alias("data"))

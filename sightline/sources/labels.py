@@ -93,7 +93,7 @@ def mp4_fragment(number: int, decode_time: int, samples: list[tuple[bytes, int,
     """A movie fragment of (data, duration, key) samples: moof and mdat."""
 
     def moof(offset: int) -> bytes:
-        run = struct.pack(">IIi", 0x000701, len(samples), offset) + b"".join(struct.pack(">III", d, len(x), 0x02000000 if key else 0x01010000) for x, d, key in samples)
+        run = struct.pack(">IIi", 0x000701, len(samples), offset) + b"".join(struct.pack(">III", d, len(x), 0x02000000 if key else 0x00010000) for x, d, key in samples)
         track = _box(b"tfhd", struct.pack(">II", 0x020000, 1)) + _box(b"tfdt", struct.pack(">IQ", 0x01000000, decode_time)) + _box(b"trun", run)
         return _box(b"moof", _box(b"mfhd", struct.pack(">II", 0, number)), _box(b"traf", track))
 

@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from sightline.operators.fold import Step
 from sightline.operators.steps import Reorder
 from sightline.operators.trackers import TRACK_COLUMNS, CascadeTracker
+from sightline.sources.mp4 import PARTS, Mp4Writer
 from sightline.sources.shared import new_folder
 from sightline.streaming.drivers import _plain
 
@@ -180,6 +181,48 @@ class Tracked(Processor):
             yield {"frame_no": None, "t": k.seen, "track_id": k.id, "state": "gone", "det_id": None, "conf": k.conf, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "observations": k.observations, "missed": k.missed}
 
 
+class Mp4Parts(Processor):
+    """The MP4 writer: what is known of a file as a value, the units of its open fragment as a list."""
+
+    FIXED = {"started": "boolean", "part": "long", "number": "long", "base": "long", "total": "long", "count": "long", "last_ts": "long", "last_key": "boolean", "last": "binary"}
+
+    def __init__(self, codec: str, *args, **options):
+        super().__init__(*args, **options)
+        self.codec = codec
+
+    def open(self, handle):
+        self.value = handle.getValueState("file", ", ".join(f"{n} {t}" for n, t in self.FIXED.items()) + ", vps binary, sps binary, pps binary")
+        self.samples = handle.getListState("pending", "data binary, duration long, key boolean")
+
+    def load(self):
+        step = Mp4Writer(self.codec)
+        if self.value.exists():
+            held = list(self.value.get())
+            for name, x in zip(self.FIXED, held, strict=False):
+                setattr(step, name, x)
+            step.last = bytes(step.last)
+            step.sets = [bytes(x) if x is not None else None for x in held[len(self.FIXED) :]]
+            step.pending = [(bytes(d), n, key) for d, n, key in self.samples.get()]
+        return step
+
+    def save(self, step):
+        self.value.update((*(getattr(step, n) for n in self.FIXED), *step.sets))
+        if step.pending:
+            self.samples.put(step.pending)
+        else:
+            self.samples.clear()
+
+    def forget(self):
+        self.value.clear()
+        self.samples.clear()
+
+
+def mp4_parts(units: DataFrame, codec: str, idle_s: float, at: str = "ts") -> DataFrame:
+    """Parts of MP4 files from streams of units (stream_id, au_no, ts64, data, and event time): a file ends when its stream is silent for idle_s."""
+    schema = "stream_id long, " + PARTS
+    return running(units, ["stream_id"], Mp4Parts(codec, ["stream_id"], ["au_no"], _names(schema), idle_s=idle_s, at=at), schema)
+
+
 def running(stream: DataFrame, keys: list[str], processor: Processor, schema: str, mode: str = "eventTime") -> DataFrame:
     """What a processor gives for a stream (with a watermark, if it has timers)."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
