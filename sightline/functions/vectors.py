@@ -216,6 +216,18 @@ def remixed(samples: Column, n_in: int, n_out: int) -> Column:
     return F.when(F.size(samples) < n_in, F.array().cast("array<double>")).otherwise(F.flatten(F.transform(frames, mix)))
 
 
+def half(x: Column) -> Column:
+    """A number as the nearest of 16 bits (to even where two are as near), as a double: 11 bits from 2**-14 on, steps of 2**-24 below, infinity from 65520 on. Column expressions: powers of two and rint are exact."""
+    size = F.abs(x.cast("double"))
+    near = F.floor(F.log2(F.greatest(size, F.lit(2.0**-30)))).cast("double")
+    # the logarithm may be off by one next to a power of two
+    power = F.when(size < F.pow(F.lit(2.0), near), near - 1).when(size >= F.pow(F.lit(2.0), near + 1), near + 1).otherwise(near)
+    step = F.pow(F.lit(2.0), F.greatest(power, F.lit(-14.0)) - 10)
+    rounded = F.rint(size / step) * step
+    out = F.when(F.isnan(size), size).when(size >= 65520, F.lit(float("inf"))).otherwise(rounded)
+    return F.when(x < 0, -out).otherwise(out)
+
+
 def through_half(column: str) -> Column:
     """A vector of 32-bit floats rounded to 16 bits and back, by Arrow batches."""
     @F.pandas_udf("array<float>")

@@ -210,3 +210,19 @@ def predicted_roi(boxes: DataFrame, ratio: float = 0.05) -> DataFrame:
     clip = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
     grow = lambda a, b: ratio * 0.5 * F.greatest(F.lit(0.05), F.col(b) - F.col(a))
     return r.select("stream_id", "frame_no", clip(F.col("x0") - grow("x0", "x1")).alias("x0"), clip(F.col("y0") - grow("y0", "y1")).alias("y0"), clip(F.col("x1") + grow("x0", "x1")).alias("x1"), clip(F.col("y1") + grow("y0", "y1")).alias("y1"))
+
+
+def stream_rates(frames: DataFrame, seconds: float, low: float = 0.0, high: float = 1.0, base: float = 1.0) -> DataFrame:
+    """Of each stream's frames (stream_id, i from 1, latency, skipped): frames that ran, rate over a run of so many seconds, and the 50th and 90th percentile of latency by the decayed histogram, exact to a bin."""
+    counts = frames.groupBy("stream_id").agg(F.count_if(~F.col("skipped")).alias("ran"), F.count_if("skipped").alias("skipped"))
+    weights = decayed_histogram(frames.select(F.col("stream_id").alias("series"), "i", F.col("latency").alias("v")), low, high, base)
+    at = quantiles(weights, [0.5, 0.9], low, high, base).groupBy(F.col("series").alias("stream_id")).agg(F.max(F.when(F.col("p") == 0.5, F.col("quantile"))).alias("p50"), F.max(F.when(F.col("p") == 0.9, F.col("quantile"))).alias("p90"))
+    return counts.join(at, "stream_id").withColumn("fps", F.col("ran") / seconds)
+
+
+def realtime_summary(rates: DataFrame, modes: DataFrame) -> DataFrame:
+    """One row over all streams of stream_rates(): rates, mean percentiles, share of frames skipped, and the share of each performance mode (modes: mode 0 to 2, n)."""
+    shares = modes.agg(*[(F.sum(F.when(F.col("mode") == k, F.col("n")).otherwise(0)) / (F.sum("n") + F.lit(1e-7))).alias(f"mode{k}") for k in range(3)]).withColumn("_one", F.lit(1))
+    skipped = F.sum("skipped") / (F.sum("ran") + F.sum("skipped") + F.lit(1e-7))
+    rows = rates.agg(F.count(F.lit(1)).alias("streams"), F.min("fps").alias("fps_min"), F.max("fps").alias("fps_max"), F.sum("fps").alias("fps_total"), F.avg("fps").alias("fps_mean"), F.avg("p50").alias("p50"), F.avg("p90").alias("p90"), skipped.alias("skipped"))
+    return rows.withColumn("_one", F.lit(1)).join(shares, "_one").drop("_one")

@@ -11,7 +11,7 @@ from sightline.operators import detector
 from sightline.operators.fold import ordered_scan
 from sightline.plans.queries import DET, det, embeddings, q, q6, query
 from sightline.sources import audio, labels, media
-from sightline.sources.shared import written
+from sightline.sources.shared import new_folder, written
 
 
 def events(spark, d) -> DataFrame:
@@ -253,10 +253,13 @@ def wav_scan(spark, d):
 
 @query("SELECT vec_id AS stream_id, sha256('52494646A400000057415645666D74201000000001000100401F0000803E00000200100064617461' || '80000000' || string_agg(substr(h, 3, 2) || substr(h, 1, 2), '' ORDER BY i)) AS digest FROM (SELECT vec_id, i, printf('%04X', (CAST(round_even((greatest(-1::FLOAT, least(1::FLOAT, x::FLOAT)) * 32767::FLOAT)::DOUBLE, 0) AS BIGINT) + 65536) % 65536) AS h FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, 64)) AS i FROM embeddings) t) z GROUP BY vec_id")
 def wav_write(spark, d):
-    """K4: streams of 16 samples a chunk written as files"""
+    """K4: streams of 16 samples a chunk written as files by the sink, and read back"""
     e = embeddings(spark, d).select(F.col("vec_id").alias("stream_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "embedding")
     chunks = e.select("stream_id", F.col("k").cast("long").alias("chunk_no"), F.lit(8000).alias("sample_rate"), F.lit(1).alias("num_channels"), F.slice("embedding", F.col("k") * 16 + 1, F.lit(16)).alias("samples"))
-    return audio.wav_bytes(chunks).select("stream_id", F.sha2(F.hex("wav"), 256).alias("digest"))
+    path = new_folder(spark, "wavs")
+    audio.write_wavs(chunks, path)
+    name = F.regexp_extract("path", "([0-9]+)[.]wav$", 1).cast("long")
+    return media.files_at(spark, path).select(name.alias("stream_id"), F.sha2(F.hex("content"), 256).alias("digest"))
 
 
 @query(f"SELECT vec_id, {q('len(embedding) / 2 / 40.0', 'seconds')} FROM embeddings")

@@ -834,21 +834,82 @@ def nal_classes(spark, d):
     return e.withColumn("kind", nal_class_column(F.when(F.col("event_id") % 2 == 0, H264).otherwise(H265), F.col("b")))
 
 
-@query(f"SELECT vec_id, {q('floor(embedding[1]::DOUBLE * 8192 + 0.5) / 8192', 'x')} FROM embeddings WHERE abs(embedding[1]) >= 0.125 AND abs(embedding[1]) < 0.25 AND (embedding[1]::DOUBLE * 8192) % 1 NOT IN (0.5, -0.5)")
+def _half(x: str) -> str:
+    """The SQL of vectors.half() for a non-null number."""
+    size = f"abs({x}::DOUBLE)"
+    near = f"floor(log2(greatest({size}, {2.0**-30!r}::DOUBLE)))"
+    power = f"(CASE WHEN {size} < pow(2.0::DOUBLE, {near}) THEN {near} - 1 WHEN {size} >= pow(2.0::DOUBLE, {near} + 1) THEN {near} + 1 ELSE {near} END)"
+    step = f"pow(2.0::DOUBLE, greatest({power}, -14) - 10)"
+    return f"(CASE WHEN {size} >= 65520 THEN 'inf'::DOUBLE ELSE round_even({size} / {step}, 0) * {step} END * (CASE WHEN {x} < 0 THEN -1 ELSE 1 END))"
+
+
+#: Elements at scales from below the least subnormal to above the largest half.
+_SCALED = "x::DOUBLE * pow(2.0::DOUBLE, CAST((i * 7 + vec_id) % 44 AS INT) - 26)"
+
+
+@query(f"""WITH e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(0, 64)) AS i FROM embeddings), s AS (SELECT vec_id, i, {_SCALED} AS y FROM e), h AS (SELECT vec_id, i, {_half('y')} AS h FROM s)
+SELECT vec_id, CAST(i AS INT) AS i, CASE WHEN isinf(h) THEN CASE WHEN h > 0 THEN 9000000000000000 ELSE -9000000000000000 END ELSE CAST(h * 16777216 AS BIGINT) END AS steps FROM h""")
 def half_floats(spark, d):
-    """through 16 bits; between 1/8 and 1/4 the step is 1/8192"""
-    e = embeddings(spark, d).withColumn("embedding", v.through_half("embedding"))
-    whole = embeddings(spark, d).where("abs(embedding[0]) >= 0.125 AND abs(embedding[0]) < 0.25 AND (double(embedding[0]) * 8192) % 1 NOT IN (0.5D, -0.5D)").select("vec_id")
-    return e.join(whole, "vec_id", "left_semi").select("vec_id", q6(F.col("embedding")[0].cast("double")).alias("x"))
+    """all elements, at scales from 2**-26 to 2**17, in steps of the least subnormal"""
+    e = embeddings(spark, d).select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    y = F.col("x").cast("double") * F.pow(F.lit(2.0), (((F.col("i") * 7 + F.col("vec_id")) % 44) - 26).cast("double"))
+    h = v.half(y)
+    return e.withColumn("h", h).select("vec_id", "i", F.when(F.col("h") == float("inf"), 9_000_000_000_000_000).when(F.col("h") == -float("inf"), -9_000_000_000_000_000).otherwise((F.col("h") * 16777216).cast("long")).alias("steps"))
 
 
 @query()
 def half_floats_all(spark, d):
-    """F7 on all rows and elements: ties, subnormals and overflow are beyond SQL; tested against numpy"""
+    """F7 on all rows, by Arrow batches; also tested against numpy with ties, subnormals and overflow"""
     e = embeddings(spark, d).withColumn("half", v.through_half("embedding"))
     return e.select("vec_id", "half")
 
 
+_MEET_H = "(greatest(0::FLOAT, least(z.hx1, r.hx1) - greatest(z.hx0, r.hx0)) * greatest(0::FLOAT, least(z.hy1, r.hy1) - greatest(z.hy0, r.hy0)))"
+_WHOLE_H = f"((z.hx1 - z.hx0) * (z.hy1 - z.hy0) + (r.hx1 - r.hx0) * (r.hy1 - r.hy0) - {_MEET_H})"
+_NMS_HALF = _greedy(f"SELECT k, det_id, {_half('conf')} AS hc, " + ", ".join(f"{_half(c)}::FLOAT AS h{c}" for c in g.SIDES) + f" FROM {_DK} e", "hc DESC, det_id", "det_id, hc, hx0, hy0, hx1, hy1", f"{_WHOLE_H} <> 0 AND {_MEET_H} / {_WHOLE_H} > 0.45::FLOAT")
+
+
+@query(_NMS_HALF + f" SELECT k // 8 // 1000000 AS stream_id, k // 8 % 1000000 AS frame_no, CAST(k % 8 AS INT) AS cl, det_id, {q('hc', 'half_conf')} FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY hc DESC, det_id) AS n FROM chosen) t WHERE n <= 3")
+def nms_half(spark, d):
+    """Scores and corners of 16 bits, overlaps without epsilon, three of a class"""
+    return m.suppress_half(det(spark, d), 0.45, most=3).select("stream_id", "frame_no", "cl", "det_id", q6(F.col("half_conf")).alias("half_conf"))
+
+
+_RUN = "(SELECT user_id % 16 AS stream_id, CAST(row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS BIGINT) AS i, value / 250 AS latency, event_id % 7 = 3 AS skipped FROM events)"
+_RATES = f"""WITH r AS {_RUN}, n AS (SELECT stream_id, max(i) AS n FROM r GROUP BY stream_id), h AS (SELECT stream_id, CAST(least(greatest(floor(latency / 0.8::DOUBLE * 40), 0), 39) AS INT) AS bin, sum({1 - _D!r}::DOUBLE * pow({_K10!r}::DOUBLE, n // 10 - i // 10)) AS weight FROM r JOIN n USING (stream_id) GROUP BY stream_id, bin),
+c AS (SELECT stream_id, bin, sum(weight) OVER (PARTITION BY stream_id ORDER BY bin) AS cum, sum(weight) OVER (PARTITION BY stream_id) AS total FROM h),
+p AS (SELECT stream_id, (min(CASE WHEN cum >= 0.5 * total THEN bin END) + 0.5) * (0.8::DOUBLE / 40) AS p50, (min(CASE WHEN cum >= 0.9 * total THEN bin END) + 0.5) * (0.8::DOUBLE / 40) AS p90 FROM c GROUP BY stream_id),
+t AS (SELECT stream_id, count_if(NOT skipped) AS ran, count_if(skipped) AS skipped FROM r GROUP BY stream_id), rates AS (SELECT stream_id, ran, skipped, ran / 20.0::DOUBLE AS fps, p50, p90 FROM t JOIN p USING (stream_id))"""
+
+
+def _rates(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    own = Window.partitionBy(F.col("user_id") % 16).orderBy("event_id")
+    frames = e.withColumn("i", F.row_number().over(own).cast("long")).select((F.col("user_id") % 16).alias("stream_id"), "i", (F.col("value") / 250).alias("latency"), (F.col("event_id") % 7 == 3).alias("skipped"))
+    return s.stream_rates(frames, 20.0, 0.0, 0.8)
+
+
+@query(_RATES + f" SELECT stream_id, CAST(ran AS BIGINT) AS ran, CAST(skipped AS BIGINT) AS skipped, {q('fps', 'fps')}, {q('p50', 'p50')}, {q('p90', 'p90')} FROM rates")
+def stream_latency(spark, d):
+    """A21, A22 of each stream: rate and latency percentiles by decayed histograms of 40 bins, so exact to 0.02"""
+    return _rates(spark, d).select("stream_id", "ran", "skipped", *[q6(F.col(c)).alias(c) for c in ("fps", "p50", "p90")])
+
+
+_MODES = "(SELECT CASE WHEN n / 32.0 < 0.15 THEN 0 WHEN n / 32.0 < 0.3 THEN 1 ELSE 2 END AS mode FROM (SELECT count(*) AS n FROM events GROUP BY event_id // 64, user_id % 16) b)"
+
+
+@query(_RATES + f""", a AS (SELECT count(*) AS streams, min(fps) AS fps_min, max(fps) AS fps_max, sum(fps) AS fps_total, avg(fps) AS fps_mean, avg(p50) AS p50, avg(p90) AS p90, sum(skipped) / (sum(ran) + sum(skipped) + 1e-7) AS skipped FROM rates),
+m AS (SELECT {', '.join(f"count_if(mode = {k}) / (count(*) + 1e-7) AS mode{k}" for k in range(3))} FROM {_MODES} x)
+SELECT CAST(streams AS BIGINT) AS streams, {', '.join(q(c, c) for c in ('fps_min', 'fps_max', 'fps_total', 'fps_mean', 'p50', 'p90', 'skipped', 'mode0', 'mode1', 'mode2'))} FROM a, m""")
+def realtime_rollup(spark, d):
+    """Over all streams, with the shares of the performance modes that loads of batches give"""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    batches = e.groupBy(F.floor(F.col("event_id") / 64).alias("f"), (F.col("user_id") % 16).alias("k")).agg(F.count(F.lit(1)).alias("b"))
+    modes = batches.select(s.performance_mode(F.col("b") / 32.0).alias("mode")).groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
+    out = s.realtime_summary(_rates(spark, d), modes)
+    return out.select("streams", *[q6(F.col(c)).alias(c) for c in out.columns if c != "streams"])
+
+
 # trackers, audio features, streams
 
 

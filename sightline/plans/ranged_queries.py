@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.functions import geometry as g
 from sightline.plans.media_queries import _NAL_SQL, _PCAP, _captured, _rtp, _udp, embeddings, events, hexed, little, text_hex
-from sightline.plans.queries import ORACLE, clock, det, q6, query
-from sightline.sources import ranged, sinks
+from sightline.plans.queries import DET, ORACLE, clock, det, q, q6, query
+from sightline.sources import labels, ranged, sinks
 from sightline.sources.shared import new_folder
 
 
@@ -89,7 +90,6 @@ def wav_ranges(spark, d):
 @query(ORACLE["best_shot"])
 def stream_best_shot(spark, d):
     """R15 on transformWithState: shots of a stream of detections, in four micro-batches"""
-    from sightline.functions import geometry as g
     from sightline.operators import steps
     from sightline.streaming import drivers, states
 
@@ -132,3 +132,18 @@ def mp4_files(spark, d):
     path = new_folder(spark, "movies")
     mp4.write_mp4(units, path)
     return _named(mp4.read_mp4(spark, path, 8192, backBytes=4096)).select("path", "fragment_no", "sample_no", "decode_time", "duration", "key", F.hex("data").alias("data"))
+
+
+@query(f"""SELECT 's' || stream_id || '.yaml' AS path, frame_no, {q('frame_no * 0.5', 't')}, det_id AS gt_id, CAST(cl AS VARCHAR) AS cl, {q('conf', 'conf')}, {', '.join(q(c, c) for c in g.SIDES)} FROM {DET} d""")
+def trackset_yaml(spark, d):
+    """Track files in YAML, a frame a row while they are written, read in ranges of 16 KB; frames without objects are kept in number"""
+    item = F.concat(F.lit("    '"), F.col("det_id").cast("string"), F.lit("':\n      box: ["), F.array_join(F.array(*[F.col(c).cast("string") for c in g.SIDES]), ", "), F.lit("]\n      class: "), F.col("cl").cast("string"), F.lit("\n      conf: "), F.col("conf").cast("string"), F.lit("\n"))
+    frames = det(spark, d).groupBy("stream_id", "frame_no").agg(F.array_join(F.sort_array(F.collect_list(item)), "").alias("objects"))
+    last = frames.groupBy("stream_id").agg(F.max("frame_no").alias("last"))
+    every = last.select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("frame_no")).join(frames, ["stream_id", "frame_no"], "left")
+    text = F.concat(F.lit("- frame_time: "), (F.col("frame_no") * 0.5).cast("string"), F.lit("\n  objects:"), F.coalesce(F.concat(F.lit("\n"), F.col("objects")), F.lit(" {}\n")))
+    heads = last.select("stream_id", F.lit(-1).cast("long").alias("place"), F.lit("metadata:\n  classes: [person]\n  frame_rate: 2\n  width: 1\n  height: 1\n  original_video: v\nframes:\n").alias("text"))
+    rows = every.select("stream_id", F.col("frame_no").alias("place"), text.alias("text")).unionByName(heads)
+    path = _written(rows, F.concat(F.lit("s"), F.col("stream_id").cast("string"), F.lit(".yaml")), "place", F.hex(F.encode("text", "UTF-8")), "yaml")
+    out = _named(labels.read_yaml_trackset(spark, path, 16 << 10))
+    return out.select("path", "frame_no", q6(F.col("t")).alias("t"), "gt_id", "cl", q6(F.col("conf")).alias("conf"), *[q6(F.col(c)).alias(c) for c in g.SIDES])

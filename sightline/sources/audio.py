@@ -86,6 +86,32 @@ def wav_bytes(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("stream_id").applyInArrow(run, "stream_id long, wav binary")
 
 
+def write_wavs(chunks: DataFrame, folder: str) -> None:
+    """A file for each stream, <stream_id>.wav, of its chunks in order. The head needs the size of all, a pre-aggregated sum; samples are written as they come, so no task holds a stream."""
+    from pyspark.sql import functions as F
+
+    from sightline.sources import sinks
+
+    name = F.concat(F.col("stream_id").cast("string"), F.lit(".wav"))
+
+    def pcm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [write_wav(1, 1, np.array(x, np.float32))[44:] for x in batch.column("samples").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("place"), pa.array(data, pa.binary())], ["name", "place", "data"])
+
+    body = chunks.select(name.alias("name"), F.col("chunk_no").cast("long").alias("place"), "samples").mapInArrow(pcm, "name string, place long, data binary")
+    sizes = chunks.groupBy("stream_id").agg(F.min_by("sample_rate", "chunk_no").alias("rate"), F.min_by("num_channels", "chunk_no").alias("channels"), F.sum(F.size("samples")).alias("n"))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            made = [struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + 2 * r["n"], b"WAVE", b"fmt ", 16, 1, r["channels"], r["rate"], r["rate"] * r["channels"] * 2, r["channels"] * 2, 16, b"data", 2 * r["n"]) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array([-1] * len(rows), pa.int64()), pa.array(made, pa.binary())], ["name", "place", "data"])
+
+    head = sizes.select(name.alias("name"), "rate", "channels", "n").mapInArrow(heads, "name string, place long, data binary")
+    sinks.write_files(head.unionByName(body), folder, ["place"])
+
+
 def resample(x: np.ndarray, rate: int, to: int, taps: int = 32) -> np.ndarray:
     """Mono samples at another rate, by a Hann-windowed sinc."""
     if rate == to or not len(x):

@@ -46,6 +46,16 @@ def read_trackset(spark: SparkSession, path: str) -> DataFrame:
     return each.select("frame_no", "t", F.col("id").cast("long").alias("gt_id"), F.col("o.class").alias("cl"), F.coalesce("o.conf", F.lit(1.0)).alias("conf"), *box)
 
 
+def read_yaml_trackset(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """The same rows from track files in block-style YAML, and their path: read in byte ranges, a frame at a time, so that a stream's file is no row. Frames are numbered along the file."""
+    from sightline.sources import ranged
+    from sightline.sources.yaml_tracks import YamlTracks
+
+    frames = ranged.loaded(spark, YamlTracks, path, range_bytes or ranged.RANGE_BYTES)
+    each = ranged.numbered(frames, "_n").select("path", (F.col("_n") - 1).alias("frame_no"), F.col("t"), F.explode("objects").alias("o"))
+    return each.select("path", "frame_no", "t", *[F.col(f"o.{c}") for c in ("gt_id", "cl", "conf", "x0", "y0", "x1", "y1")])
+
+
 def read_prompts(spark: SparkSession, path: str, dim: int = 1024) -> DataFrame:
     return prompt_rows(spark.read.format("binaryFile").load(path), dim)
 
