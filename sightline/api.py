@@ -11,6 +11,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,7 @@ from sightline.functions import geometry as g
 from sightline.functions import pixels
 from sightline.operators import detector, matching
 from sightline.operators.pipeline import stats, track_streams
-from sightline.operators.steps import NoiseFloor
+from sightline.operators.steps import NoiseFloor, RtpReceiver
 from sightline.operators.trackers import AssociationTracker, BoxFilter, CascadeTracker, frames_of
 from sightline.sources import media
 
@@ -139,19 +140,16 @@ class MotionTracker:
 
 
 class PcapDecoder:
-    """Access units of a capture, one at a time. Pictures need a decoder, which does not come with the library."""
+    """Access units of a capture, one at a time, by way of the receiver: late and repeated packets, lost ones and times that wrap are dealt with as in streams. Pictures need a decoder, which does not come with the library."""
 
     def __init__(self, data: bytes):
         sdp = media.pcap_sdp(data)
         codec = media.H265 if sdp and "H265" in sdp else media.H264
         want = media.receiver_config([m for m in media.parse_sdp(sdp) if m["kind"] == "video"]) if sdp else None
-        packets = [h for p in media.pcap_rtp(data) if (h := media.rtp_header(p["data"])) and (want is None or h["pt"] == want["pt"])]
-        by_time: dict[int, list[dict]] = {}
-        for h in packets:
-            by_time.setdefault(h["ts32"], []).append(h)
-        key = lambda h: (h["seq16"] - packets[0]["seq16"] + 32768) % 65536
-        units = ((t, media.depacketized(codec, [h["payload"] for h in sorted(hs, key=key)])[0]) for t, hs in by_time.items())
-        self._units = iter([{"ts90k": t, "nals": nals} for t, nals in units if nals])
+        receiver = RtpReceiver(codec)
+        packets = (h for p in media.pcap_rtp(data) if (h := media.rtp_header(p["data"])) and (want is None or h["pt"] == want["pt"]))
+        units = chain(chain.from_iterable(map(receiver.push, packets)), receiver.end())
+        self._units = ({"ts90k": u["ts64"], "nals": media.split_annexb(u["data"]), "complete": u["complete"]} for u in units if u["n_nals"])
 
     def get_frame(self) -> dict | None:
         return next(self._units, None)
@@ -192,6 +190,24 @@ class TrackStream:
         frames = images.select("stream_id", "frame_no", "t").join(frames_of(found, ["reid", "pose_points"]).drop("t"), ["stream_id", "frame_no"], "left")
         return self.run(frames.withColumn("area", F.lit(None).cast("double")))
 
+    def run_on_individual_images(self, images: DataFrame, load: Callable, md: ModelDescription, cfg: InferConfig, width: float, height: float) -> DataFrame:
+        """The pipeline in single-frame mode: every picture on its own, with no limit of rate, no gate and no memory of others."""
+        found = detector.infer(images, load, md, cfg, width, height).join(images.select("stream_id", "frame_no", "t"), ["stream_id", "frame_no"])
+        frames = images.select("stream_id", "frame_no", "t").join(frames_of(found, ["reid", "pose_points"]).drop("t"), ["stream_id", "frame_no"], "left")
+        out = track_streams(frames.withColumn("area", F.lit(None).cast("double")), 0.0, lambda: CascadeTracker(single=True))
+        self._results.append(out)
+        return out
+
+    def run_on_video_file(self, spark: SparkSession, path: str, decode: Callable, load: Callable, md: ModelDescription, cfg: InferConfig, width: float, height: float, fps: float | None = None) -> DataFrame:
+        """The pipeline over files (captures by the receiver, any other as Annex-B). decode: a user's decoder, units (path, au_no, ts90k, key, data) to pictures (path, frame_no, t and what the model reads). A file is a stream, numbered by its path."""
+        units = media.read_media(spark, path)
+        pictures = decode(units)
+        names = pictures.select("path").distinct().withColumn("stream_id", F.xxhash64("path"))
+        images = pictures.join(names, "path")
+        if fps:
+            images = images.withColumn("t", F.col("frame_no") / fps)
+        return self.run_on_images(images, load, md, cfg, width, height)
+
     def set_frame_intervals(self, min_interval: float) -> None:
         self.min_dt = min_interval
 

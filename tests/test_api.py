@@ -49,6 +49,47 @@ def test_pcap_decoder():
     assert [d.get_frame()["nals"], d.get_frame()["nals"], d.get_frame()] == [[b"\x67a", b"\x65b"], [b"\x41c"], None]
 
 
+def test_pcap_decoder_sorts_and_tells_losses():
+    data = pcap_of_units([[b"\x67a", b"\x65b"], [b"\x41c", b"\x41d"], [b"\x41e"], [b"\x41f"], [b"\x41g"], [b"\x41h"], [b"\x41i"]])
+    head, records, at = data[:24], [], 24
+    while at < len(data):
+        n = 16 + int.from_bytes(data[at + 8 : at + 12], "little")
+        records.append(data[at : at + n])
+        at += n
+    frames = lambda some: [(f["ts90k"], f["nals"], f["complete"]) for f in iter(api.PcapDecoder(head + b"".join(some)).get_frame, None)]
+    whole = frames(records)
+    assert [f[1] for f in whole] == [[b"\x67a", b"\x65b"], [b"\x41c", b"\x41d"], [b"\x41e"], [b"\x41f"], [b"\x41g"], [b"\x41h"], [b"\x41i"]]
+    # out of order, and one twice
+    assert frames([records[k] for k in (0, 2, 1, 1, 4, 3, 5, 6, 8, 7)]) == whole
+    lost = frames(records[:3] + records[4:])
+    assert [f[1] for f in lost][:2] == [[b"\x67a", b"\x65b"], [b"\x41c"]] and not all(f[2] for f in lost)
+
+
+def test_individual_images_and_video_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sightline.config import InferConfig, ModelDescription
+
+    def seen_by(image):
+        def model(batch):
+            at = np.array([[50], [50], [40], [60], [0.9]], np.float32)
+            return [at if image(f) else at * 0 for f in batch["frame_no"]]
+
+        return model
+
+    md, cfg = ModelDescription(("person",)), InferConfig(det_thr=0.5)
+    images = spark.createDataFrame([(1, k, k * 0.2) for k in range(4)], "stream_id long, frame_no long, t double")
+    s = api.TrackStream(api.TrackSharedState({"min_interval": 10.0}))
+    rows = {r.frame_no: r for r in s.run_on_individual_images(images, lambda: seen_by(lambda f: f != 2), md, cfg, 100, 100).collect()}
+    assert [[(t.state, t.det_id is not None) for t in rows[k].tracks] for k in range(4)] == [[("tracked", True)], [("tracked", True)], [], [("tracked", True)]]
+    assert len({rows[k].tracks[0].track_id for k in (0, 1, 3)}) == 3
+    (tmp_path / "a_10fps.264").write_bytes(b"\0\0\0\1\x65\x88" * 5)
+    s = api.TrackStream(api.TrackSharedState())
+    decode = lambda units: units.select("path", F.col("au_no").alias("frame_no"), (F.col("ts90k") / 90_000).alias("t"))
+    out = s.run_on_video_file(spark, f"{tmp_path}/a_10fps.264", decode, lambda: seen_by(lambda f: True), md, cfg, 100, 100).orderBy("frame_no").collect()
+    assert [(r.frame_no, round(r.t, 6), len(r.tracks)) for r in out] == [(k, k / 10, 1) for k in range(5)] and len({r.tracks[0].track_id for r in out}) == 1
+
+
 def test_stream(spark):
     s = api.TrackStream(api.TrackSharedState({"min_interval": 0.1}), {"tracker": "association"}, "door")
     rows = [(1, k, k * 0.2, None, [(k, 0, 0.9, 0.1, 0.1, 0.3, 0.5)]) for k in range(5)]
