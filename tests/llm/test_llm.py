@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from sightline.llm import decontam, minhash, packing, quality, repeats, secret_scan, sharding, substring_dedup, suffix_dedup, token_files, toxicity
+from sightline.llm import decontam, minhash, packing, quality, queries, repeats, secret_scan, sharding, substring_dedup, suffix_dedup, token_files, toxicity
 from sightline.llm._common import new_path
 from sightline.llm.components import components
 from sightline.llm.tokens import Encoder
@@ -363,6 +363,26 @@ def test_planted_keys_without_a_base_pattern_are_found(spark):
     assert all(len(found & set(v)) >= 0.9 * len(v) for v in keys.values()) and found <= set(planted)
 
 
+def test_the_query_finds_planted_keys(spark, tmp_path):
+    rng = random.Random(15)
+    keys = {k: ["".join(rng.choices(a, k=48 if k == "base64" else 72)) for _ in range(60)] for k, a in ENCODINGS.items()}
+    planted = [x for v in keys.values() for x in v]
+    rows = [(i, prose(rng, rng.randrange(3, 60)) + (f" {planted[i]} " if i < len(planted) else " ") + prose(rng, 9) + (" password = hunter2hunter2" if i % 11 == 0 else "")) for i in range(900)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found, n = collections.Counter(), 0
+    for r in queries.op8_secret_scan(spark, str(tmp_path)).collect():
+        text = rows[r.doc_id][1]
+        each = [x.split(":") for x in r.spans.split(",") if x]
+        # base spans are those of plain Python, whatever the battery adds
+        assert [(k, int(a), int(b)) for k, a, b in each if k != "random"] == spans(text)
+        for k, a, b in each:
+            if k == "random":
+                n += 1
+                found.update(e for e, v in keys.items() if text[int(a) : int(b)] in v)
+    # of keys without a base pattern nine in ten are found, and nothing else
+    assert all(found[e] >= 54 for e in keys) and n == sum(found.values())
+
+
 def test_secrets_of_a_text_with_many_matches(spark):
     text = " ".join(f"é{k} deadbeef{k:08x}cafe" for k in range(1500)) + " token=abcdefghijkl" * 600
     table = spark.createDataFrame([(1, text)], "doc_id long, text string")
