@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm._common import as_bytes, slices, staged, table
+from sightline.llm._common import as_bytes, few, slices, staged, table
 from sightline.llm.components import components
 from sightline.llm.decontam import TO_WORDS
 from sightline.llm.words import mix, word_hashes
@@ -113,7 +113,7 @@ def _signed(bands: int, rows: int):
         return key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(few(batches), "text", 2 << 20):
             texts = as_bytes(batch.column("text"))
             doc, h, count = shingles(texts)
             n = np.bincount(doc, minlength=len(texts))
@@ -144,7 +144,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(few(batches), "text", 2 << 20):
         texts = as_bytes(batch.column("text"))
         doc, h, _ = shingles(texts)
         ends = np.append(0, np.cumsum(np.bincount(doc, minlength=len(texts)))).astype(np.int32)

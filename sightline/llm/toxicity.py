@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm._common import as_bytes
+from sightline.llm._common import as_bytes, few
 from sightline.llm.decontam import words_of
 from sightline.llm.tokens import _Memory
 
@@ -331,7 +331,7 @@ def _scored(model: Broadcast, names: list[str], spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         memory = m.memory()
-        for batch in batches:
+        for batch in few(batches):
             scores, offending = [], []
             for text in as_bytes(batch.column("text")):
                 score, places = m.score(emissions(memory, words_of(text)))
