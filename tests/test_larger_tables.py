@@ -21,7 +21,7 @@ def put_events(spark, folder, rows):
     spark.createDataFrame([(i, u, "click", 1.0) for i, u in rows], "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
 
 
-@pytest.mark.parametrize("name", ["best_shot"])
+@pytest.mark.parametrize("name", ["best_shot", "stream_best_shot"])
 def test_shots_at_the_bar(spark, tmp_path, name):
     """A shot of exactly 1.2 times the last one: the product's rounding decides, so both sides multiply in one order."""
     put_events(spark, tmp_path, [(700_000 + i, 11_359) for i in [196, 270, 2616, 2908, 2953, 4444, 5296, 6165, 7512, 8834, 11658, 11718, 12554, 14312, 14723, 22293, 22511, 23503, 24762, 25530, 25884, 26021, 26540, 30001, 31522, 32387, 33581, 35816, 37735, 37781, 40261, 42234, 44664, 46582, 47638, 48720, 49661, 49690, 49838, 50395, 51659, 52666, 53811, 56873, 58316, 64395, 65525, 66907, 66950, 69175, 69924, 70132, 70999, 71792, 74274, 74424, 75554, 76239, 77477, 81019, 82715, 84609, 86284, 86372, 86840, 86944, 88735, 90273, 92356, 92417, 94707, 95895, 97482, 97909, 98338, 99704]])
