@@ -199,7 +199,9 @@ def predicted_box(b, flow, w: int, h: int):
         x, y = b["x0"] * fx + b["x1"] * (1 - fx), b["y0"] * fy + b["y1"] * (1 - fy)
         cell = lambda v, n: F.least(F.lit(n - 1), F.greatest(F.lit(0), (v * n + 0.5).cast("int")))
         vx, vy = flow(cell(x, w), cell(y, h))
-        dx, dy = dx + weight * vx / (4.0 * 32.0 * w), dy + weight * vy / (4.0 * 32.0 * h)
+        dx, dy = dx + weight * vx, dy + weight * vy
+    # weights are eighths, so the sums are exact in any order; one division rounds
+    dx, dy = dx / (4.0 * 32.0 * w), dy / (4.0 * 32.0 * h)
     clip = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
     return {"x0": clip(b["x0"] - dx), "y0": clip(b["y0"] - dy), "x1": clip(b["x1"] - dx), "y1": clip(b["y1"] - dy)}
 

@@ -27,3 +27,23 @@ def test_shots_at_the_bar(spark, tmp_path, name):
     put_events(spark, tmp_path, [(700_000 + i, 11_359) for i in [196, 270, 2616, 2908, 2953, 4444, 5296, 6165, 7512, 8834, 11658, 11718, 12554, 14312, 14723, 22293, 22511, 23503, 24762, 25530, 25884, 26021, 26540, 30001, 31522, 32387, 33581, 35816, 37735, 37781, 40261, 42234, 44664, 46582, 47638, 48720, 49661, 49690, 49838, 50395, 51659, 52666, 53811, 56873, 58316, 64395, 65525, 66907, 66950, 69175, 69924, 70132, 70999, 71792, 74274, 74424, 75554, 76239, 77477, 81019, 82715, 84609, 86284, 86372, 86840, 86944, 88735, 90273, 92356, 92417, 94707, 95895, 97482, 97909, 98338, 99704]])
     got, want = both(spark, name, tmp_path, "events")
     assert got == want
+
+
+def test_moved_boxes_have_exact_sums(spark):
+    """Five weighted flows are added exactly and divided once, so the order of the sum, which SQL leaves open, does not matter."""
+    from pyspark.sql import functions as F
+
+    from sightline.functions import geometry as g
+    from sightline.operators import series
+
+    flow = lambda x, y: (F.pmod(x * 37 + y * 11, F.lit(201)) - 100, F.pmod(x * 17 + y * 29, F.lit(201)) - 100)
+    corners = np.random.default_rng(3).uniform(0.3, 0.6, (500, 4)) * [0, 0, 1, 1]
+    boxes = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(corners)], "i int, x0 double, y0 double, x1 double, y1 double")
+    got = boxes.select("i", *[c.alias(f"to_{s}") for s, c in series.predicted_box(g.box(), flow, 80, 45).items()]).collect()
+    for r in got:
+        x0, y0, x1, y1 = map(float, corners[r.i])
+        eighths = 0
+        for fx, fy, n in ((0.5, 0.5, 4), (0.35, 0.5, 1), (0.65, 0.5, 1), (0.5, 0.35, 1), (0.5, 0.65, 1)):
+            ix, iy = int((x0 * fx + x1 * (1 - fx)) * 80 + 0.5), int((y0 * fy + y1 * (1 - fy)) * 45 + 0.5)
+            eighths += n * ((ix * 37 + iy * 11) % 201 - 100)
+        assert r.to_x0 == min(1.0, max(0.0, x0 - eighths / 8 / 10240.0))
