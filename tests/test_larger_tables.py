@@ -47,3 +47,10 @@ def test_moved_boxes_have_exact_sums(spark):
             ix, iy = int((x0 * fx + x1 * (1 - fx)) * 80 + 0.5), int((y0 * fy + y1 * (1 - fy)) * 45 + 0.5)
             eighths += n * ((ix * 37 + iy * 11) % 201 - 100)
         assert r.to_x0 == min(1.0, max(0.0, x0 - eighths / 8 / 10240.0))
+
+
+def test_no_resampled_value_is_left_out(spark, tmp_path):
+    x = np.random.default_rng(4).normal(size=(3000, 64)).astype(np.float32)
+    spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = both(spark, "resampled_audio", tmp_path, "embeddings")
+    assert len(got) == 3000 * 48 and got == want
