@@ -55,7 +55,7 @@ def length_prefixed_ranges(spark, d):
 
 
 @query("""SELECT 'capture' || event_id // 2500 || '.pcap' AS path, row_number() OVER (PARTITION BY event_id // 2500 ORDER BY event_id) AS arrival_no, CAST((1000 + event_id) * 1000000 + event_id * 7 % 1000000 AS BIGINT) AS capture_us, CAST(5000 + event_id % 4 AS INT) AS port,
-'8060' || printf('%04X', event_id * 3 % 65536) || printf('%08X', event_id * 3000) || '00000007' || 'AABB' || printf('%02X', event_id % 256) AS data FROM events WHERE event_id % 6 <> 5""")
+'8060' || printf('%04X', event_id * 3 % 65536) || printf('%08X', event_id * 3000 % 4294967296) || '00000007' || 'AABB' || printf('%02X', event_id % 256) AS data FROM events WHERE event_id % 6 <> 5""")
 def pcap_ranges(spark, d):
     """Long captures in ranges of 32 KB; a range begins with a chain of record heads, and packets are numbered by a count a range"""
     i = F.col("event_id")

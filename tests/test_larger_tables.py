@@ -54,3 +54,11 @@ def test_no_resampled_value_is_left_out(spark, tmp_path):
     spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got, want = both(spark, "resampled_audio", tmp_path, "embeddings")
     assert len(got) == 3000 * 48 and got == want
+
+
+@pytest.mark.parametrize("name", ["pcap_ranges"])
+def test_packet_times_wrap(spark, tmp_path, name):
+    """event_id * 3000 beyond 32 bits: a packet's time is its last 32."""
+    put_events(spark, tmp_path, [(1_431_600 + i, 7) for i in range(200)])
+    got, want = both(spark, name, tmp_path, "events")
+    assert got == want and len(got) > 100
