@@ -56,7 +56,7 @@ def test_no_resampled_value_is_left_out(spark, tmp_path):
     assert len(got) == 3000 * 48 and got == want
 
 
-@pytest.mark.parametrize("name", ["pcap_ranges"])
+@pytest.mark.parametrize("name", ["pcap_ranges", "pcap_scan"])
 def test_packet_times_wrap(spark, tmp_path, name):
     """event_id * 3000 beyond 32 bits: a packet's time is its last 32."""
     put_events(spark, tmp_path, [(1_431_600 + i, 7) for i in range(200)])
