@@ -41,6 +41,10 @@ CHAIN = 16
 BACK_BYTES = 1 << 20
 #: Bytes read at a time, and rows of a batch.
 READ_BYTES, BATCH = 1 << 20, 1024
+#: Bytes of a file's head that stay in memory beside the piece that is read.
+HEAD_BYTES = 4096
+#: Tasks of a read whose ranges are small: beyond so many, neighbouring ranges share one, of RANGE_BYTES at most.
+MOST_TASKS = 192
 
 
 def store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -70,25 +74,37 @@ class Bytes:
         self.file = fs.open_input_file(at)
         self.size = self.file.size()
         self._start, self._held = 0, b""
+        self._head: bytes | None = None
 
     def at(self, start: int, n: int) -> bytes:
         """n bytes from start on, fewer at the end of the file."""
         end = min(self.size, start + n)
+        if end <= HEAD_BYTES and not (self._start <= start and end <= self._start + len(self._held)):
+            if self._head is None:
+                self._head = self.file.read_at(min(self.size, HEAD_BYTES), 0)
+            return self._head[start:end]
         if start < self._start or end > self._start + len(self._held):
-            self._held = self.file.read_at(min(self.size - start, max(n, READ_BYTES)), start) if start < self.size else b""
-            self._start = start
+            self._load(start, n)
         return self._held[start - self._start : end - self._start]
 
+    def _load(self, start: int, n: int) -> None:
+        self._held = self.file.read_at(min(self.size - start, max(n, READ_BYTES)), start) if start < self.size else b""
+        self._start = start
+
     def find(self, what: bytes, start: int, end: int) -> int:
         """Where `what` first begins from start to before end; -1 if nowhere."""
-        while start < min(end, self.size):
-            piece = self.at(start, READ_BYTES + len(what) - 1)
-            found = piece.find(what)
+        end = min(end, self.size)
+        while start < end:
+            # a piece is looked through where it lies, and read once for all finds in it
+            if start < self._start or start + len(what) > self._start + len(self._held):
+                self._load(start, READ_BYTES)
+            found = self._held.find(what, start - self._start, end - self._start + len(what) - 1)
             if found >= 0:
-                return start + found if start + found < end else -1
-            if start + len(piece) >= self.size:
+                return self._start + found
+            held = self._start + len(self._held)
+            if held >= self.size:
                 return -1
-            start += max(1, len(piece) - len(what) + 1)
+            start = max(start + 1, held - len(what) + 1)
         return -1
 
 
@@ -97,21 +113,46 @@ class FileRange(InputPartition):
         self.path, self.number, self.start, self.end, self.size = path, number, start, end, size
 
 
+class FileRanges(InputPartition):
+    """The ranges of a task, neighbours along their files."""
+
+    def __init__(self, ranges: list[FileRange]):
+        self.ranges = ranges
+
+
+def packed(ranges: list[FileRange]) -> list[FileRanges]:
+    """Ranges dealt to tasks in order: one each if they are few, else as many a task as keep tasks at about MOST_TASKS, up to RANGE_BYTES (a larger range is alone)."""
+    most = 0 if len(ranges) <= MOST_TASKS else min(RANGE_BYTES, -(-sum(max(1, r.end - r.start) for r in ranges) // MOST_TASKS))
+    out: list[FileRanges] = []
+    held = 0
+    for r in ranges:
+        n = max(1, r.end - r.start)
+        if not out or held + n > most:
+            out.append(FileRanges([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += n
+    return out
+
+
 class RangeReader(DataSourceReader):
     def __init__(self, source: RangedSource, schema: StructType):
         self.source, self.schema = source, to_arrow_schema(schema)
 
-    def partitions(self) -> list[FileRange]:
+    def partitions(self) -> list[FileRanges]:
         each = int(self.source.options.get("rangebytes", RANGE_BYTES))
-        return [FileRange(path, i, start, min(size, start + each), size) for path, size in listed(self.source.options["path"], self.source.suffix) for i, start in enumerate(range(0, max(size, 1), each))]
-
-    def read(self, part: FileRange) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for k, row in enumerate(self.source.rows(Bytes(part.path), part)):
-            rows.append((part.path, part.number, k, *row))
-            if len(rows) == BATCH:
-                yield self._batch(rows)
-                rows = []
+        return packed([FileRange(path, i, start, min(size, start + each), size) for path, size in listed(self.source.options["path"], self.source.suffix) for i, start in enumerate(range(0, max(size, 1), each))])
+
+    def read(self, task: FileRanges) -> Iterator[pa.RecordBatch]:
+        rows, now, file = [], None, None
+        for part in task.ranges:
+            if part.path != now:
+                now, file = part.path, Bytes(part.path)
+            for k, row in enumerate(self.source.rows(file, part)):
+                rows.append((part.path, part.number, k, *row))
+                if len(rows) == BATCH:
+                    yield self._batch(rows)
+                    rows = []
         if rows:
             yield self._batch(rows)
 
@@ -324,6 +365,13 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
     return within.join(before, ["path", "range_no"]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
 
 
+def placed(rows: DataFrame, name: str) -> DataFrame:
+    """As numbered(), for all rows of a source: their place in the range is known, so only counts of ranges are shuffled."""
+    counts = rows.groupBy("path", "range_no").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("path", "range_no", F.coalesce(F.sum("_n").over(Window.partitionBy("path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(before, ["path", "range_no"]).withColumn(name, F.col("place") + 1 + F.col("_before")).drop("_before")
+
+
 def pcap_packets(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, **options) -> DataFrame:
     """RTP packets of captures: path, arrival_no, capture_us, port, data."""
     rows = loaded(spark, Pcap, path, range_bytes, **options)

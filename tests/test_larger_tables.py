@@ -62,3 +62,21 @@ def test_packet_times_wrap(spark, tmp_path, name):
     put_events(spark, tmp_path, [(1_431_600 + i, 7) for i in range(200)])
     got, want = both(spark, name, tmp_path, "events")
     assert got == want and len(got) > 100
+
+
+def test_small_ranges_share_tasks_and_reads(spark, tmp_path, monkeypatch):
+    """Tasks don't grow with the number of ranges, and a record's search reads no piece again."""
+    from sightline.sources import ranged
+
+    data = b"".join(b"\0\0\1\x41" + bytes([1 + i % 200]) * 20 for i in range(4000))
+    (tmp_path / "v.264").write_bytes(data)
+    df = ranged.loaded(spark, ranged.AnnexB, str(tmp_path), 16)
+    assert df.rdd.getNumPartitions() < 2 * ranged.MOST_TASKS
+    assert [r.offset for r in df.orderBy("path", "range_no", "place").collect()] == [24 * i for i in range(4000)]
+    read = []
+    file = ranged.Bytes(str(tmp_path / "v.264"))
+    real = file.file
+    file.file = type("Counted", (), {"read_at": lambda self, n, at: read.append(n) or real.read_at(n, at)})()
+    ranges = [ranged.FileRange("v", i, a, min(a + 16, len(data)), len(data)) for i, a in enumerate(range(0, len(data), 16))]
+    found = [nal for r in ranges for _, nal in ranged.AnnexB({}).rows(file, r)]
+    assert len(found) == 4000 and sum(read) <= 2 * len(data)
