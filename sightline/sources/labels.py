@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of track files, and how many of them a batch has before it goes on.
+FRAME_SCHEMA = pa.schema([("path", pa.string()), ("frame_no", pa.int64()), ("t", pa.float64()), ("gt_id", pa.int64()), ("cl", pa.string()), *((c, pa.float64()) for c in ("conf", "x0", "y0", "x1", "y1"))])
+MOST_OBJECTS = 4096
 #: Most rows that a label file gives.
 MOST_LABELS = 300
 
@@ -36,8 +39,13 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_trackset(spark: SparkSession, path: str) -> DataFrame:
-    """Long rows of ground-truth track files (JSON: metadata, frames with a time and objects by id)."""
+def read_trackset(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """Long rows of ground-truth track files (JSON: metadata, frames with a time and objects by id). With range_bytes, in ranges, a frame at a time, for files whose frames begin with their time; their path comes first."""
+    if range_bytes:
+        from sightline.sources import ranged
+        from sightline.sources.json_tracks import JsonTracks, parsed
+
+        return _frames(ranged.loaded(spark, JsonTracks, path, range_bytes), parsed)
     schema = "metadata struct<classes: array<string>, frame_rate: double, width: int, height: int, original_video: string>, frames array<struct<frame_time: double, objects: map<string, struct<box: array<double>, class: string, conf: double>>>>"
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
     frames = raw.select("metadata", F.posexplode("frames").alias("frame_no", "f"))
@@ -49,11 +57,28 @@ def read_trackset(spark: SparkSession, path: str) -> DataFrame:
 def read_yaml_trackset(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
     """The same rows from track files in block-style YAML, and their path: read in byte ranges, a frame at a time, so that a stream's file is no row. Frames are numbered along the file."""
     from sightline.sources import ranged
-    from sightline.sources.yaml_tracks import YamlTracks
+    from sightline.sources.yaml_tracks import YamlTracks, parsed
+
+    return _frames(ranged.loaded(spark, YamlTracks, path, range_bytes or ranged.RANGE_BYTES), parsed)
 
-    frames = ranged.loaded(spark, YamlTracks, path, range_bytes or ranged.RANGE_BYTES)
-    each = ranged.numbered(frames, "_n").select("path", (F.col("_n") - 1).alias("frame_no"), F.col("t"), F.explode("objects").alias("o"))
-    return each.select("path", "frame_no", "t", *[F.col(f"o.{c}") for c in ("gt_id", "cl", "conf", "x0", "y0", "x1", "y1")])
+
+def _frames(texts: DataFrame, parsed: Callable[[bytes], tuple[float, list[dict]]]) -> DataFrame:
+    """Long rows of the frames (path, range_no, place, frame as text) of track files. Frames are counted before they are parsed, so that each is parsed once."""
+    from sightline.sources import ranged
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, n, text in zip(*(batch.column(c).to_pylist() for c in ("path", "_n", "frame")), strict=True):
+                t, objects = parsed(text)
+                rows += [{"path": path, "frame_no": n - 1, "t": t, **o} for o in objects]
+                if len(rows) >= MOST_OBJECTS:
+                    yield pa.RecordBatch.from_pylist(rows, FRAME_SCHEMA)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, FRAME_SCHEMA)
+
+    return ranged.placed(texts, "_n").select("path", "_n", "frame").mapInArrow(run, "path string, frame_no long, t double, gt_id long, cl string, conf double, x0 double, y0 double, x1 double, y1 double")
 
 
 def read_prompts(spark: SparkSession, path: str, dim: int = 1024) -> DataFrame:
