@@ -31,6 +31,17 @@ def _plain(x):
     return {k: _plain(v) for k, v in x.items()} if isinstance(x, dict) else x
 
 
+#: Rows of a key that are Python objects at a time.
+SLICE = 2048
+
+
+def pushed(step: Step, frame: pd.DataFrame) -> Iterator[list[dict]]:
+    """What a step returns for a key's rows in order, a slice of them at a time: a micro-batch stays in columns but for the slice."""
+    for at in range(0, len(frame), SLICE):
+        part = frame.iloc[at : at + SLICE]
+        yield [r for row in part.astype(object).where(part.notna(), None).to_dict("records") for r in step.push(_plain(row))]
+
+
 def stateful(stream: DataFrame, keys: list[str], order: list[str], make: Callable[[], Step], schema: str, idle_ms: int = 0) -> DataFrame:
     """What the steps return; a key idle for idle_ms is ended and forgotten (0: never)."""
     names = _parse_datatype_string(schema).names
@@ -39,15 +50,15 @@ def stateful(stream: DataFrame, keys: list[str], order: list[str], make: Callabl
         own = dict(zip(keys, key, strict=True))
         step = pickle.loads(state.get[0]) if state.exists else make()
         if state.hasTimedOut:
-            out = list(step.end())
+            yield pd.DataFrame([{**own, **r} for r in step.end()], columns=names)
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-            out = [r for row in rows.astype(object).where(rows.notna(), None).to_dict("records") for r in step.push(_plain(row))]
+            rows = pd.concat(list(batches)).sort_values(order, kind="stable", ignore_index=True)
+            for out in pushed(step, rows):
+                yield pd.DataFrame([{**own, **r} for r in out], columns=names)
             state.update((pickle.dumps(step),))
             if idle_ms:
                 state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame([{**own, **r} for r in out], columns=names)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return stream.groupBy(*keys).applyInPandasWithState(run, schema, "step binary", "append", timeout)

@@ -26,7 +26,7 @@ from sightline.operators.steps import Reorder
 from sightline.operators.trackers import TRACK_COLUMNS, CascadeTracker
 from sightline.sources.mp4 import PARTS, Mp4Writer
 from sightline.sources.shared import new_folder
-from sightline.streaming.drivers import _plain
+from sightline.streaming.drivers import pushed
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,9 +60,10 @@ class Processor(StatefulProcessor):
         return pd.DataFrame([{**own, **r} for r in rows], columns=self.names)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable", ignore_index=True)
         step = self.load()
-        out = [r for row in frame.astype(object).where(frame.notna(), None).to_dict("records") for r in step.push(_plain(row))]
+        for out in pushed(step, frame):
+            yield self._frame(key, out)
         self.save(step)
         if self.idle_ms:
             due = int(frame[self.at].max().timestamp() * 1000) + self.idle_ms
@@ -72,7 +73,6 @@ class Processor(StatefulProcessor):
                     self.handle.deleteTimer(had)
                 self.handle.registerTimer(due)
                 self.timer.update((due,))
-        yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = list(self.ended(self.load()))

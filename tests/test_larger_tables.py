@@ -118,3 +118,24 @@ def test_json_track_files_in_ranges(spark, tmp_path, n):
     (tmp_path / "d.json").write_text('{"frames": [{"objects": {}, "frame_time": 1}]}')
     with pytest.raises(Exception, match="read the file whole"):
         labels.read_trackset(spark, str(tmp_path), n).collect()
+
+
+def test_a_micro_batch_is_objects_a_slice_at_a_time():
+    import pandas as pd
+
+    from sightline.operators.fold import Step
+    from sightline.streaming import drivers
+
+    class Sum(Step):
+        total = 0.0
+
+        def push(self, row):
+            self.total += row["v"] or 0.0
+            yield {"i": row["i"], "total": self.total}
+
+    n = 3 * drivers.SLICE + 5
+    frame = pd.DataFrame({"i": range(n), "v": [None if k % 7 == 0 else float(k) for k in range(n)]})
+    parts = list(drivers.pushed(Sum(), frame))
+    assert [len(p) for p in parts] == [drivers.SLICE] * 3 + [5]
+    step = Sum()
+    assert [r for p in parts for r in p] == [r for row in frame.astype(object).where(frame.notna(), None).to_dict("records") for r in step.push(row)]
