@@ -13,6 +13,8 @@ from sightline.config import InferConfig, ModelDescription
 from sightline.operators import matching
 
 POINTS = "array<struct<x: double, y: double, conf: double>>"
+#: Detections that leave decoded() at a time.
+MOST_ROWS = 512
 DECODED = f"stream_id long, frame_no long, det_id long, cl int, conf double, x0 double, y0 double, x1 double, y1 double, subbox struct<x0: double, y0: double, x1: double, y1: double, conf: double>, face_points {POINTS}, pose_points {POINTS}, attrs array<double>, reid array<double>"
 
 
@@ -67,9 +69,14 @@ def decoded(tensors: DataFrame, md: ModelDescription, det_thr: float, width: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # tensors are arrays, one frame at a time, and rows leave in small batches
             rows = []
-            for s, f, tensor in zip(batch.column("stream_id").to_pylist(), batch.column("frame_no").to_pylist(), batch.column("tensor").to_pylist(), strict=True):
-                rows += [{"stream_id": s, "frame_no": f, **d} for d in decode(np.array(tensor, np.float64), md, det_thr, width, height)]
+            for s, f, tensor in zip(batch.column("stream_id").to_pylist(), batch.column("frame_no").to_pylist(), batch.column("tensor"), strict=True):
+                array = np.stack([row.values.to_numpy(zero_copy_only=False) for row in tensor]).astype(np.float64) if tensor.is_valid and len(tensor) else np.array(tensor.as_py(), np.float64)
+                rows += [{"stream_id": s, "frame_no": f, **d} for d in decode(array, md, det_thr, width, height)]
+                if len(rows) >= MOST_ROWS:
+                    yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema)
+                    rows = []
             if rows:
                 yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema)
 
