@@ -139,3 +139,76 @@ def test_a_micro_batch_is_objects_a_slice_at_a_time():
     assert [len(p) for p in parts] == [drivers.SLICE] * 3 + [5]
     step = Sum()
     assert [r for p in parts for r in p] == [r for row in frame.astype(object).where(frame.notna(), None).to_dict("records") for r in step.push(row)]
+
+
+def walkers(n, frames):
+    """Frames of n people who walk side by side."""
+    for k in range(frames):
+        yield {"frame_no": k, "t": k * 0.2, "dets": [{"det_id": 100 * k + j, "cl": 0, "conf": 0.9, "x0": 0.04 * j + 0.001 * k, "y0": 0.2, "x1": 0.04 * j + 0.03 + 0.001 * k, "y1": 0.3 + 0.01 * j} for j in range(n)]}
+
+
+def test_a_frames_filters_are_one():
+    """The filters of all tracks of a frame go by arrays, to the same numbers: a frame costs less than its tracks' own filters."""
+    import time
+
+    from sightline.operators import trackers
+
+    rows, own = None, []
+    took = [0.0, 0.0]
+    tracker = trackers.CascadeTracker()
+    for row in walkers(20, 40):
+        boxes = [tuple(d[c] for c in ("x0", "y0", "x1", "y1")) for d in row["dets"]]
+        if rows is None:
+            rows, own = trackers.Filters.started(boxes), [trackers.BoxFilter(np.array(b), row["t"]) for b in boxes]
+        start = time.perf_counter()
+        predicted = [f.predict(row["t"]) for f in own]
+        for f, b in zip(own, boxes, strict=True):
+            f.update(np.array(b), row["t"])
+        took[0] += time.perf_counter() - start
+        dt = [0.2 * trackers.BoxFilter.RATE if row["frame_no"] else 0.0] * 20
+        rows = trackers.Filters.ahead(rows, dt)
+        assert np.allclose(trackers.Filters.boxes(rows), predicted, rtol=1e-4, atol=1e-5)
+        rows = trackers.Filters.corrected(trackers.Filters.ahead(rows, dt), boxes)
+        for f, r in zip(own, rows, strict=True):
+            assert np.allclose(f.filter.mean, r[:8], rtol=1e-4, atol=1e-5) and np.allclose(f.filter.cov, trackers.Filters.matrix(r), rtol=1e-3, atol=1e-7)
+            assert (trackers.Filters.of(r[:8], trackers.Filters.matrix(r).ravel()) == r).all()
+        start = time.perf_counter()
+        out = list(tracker.push(row))
+        took[1] += time.perf_counter() - start
+        assert len(out) == 20 and len({r["track_id"] for r in out}) == 20
+    assert took[1] < took[0]
+
+
+def test_boxes_without_height_or_numbers_are_no_candidates():
+    from sightline.operators import trackers
+
+    t = trackers.CascadeTracker()
+    odd = [(0.1, 0.2, 0.3, 0.2), (0.1, None, 0.3, 0.4), (0.1, 0.2, float("nan"), 0.4), (0.5, 0.5, 0.7, 0.9)]
+    frames = [list(t.push({"frame_no": k, "t": k * 0.2, "dets": [{"det_id": 10 * k + j, "cl": 0, "conf": 0.9, **dict(zip(("x0", "y0", "x1", "y1"), b, strict=True))} for j, b in enumerate(odd)]})) for k in range(5)]
+    assert [r["observations"] for f in frames for r in f if r["det_id"] is not None and r["det_id"] % 10 == 3] == [1, 2, 3, 4, 5]
+    assert {r["observations"] for f in frames for r in f if r["det_id"] is not None and r["det_id"] % 10 < 3} == {1}
+
+
+def test_few_pairs_and_many_are_matched_alike(monkeypatch):
+    from sightline.operators import trackers
+
+    runs = []
+    for few in (0, 1 << 30):
+        monkeypatch.setattr(trackers.CascadeTracker, "FEW", few)
+        t = trackers.CascadeTracker()
+        runs.append([r for row in walkers(12, 25) for r in t.push({**row, "dets": [d for d in row["dets"] if (d["det_id"] * 7) % 11 > 2]})])
+    assert runs[0] == runs[1] and len(runs[0]) > 200
+
+
+def test_batches_become_objects_by_columns():
+    import pyarrow as pa
+
+    from sightline.operators.fold import values_of
+
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.float64()), ("c", pa.list_(pa.struct([("x", pa.float32()), ("s", pa.string())])))]))
+    data = pa.array([[{"a": 1, "b": 2.5, "c": [{"x": 1.5, "s": "q"}, None]}], None, [], [None, {"a": None, "b": 1.0, "c": None}, {"a": 3, "b": float("inf"), "c": []}]], kind)
+    for at in range(5):
+        for n in range(5 - at):
+            assert values_of(data.slice(at, n)) == data.slice(at, n).to_pylist()
+    for other in (pa.array([True, None]), pa.array([b"x", None]), pa.array([1, None], pa.int32()), pa.array([], pa.float64())):
+        assert values_of(other) == other.to_pylist()
