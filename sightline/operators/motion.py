@@ -63,13 +63,13 @@ class Motion:
 
     def add(self, planes: list[np.ndarray], cost: float | None = None) -> bool:
         """Takes a picture; whether its flow cost (mean over 5 of all cells, if known) tells of a new scene."""
-        now = [pixels.blur(p) if self.blur else p for p in planes]
+        now = [pixels.blur(planes[0]), *pixels.blur(np.stack(planes[1:]))] if self.blur else planes
         self.picture = now
         if self.reference is None or self.reference[0].shape != now[0].shape:
             self.reference, self.frames, self.roi, self.blocks = None, 0, ALL, 0
             self.floor = np.zeros((now[0].shape[0] // 8, now[0].shape[1] // 8))
             return False
-        y, u, v = (pixels.mad_4x4(a, b) for a, b in zip(now, self.reference, strict=True))
+        y, (u, v) = pixels.mad_4x4(now[0], self.reference[0]), pixels.mad_4x4(np.stack(now[1:]), np.stack(self.reference[1:]))
         value = np.maximum.reduce([y[::2, ::2], y[1::2, ::2], y[::2, 1::2], y[1::2, 1::2], u, v]).astype(float)
         k = np.where(value < self.floor, self.alpha * min(self.frames, self.ramp) / self.ramp, self.beta)
         self.floor = self.floor * k + value * (1 - k)
