@@ -239,3 +239,24 @@ def test_planes_of_a_stack_are_blurred_at_once():
     assert took[1] * 1.3 < took[0]
     a, b = np.stack(planes[:2]), np.stack(planes[2:4])
     assert (pixels.mad_4x4(a, b) == [pixels.mad_4x4(x, y) for x, y in zip(a, b, strict=True)]).all()
+
+
+def test_a_pipelines_frames_cost_less_than_their_filters():
+    """As test_a_frames_filters_are_one, through the pipeline of a stream."""
+    import time
+
+    from sightline.operators import trackers
+    from sightline.operators.pipeline import StreamPipeline
+
+    frames = list(walkers(20, 40))
+    pipeline, own = StreamPipeline(0.1), [trackers.BoxFilter(np.array([0.1, 0.2, 0.3, 0.4]), 0.0) for _ in range(20)]
+    start = time.perf_counter()
+    out = [r for row in frames for r in pipeline.push(row)]
+    took = time.perf_counter() - start
+    start = time.perf_counter()
+    for row in frames:
+        for f in own:
+            f.predict(row["t"])
+            f.update(np.array([0.1, 0.2, 0.3, 0.4]), row["t"])
+    assert took < time.perf_counter() - start
+    assert [len(r["tracks"]) for r in out] == [20] * 40
