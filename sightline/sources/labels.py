@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,14 +21,14 @@ MOST_LABELS = 300
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Rows of text label files: class, centre and size, then five face points and seventeen pose points where a line has 20, 71 or 56 numbers. A line counts as far as its numbers go, and from five numbers on; a file gives its first MOST_LABELS rows."""
     number = lambda x: x.try_cast("double")
-    words = F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")
-    parsed = F.transform(words, number)
-    end = F.array_position(F.transform(parsed, lambda x: x.isNull()), True)
-    v_of = F.when(end > 0, F.slice(parsed, F.lit(1), (end - 1).cast("int"))).otherwise(parsed)
-    # rows of a file are numbered within it: a file is one row here, as its cap is on the file
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.transform(F.split("value", "\n"), lambda line, i: F.struct(i.alias("line_no"), line.alias("line"))).alias("lines"))
-    lines = files.select("path", F.explode("lines").alias("l")).select("path", "l.*").withColumn("v", v_of).where(F.size("v") >= 5)
-    rows = lines.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("line_no"))).where(F.col("_n") <= MOST_LABELS)
+    words = lambda line: F.filter(F.split(F.trim(line), r"\s+"), lambda x: x != "")
+    # how many numbers come before what is none; a list of one binds it, so that a line is parsed once
+    numbers = lambda p: (F.array_position(F.array_append(F.transform(p, lambda x: x.isNull()), F.lit(True)), True) - 1).cast("int")
+    parsed = lambda line: F.transform(F.array(F.transform(words(line), number)), lambda p: F.slice(p, F.lit(1), numbers(p)))[0]
+    # rows of a file are numbered and capped within it: a file is one row here, so that needs no shuffle
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.transform(F.split("value", "\n"), lambda line, i: F.struct(i.alias("line_no"), parsed(line).alias("v"))).alias("lines"))
+    capped = F.slice(F.filter("lines", lambda x: F.size(x["v"]) >= 5), 1, MOST_LABELS)
+    rows = files.select("path", F.explode(capped).alias("l")).select("path", "l.*")
     v = lambda i: F.col("v")[i]
     group = lambda at, k: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(F.col("v")[at + i * 3].alias("x"), F.col("v")[at + i * 3 + 1].alias("y"), F.col("v")[at + i * 3 + 2].alias("conf")))
     size = F.size("v")

@@ -260,3 +260,28 @@ def test_a_pipelines_frames_cost_less_than_their_filters():
             f.update(np.array([0.1, 0.2, 0.3, 0.4]), row["t"])
     assert took < time.perf_counter() - start
     assert [len(r["tracks"]) for r in out] == [20] * 40
+
+
+def test_label_files_are_capped_without_a_shuffle(spark, tmp_path):
+    from sightline.sources import labels
+
+    good = [f"{k % 3} 0.5 0.5 0.2 {k / 1000}" for k in range(400)]
+    (tmp_path / "a.txt").write_text("\n".join(x for k, line in enumerate(good) for x in ([line, "1 2", ""] if k % 2 else [line])) + "\n")
+    (tmp_path / "b.txt").write_text("1 .5 .5 .2 .4 x 7\nnone\n\n 2\t.5  .5 .2 .4 \r\n1 0.5 x 0.5 0.5 0.5\n")
+    (tmp_path / "c.txt").write_text("")
+    df = labels.read_labels(spark, str(tmp_path))
+    rows = sorted((r.path[-5:], r.line_no, r.cl, round(r.y1 - r.y0, 6)) for r in df.collect())
+    places = [k // 2 * 4 + k % 2 for k in range(labels.MOST_LABELS)]
+    assert rows == [("a.txt", place, k % 3, k / 1000) for k, place in enumerate(places)] + [("b.txt", 0, 1, 0.4), ("b.txt", 3, 2, 0.4)]
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_label_files_share_a_folder(spark, monkeypatch):
+    """Files grow with the input, folders to list don't."""
+    from sightline.sources import labels
+
+    read, seen = labels.read_labels, []
+    monkeypatch.setattr(labels, "read_labels", lambda spark, path: seen.append(path) or read(spark, path))
+    assert QUERIES["labels_scan"](spark, "/root/testdata/sf0.001").count() > 0
+    assert "*" not in seen[0]
+    assert {r.path.rsplit("/", 1)[0].split("/")[-1] for r in read(spark, seen[0]).select("path").distinct().collect()} == {seen[0].split("/")[-1]}
