@@ -262,6 +262,21 @@ def test_a_pipelines_frames_cost_less_than_their_filters():
     assert [len(r["tracks"]) for r in out] == [20] * 40
 
 
+@pytest.mark.parametrize("scan", ["pipeline", "cascade"])
+def test_each_stream_has_a_task(spark, scan):
+    """A hash puts some of few streams into one task, which then takes as long as all of them."""
+    from pyspark.sql import functions as F
+
+    from sightline.operators.pipeline import track_streams
+    from sightline.operators.trackers import track
+
+    frames = spark.range(1600).selectExpr("id % 8 AS stream_id", "id div 8 AS frame_no", "(id div 8) * 0.5D AS t", "array(named_struct('det_id', id, 'cl', 0, 'conf', 0.9D, 'x0', 0.1D, 'y0', 0.1D, 'x1', 0.3D, 'y1', 0.3D)) AS dets", "0.1D AS area")
+    rows = {"pipeline": track_streams, "cascade": track}[scan](frames)
+    found = rows.select("stream_id", F.spark_partition_id().alias("task")).groupBy("stream_id", "task").count().collect()
+    assert sorted((r.stream_id, r["count"]) for r in found) == [(k, 200) for k in range(8)]
+    assert len({r.task for r in found}) == 8
+
+
 def test_label_files_are_capped_without_a_shuffle(spark, tmp_path):
     from sightline.sources import labels
 
